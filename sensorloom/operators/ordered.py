@@ -140,3 +140,38 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])
     cond = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def mark_lowest(df: DataFrame, n: Column, series: Series, name: str = "chosen") -> DataFrame:
+    """Flag the first ``n`` rows of the whole table in series order.
+
+    Block counts tell in which block the n-th row lies. Blocks before it are in, blocks after
+    it are out, without moving a row; only the rows of that one block are ranked.
+    """
+    rows = series.blocked(df)
+    counts = rows.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, 0))
+    cut = counts.select(BLOCK, "n", upto.alias("upto")).filter(F.col("upto") > n).agg(
+        F.min(F.struct(F.col(BLOCK).alias("block"), (F.col("upto") - F.col("n")).alias("before"))).alias("cut")).scalar()
+    clear = rows.filter(cut.isNull() | (F.col(BLOCK) != cut["block"])).withColumn(
+        name, cut.isNull() | (F.col(BLOCK) < cut["block"]))
+    rank = F.row_number().over(Window.partitionBy(BLOCK).orderBy(*series.order))
+    edge = rows.filter(F.col(BLOCK) == cut["block"]).withColumn(name, rank <= n - cut["before"])
+    return clear.unionByName(edge).drop(BLOCK)
+
+
+def mark_lowest_per_key(df: DataFrame, series: Series, quota: DataFrame, amount: str, name: str = "chosen") -> DataFrame:
+    """Flag the first rows of each key, as many as ``quota`` grants it; none where it grants nothing.
+
+    The quota is split over the blocks of a key before it meets the rows, so rows are moved
+    once, by (key, block), and a hot key is spread over its blocks.
+    """
+    rows, parts, keys = series.blocked(df), series.parts, list(series.keys)
+    counts = rows.groupBy(*parts).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(
+        Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    granted = counts.select(*parts, before.alias("__before")).join(quota.select(*keys, amount), keys).select(
+        *parts, (F.col(amount) - F.col("__before")).alias("__granted"))
+    rank = F.row_number().over(Window.partitionBy(*parts).orderBy(*series.order))
+    return rows.withColumn("__rank", rank).join(granted, parts, "left").select(
+        *df.columns, F.coalesce(F.col("__rank") <= F.col("__granted"), F.lit(False)).alias(name))

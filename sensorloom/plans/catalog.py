@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from sensorloom.plans import q_clean, q_context  # noqa: F401
+from sensorloom.plans import q_clean, q_context, q_features, q_sampling  # noqa: F401
 from sensorloom.plans.registry import QUERIES  # noqa: F401
