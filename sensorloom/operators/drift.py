@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from sensorloom.functions.expressions import clip, value_bucket
 from sensorloom.operators.evaluate import ranking_metrics
-from sensorloom.operators.ordered import Series, running
+from sensorloom.operators.ordered import Series, running, with_scalar
 from sensorloom.operators.quantiles import exact_quantiles
 from sensorloom.session import cut_lineage
 
@@ -35,13 +35,13 @@ def psi(expected: DataFrame, actual: DataFrame, cols: Sequence[str], bins: int =
     q = exact_quantiles(expected, [], {c: F.col(c) for c in cols}, probs).select(F.struct("*").alias("q")).scalar()
 
     def cell(c: str) -> Column:
-        x, cuts = F.col(c), [q[f"{c}_{i}"] for i in range(bins + 1)]
+        x, cuts = F.col(c), [F.col("__q")[f"{c}_{i}"] for i in range(bins + 1)]
         upto = sum((F.when(x >= cut, 1).otherwise(0) for cut in cuts), F.lit(0))
         below = sum((F.when(cut < x, 1).otherwise(0) for cut in cuts), F.lit(0))
         return F.when(x.between(cuts[0], cuts[-1]), F.when(x == cuts[-1], below).otherwise(upto))
 
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), cell(c).alias("bin")) for c in cols])
-    cells = _tagged(expected, actual, cols).select("__actual", F.explode(pairs).alias("p")).select("__actual", "p.*").filter("bin IS NOT NULL")
+    cells = with_scalar(_tagged(expected, actual, cols), __q=q).select("__actual", F.explode(pairs).alias("p")).select("__actual", "p.*").filter("bin IS NOT NULL")
     counts = cells.groupBy("feature", "bin").agg(F.count(F.when(F.col("__actual") == 0, 1)).alias("e"), F.count(F.when(F.col("__actual") == 1, 1)).alias("a"))
     # One row per feature and bin from here on.
     totals = counts.groupBy("feature").agg(F.greatest(F.sum("e"), F.lit(1)).alias("te"), F.greatest(F.sum("a"), F.lit(1)).alias("ta"))
@@ -197,8 +197,9 @@ def proximity_weight(df: DataFrame, others: DataFrame, key: Sequence[str], cols:
 def percentile_scale(df: DataFrame, c: str, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     """To [0, 1] between two percentiles."""
     q = exact_quantiles(df, [], {"q": F.col(c)}, {"_lo": lo, "_hi": hi}).select(F.struct("*").alias("q")).scalar()
-    x = clip(c, q["q_lo"], q["q_hi"])
-    return df.select(*[((x - q["q_lo"]) / (q["q_hi"] - q["q_lo"] + F.lit(1e-9))).alias(c) if n == c else F.col(n) for n in df.columns])
+    lo_q, hi_q = F.col("__q.q_lo"), F.col("__q.q_hi")
+    scaled = (clip(c, lo_q, hi_q) - lo_q) / (hi_q - lo_q + F.lit(1e-9))
+    return with_scalar(df, __q=q).select(*[scaled.alias(c) if n == c else F.col(n) for n in df.columns])
 
 
 def combine_weights(df: DataFrame, weights: Sequence[str], lo: float = 0.05, hi: float = 10.0) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions.expressions import value_bucket
-from sensorloom.operators.ordered import Series, last_rows, running
+from sensorloom.operators.ordered import Series, last_rows, running, with_scalar
 from sensorloom.operators.quantiles import exact_quantiles
 
 EPS = 1e-8
@@ -74,9 +74,9 @@ def ranking_curve(df: DataFrame, score: str, label: str, by: Sequence[str] = ())
     if by:
         totals = counts.groupBy(*by).agg(F.struct(F.sum("pos").alias("p"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("steps")).alias("t"))
         curve = curve.join(totals, list(by))
-        t = F.col("t")
     else:
-        t = totals.scalar()
+        curve = with_scalar(curve, t=totals.scalar())
+    t = F.col("t")
     return curve.select(*by, "score", "n", "pos", "tp", (F.col("seen") - F.col("tp")).alias("fp"),
                         t["p"].alias("total_pos"), (t["n"] - t["p"]).alias("total_neg"), t["steps"].alias("steps"))
 
@@ -134,13 +134,13 @@ def confusion(df: DataFrame, score: str, label: str, threshold: float | Column,
         spec.alias("specificity"), _ratio(tn, tn + fn).alias("npv"), ((rec + spec) / F.lit(2.0)).alias("balanced_accuracy"))
 
 
-def grid_stats(df: DataFrame, score: str, label: str, lo: Column, hi: Column, size: int) -> DataFrame:
+def grid_stats(df: DataFrame, score: str, label: str, lowest: Column, highest: Column, size: int) -> DataFrame:
     """Confusion counts at ``size`` evenly spaced thresholds.
 
     Each distinct score goes to the highest threshold it reaches; counts are then summed from
     the top over the grid cells. The grid is never joined with the scores.
     """
-    counts = score_counts(df, score, label)
+    lo, hi = F.col("__lo"), F.col("__hi")
     step = (hi - lo) / F.lit(float(size - 1))
     def threshold(j: Column) -> Column:
         return F.when(j == size - 1, hi).otherwise(lo + j * step)
@@ -150,14 +150,16 @@ def grid_stats(df: DataFrame, score: str, label: str, lo: Column, hi: Column, si
     for shift in (-1, 0, 1):
         j = F.least(F.greatest(guess + shift, F.lit(0)), F.lit(size - 1))
         cell = F.when(F.col("score") >= threshold(j), j).otherwise(cell)
-    cells = counts.select(cell.alias("j"), "n", "pos").groupBy("j").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    below = cells.filter("j IS NULL").agg(F.struct(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("pos"), F.lit(0)).alias("pos")).alias("b")).scalar()
-    grid = df.sparkSession.range(size).withColumnRenamed("id", "j").join(cells, "j", "left")
+    counts = with_scalar(score_counts(df, score, label), __lo=lowest, __hi=highest)
+    # Scores below the grid get cell -1: they count in the totals only.
+    cells = counts.select(F.coalesce(cell, F.lit(-1)).alias("j"), "n", "pos").groupBy("j").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    grid = df.sparkSession.range(-1, size).withColumnRenamed("id", "j").join(cells, "j", "left")
     # A fixed number of cells, so one task is enough.
     top = Window.orderBy(F.desc("j")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy()
-    s = grid.select("j", F.sum(F.coalesce("pos", F.lit(0))).over(top).alias("tp"), F.sum(F.coalesce("n", F.lit(0))).over(top).alias("hits"),
-                    (F.sum(F.coalesce("pos", F.lit(0))).over(whole) + below["pos"]).alias("p"), (F.sum(F.coalesce("n", F.lit(0))).over(whole) + below["n"]).alias("all"))
+    n, pos = F.coalesce("n", F.lit(0)), F.coalesce("pos", F.lit(0))
+    s = grid.select("j", F.sum(pos).over(top).alias("tp"), F.sum(n).over(top).alias("hits"), F.sum(pos).over(whole).alias("p"), F.sum(n).over(whole).alias("all"))
+    s = with_scalar(s.filter("j >= 0"), __lo=lowest, __hi=highest)
     return _stats(s.select("j", threshold(F.col("j")).alias("t"), "tp", (F.col("hits") - F.col("tp")).alias("fp"), "p", "all"))
 
 
@@ -222,8 +224,9 @@ def pick_threshold(df: DataFrame, score: str, label: str, policy: str = "f1", ta
         inside = best.filter(miss == 0).withColumn("__o", F.lit(0))
         near = _first(stats, miss).withColumn("__o", F.lit(1))
         best = inside.unionByName(near).orderBy("__o").limit(1).drop("__o")
-    flat = lo == hi
-    cols = {"t": hi, "f1": F.lit(0.0), "precision": F.lit(0.0), "recall": F.lit(0.0), "pos_rate": F.lit(1.0)}
+    best = with_scalar(best, __lo=lo, __hi=hi)
+    flat = F.col("__lo") == F.col("__hi")
+    cols = {"t": F.col("__hi"), "f1": F.lit(0.0), "precision": F.lit(0.0), "recall": F.lit(0.0), "pos_rate": F.lit(1.0)}
     return best.select(*[F.when(flat, v).otherwise(F.col(c)).alias("threshold" if c == "t" else c) for c, v in cols.items()])
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.expressions import value_bucket
 from sensorloom.operators.evaluate import best_f1_on_curve, ranking_metrics
-from sensorloom.operators.ordered import Series, carry_forward
+from sensorloom.operators.ordered import Series, carry_forward, with_scalar
 from sensorloom.operators.quantiles import exact_quantiles
 from sensorloom.operators.resample import balanced_class_weight
 from sensorloom.operators.splits import group_kfold
@@ -30,12 +30,21 @@ def _stages(features: Sequence[str], scale: bool) -> list:
     return out
 
 
+def _fit(stages: list, rows: DataFrame) -> PipelineModel:
+    """Fit with the training rows kept while the stages pass over them."""
+    kept = rows.persist()
+    try:
+        return Pipeline(stages=stages).fit(kept)
+    finally:
+        kept.unpersist()
+
+
 def linear_svm(train: DataFrame, features: Sequence[str], label: str, c: float = 1.0, rounds: int = 100) -> PipelineModel:
     """Scaled, class-balanced linear SVM. Spark ML has the plain hinge loss only; the penalty
     ``c`` enters as 1 / (c * rows)."""
     n = max(train.count(), 1)
     svc = LinearSVC(featuresCol="features", labelCol=label, weightCol="weight", maxIter=rounds, regParam=1.0 / (c * n), standardization=False)
-    return Pipeline(stages=[*_stages(features, True), svc]).fit(balanced_class_weight(train, label))
+    return _fit([*_stages(features, True), svc], balanced_class_weight(train, label))
 
 
 def margin_score(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -49,7 +58,8 @@ def probability_score(model, df: DataFrame) -> DataFrame:
     return model.transform(df).select(*df.columns, vector_to_array("probability")[1].alias("score"))
 
 
-def svm_grid(train: DataFrame, features: Sequence[str], label: str, group: Sequence[str], cs: Sequence[float] = (0.1, 1.0, 10.0), folds: int = 3) -> DataFrame:
+def svm_grid(train: DataFrame, features: Sequence[str], label: str, group: Sequence[str], cs: Sequence[float] = (0.1, 1.0, 10.0), folds: int = 3,
+             rounds: int = 100) -> DataFrame:
     """Mean average precision and median best-F1 threshold of each penalty over group folds."""
     folded = group_kfold(train, group, folds).persist()
     rows = []
@@ -57,7 +67,7 @@ def svm_grid(train: DataFrame, features: Sequence[str], label: str, group: Seque
         for c in cs:
             aps, thresholds = [], []
             for k in range(folds):
-                model = linear_svm(folded.filter(F.col("fold") != k), features, label, c)
+                model = linear_svm(folded.filter(F.col("fold") != k), features, label, c, rounds)
                 scored = margin_score(model, folded.filter(F.col("fold") == k))
                 aps.append(ranking_metrics(scored, "score", label).first()["average_precision"])
                 thresholds.append(best_f1_on_curve(scored, "score", label).first()["threshold"])
@@ -75,13 +85,13 @@ def boosted_trees(train: DataFrame, validation: DataFrame, features: Sequence[st
     rows = rows.withColumn("__w", F.coalesce(w, F.lit(1.0)))
     gbt = GBTClassifier(featuresCol="features", labelCol=label, weightCol="__w", validationIndicatorCol="__val", maxIter=rounds,
                         maxDepth=depth, stepSize=step, subsamplingRate=0.9, seed=seed)
-    return Pipeline(stages=[*_stages(features, False), gbt]).fit(rows)
+    return _fit([*_stages(features, False), gbt], rows)
 
 
 def logistic_baseline(train: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
     """Class-balanced logistic regression."""
     lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", maxIter=100)
-    return Pipeline(stages=[*_stages(features, True), lr]).fit(balanced_class_weight(train, label))
+    return _fit([*_stages(features, True), lr], balanced_class_weight(train, label))
 
 
 def isotonic_global(calibration: DataFrame, df: DataFrame, score: str, label: str) -> DataFrame:
@@ -140,7 +150,7 @@ def apply_pools(df: DataFrame, pools: DataFrame, base: str, score: str, name: st
     knot = F.when(F.col("v").isNotNull(), F.struct("x", "v"))
     block = value_bucket("x", 256)
     both = carry_forward(merged.withColumn("left", knot).withColumn("right", knot), Series([base], ["x"], block), {"left": F.col("left")})
-    both = carry_forward(both, Series([base], [F.desc("x")], -block), {"right": F.col("right")})
+    both = carry_forward(both, Series([base], ["x"], block), {"right": F.col("right")}, backward=True)
     l, r = F.col("left"), F.col("right")
     between = l["v"] + (r["v"] - l["v"]) * F.coalesce((F.col("x") - l["x"]) / F.nullif(r["x"] - l["x"], F.lit(0.0)), F.lit(0.0))
     value = F.when(l.isNull(), r["v"]).when(r.isNull(), l["v"]).otherwise(between)
@@ -153,7 +163,8 @@ def linear_contributions(df: DataFrame, coefficients: dict[str, float], means: C
     """coefficient * (x - mean) per feature; the mean over ``df`` unless given as a struct."""
     if means is None:
         means = df.agg(F.struct(*[F.avg(c).alias(c) for c in coefficients]).alias("m")).scalar()
-    return df.select("*", *[(F.lit(float(w)) * (F.col(c) - means[c])).alias(c + suffix) for c, w in coefficients.items()])
+    shares = [(F.lit(float(w)) * (F.col(c) - F.col("__m")[c])).alias(c + suffix) for c, w in coefficients.items()]
+    return with_scalar(df, __m=means).select(*df.columns, *shares)
 
 
 def contribution_ranking(contributions: DataFrame, features: Sequence[str], suffix: str = "_shap") -> DataFrame:
@@ -174,9 +185,9 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins:
     probs = {f"_{i}": i / bins for i in range(1, bins)}
     q = exact_quantiles(df, [], {c: F.col(c) for c in features}, probs).select(F.struct("*").alias("q")).scalar()
     def cell(c: str) -> Column:
-        return sum((F.when(F.col(c) > q[f"{c}_{i}"], 1).otherwise(0) for i in range(1, bins)), F.lit(0))
+        return sum((F.when(F.col(c) > F.col("__q")[f"{c}_{i}"], 1).otherwise(0) for i in range(1, bins)), F.lit(0))
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), cell(c).alias("bin")) for c in features])
-    cells = df.select(F.col(label).alias("y"), F.explode(pairs).alias("p")).groupBy("p.feature", "p.bin", "y").agg(F.count(F.lit(1)).alias("n"))
+    cells = with_scalar(df, __q=q).select(F.col(label).alias("y"), F.explode(pairs).alias("p")).groupBy("p.feature", "p.bin", "y").agg(F.count(F.lit(1)).alias("n"))
     # At most features x bins x classes rows from here on.
     x = cells.groupBy("feature", "bin").agg(F.sum("n").alias("nx"))
     y = cells.groupBy("feature", "y").agg(F.sum("n").alias("ny"))

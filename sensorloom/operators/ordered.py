@@ -104,21 +104,20 @@ def bounded_window(
     return done.unionByName(fixed.select(*df.columns, *names))
 
 
-def carry_forward(df: DataFrame, series: Series, cols: dict[str, Column], strict: bool = False) -> DataFrame:
-    """Last non-null value at or before each row (before it, if ``strict``)."""
-    rows = series.blocked(df)
-    parts = series.parts
-    inside = Window.partitionBy(*parts).orderBy(*series.order).rowsBetween(
+def carry_forward(df: DataFrame, series: Series, cols: dict[str, Column], strict: bool = False,
+                  backward: bool = False) -> DataFrame:
+    """Last non-null value at or before each row (before it, if ``strict``); with ``backward``
+    the next one at or after it. The order must be plain column names."""
+    rows, parts, order = series.blocked(df), series.parts, list(series.order)
+    turn = F.desc if backward else F.asc
+    inside = Window.partitionBy(*parts).orderBy(*[turn(c) for c in order]).rowsBetween(
         Window.unboundedPreceding, -1 if strict else 0)
-    order = [F.col(c) if isinstance(c, str) else c for c in series.order]
+    outermost = F.min if backward else F.max
     latest = rows.groupBy(*parts).agg(*[
-        F.max(F.when(e.isNotNull(), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], e.alias("v")))).alias(f"__l_{n}")
-        for n, e in cols.items()
-    ])
-    earlier = Window.partitionBy(*series.keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+        outermost(F.when(e.isNotNull(), F.struct(*order, e.alias("__v")))).alias(f"__l_{n}") for n, e in cols.items()])
+    earlier = Window.partitionBy(*series.keys).orderBy(turn(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
     before = latest.select(*parts, *[
-        F.last(F.col(f"__l_{n}")["v"], ignorenulls=True).over(earlier).alias(f"__c_{n}") for n in cols
-    ])
+        F.last(F.col(f"__l_{n}")["__v"], ignorenulls=True).over(earlier).alias(f"__c_{n}") for n in cols])
     within = rows.select("*", *[F.last(e, ignorenulls=True).over(inside).alias(f"__w_{n}") for n, e in cols.items()])
     keep = [c for c in df.columns if c not in cols]
     return within.join(before, parts, "left").select(
@@ -175,3 +174,9 @@ def mark_lowest_per_key(df: DataFrame, series: Series, quota: DataFrame, amount:
     rank = F.row_number().over(Window.partitionBy(*parts).orderBy(*series.order))
     return rows.withColumn("__rank", rank).join(granted, parts, "left").select(
         *df.columns, F.coalesce(F.col("__rank") <= F.col("__granted"), F.lit(False)).alias(name))
+
+
+def with_scalar(df: DataFrame, **scalars: Column) -> DataFrame:
+    """Add scalar subqueries as columns, so that a plan holds each of them once however often
+    its fields are used."""
+    return df.withColumns(scalars)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.expressions import value_bucket
 from sensorloom.functions.probability import f_p_value, t_p_value
-from sensorloom.operators.ordered import Series, bounded_window, positions, running
+from sensorloom.operators.ordered import Series, bounded_window, positions, running, with_scalar
 from sensorloom.operators.quantiles import exact_quantiles
 
 # Share of missing cells (percent) and its level, run lengths, class ratios, effect sizes.
@@ -131,18 +131,18 @@ def top_variance(df: DataFrame, cols: Sequence[str], n: int = 10) -> DataFrame:
 def iqr_outliers(df: DataFrame, cols: Sequence[str], width: float = 1.5) -> DataFrame:
     """Quartiles, fences and rows outside them, per channel."""
     q = exact_quantiles(df, [], {c: F.col(c) for c in cols}, {"_q1": 0.25, "_q3": 0.75}).select(F.struct("*").alias("q")).scalar()
+    q1, q3 = {c: F.col("__q")[f"{c}_q1"] for c in cols}, {c: F.col("__q")[f"{c}_q3"] for c in cols}
     def fences(c: str) -> tuple[Column, Column]:
-        iqr = q[f"{c}_q3"] - q[f"{c}_q1"]
-        return q[f"{c}_q1"] - F.lit(width) * iqr, q[f"{c}_q3"] + F.lit(width) * iqr
+        return q1[c] - F.lit(width) * (q3[c] - q1[c]), q3[c] + F.lit(width) * (q3[c] - q1[c])
     aggs = []
     for i, c in enumerate(cols):
         lo, hi = fences(c)
         aggs += [F.count(c).alias(f"n_{i}"), F.count(F.when((F.col(c) < lo) | (F.col(c) > hi), 1)).alias(f"o_{i}")]
-    wide = df.agg(*aggs)
+    wide = with_scalar(with_scalar(df, __q=q).agg(*aggs), __q=q)
     structs = []
     for i, c in enumerate(cols):
         lo, hi = fences(c)
-        structs.append(F.struct(F.lit(c).alias("channel"), q[f"{c}_q1"].alias("q1"), q[f"{c}_q3"].alias("q3"), (q[f"{c}_q3"] - q[f"{c}_q1"]).alias("iqr"),
+        structs.append(F.struct(F.lit(c).alias("channel"), q1[c].alias("q1"), q3[c].alias("q3"), (q3[c] - q1[c]).alias("iqr"),
                                 lo.alias("lower"), hi.alias("upper"), F.col(f"o_{i}").alias("outliers"),
                                 (F.lit(100.0) * F.col(f"o_{i}") / F.nullif(F.col(f"n_{i}"), F.lit(0))).alias("outlier_pct")))
     return _rows(wide, structs)
@@ -156,10 +156,10 @@ def two_group_test(df: DataFrame, cols: Sequence[str], label: str, p_values: boo
     for i, c in enumerate(cols):
         for g in (0, 1):
             x = F.when(F.col(label) == g, F.col(c))
-            z = F.abs(x - med[g][c])
+            z = F.abs(x - F.col(f"__med{g}")[c])
             aggs += [F.count(x).alias(f"n{g}_{i}"), F.avg(x).alias(f"m{g}_{i}"), F.var_samp(x).alias(f"v{g}_{i}"),
                      F.avg(z).alias(f"zm{g}_{i}"), F.var_samp(z).alias(f"zv{g}_{i}")]
-    wide = df.agg(*aggs)
+    wide = with_scalar(df, __med0=med[0], __med1=med[1]).agg(*aggs)
     names = [f"{s}{g}" for g in (0, 1) for s in ("n", "m", "v", "zm", "zv")]
     rows = _rows(wide, [F.struct(F.lit(c).alias("channel"), *[F.col(f"{s}_{i}").alias(s) for s in names]) for i, c in enumerate(cols)])
     rows = rows.filter("n0 > 0 AND n1 > 0")
@@ -296,8 +296,9 @@ def location_summary(df: DataFrame, base: str, position: str, label: str) -> Dat
 def histogram(df: DataFrame, c: str, bins: int = 50) -> DataFrame:
     """Equal-width counts from min to max, the last bin closed; empty bins are there with 0."""
     b = df.agg(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias("b")).scalar()
-    width = (b["hi"] - b["lo"]) / F.lit(float(bins))
-    cell = F.coalesce(F.least(F.floor((F.col(c) - b["lo"]) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)), F.lit(0))
-    counts = df.filter(F.col(c).isNotNull()).groupBy(cell.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return df.sparkSession.range(bins).withColumnRenamed("id", "bin").join(counts, "bin", "left").select(
-        "bin", (b["lo"] + F.col("bin") * width).alias("left"), F.coalesce("n", F.lit(0)).alias("n"))
+    lo, width = F.col("__b.lo"), (F.col("__b.hi") - F.col("__b.lo")) / F.lit(float(bins))
+    cell = F.coalesce(F.least(F.floor((F.col(c) - lo) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)), F.lit(0))
+    counts = with_scalar(df.filter(F.col(c).isNotNull()), __b=b).groupBy(cell.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    cells = with_scalar(df.sparkSession.range(bins).withColumnRenamed("id", "bin"), __b=b)
+    return cells.join(counts, "bin", "left").select(
+        "bin", (lo + F.col("bin") * width).alias("left"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -64,19 +64,15 @@ def exact_quantiles(
     def at(rank: str) -> Column:
         return F.when((F.col("__rank") - F.col("__n") < F.col(rank)) & (F.col(rank) <= F.col("__rank")), F.col("__v"))
 
-    picked = ranked.select(*group, "__j", "__frac", at("__lo").alias("__vlo"), at("__hi").alias("__vhi"))
-    cells = [(i, j) for i in range(len(values)) for j in range(len(probs))]
-    aggs = []
-    for i, j in cells:
-        here = (F.col("__i") == i) & (F.col("__j") == j)
-        for c in ("__vlo", "__vhi", "__frac"):
-            aggs.append(F.max(F.when(here, F.col(c))).alias(f"{c}_{i}_{j}"))
-    wide = picked.groupBy(*keys).agg(*aggs)
-    names = {(i, j): f"{n}{s}" for i, n in enumerate(values) for j, s in enumerate(probs)}
-    return wide.select(*keys, *[
-        (F.col(f"__vlo_{i}_{j}") + (F.col(f"__vhi_{i}_{j}") - F.col(f"__vlo_{i}_{j}")) * F.col(f"__frac_{i}_{j}")).alias(names[i, j])
-        for i, j in cells
-    ])
+    # One row per key, value and probability; then one small map per key.
+    width = len(probs)
+    cell = ranked.groupBy(*group, "__j", "__frac").agg(F.max(at("__lo")).alias("__vlo"), F.max(at("__hi")).alias("__vhi"))
+    value = F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * F.col("__frac")
+    entry = F.struct((F.col("__i") * width + F.col("__j")).alias("k"), value.alias("v"))
+    packed = cell.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("__m"))
+    return packed.select(*keys, *[
+        F.try_element_at("__m", F.lit(i * width + j)).alias(f"{n}{s}")
+        for i, n in enumerate(values) for j, s in enumerate(probs)])
 
 
 def quantile_columns(df: DataFrame, keys: Sequence[str], cols: Sequence[str], probs: dict[str, float]) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.operators.ordered import with_scalar
 from sensorloom.operators.quantiles import exact_quantiles
 
 
@@ -37,25 +38,26 @@ def as_scalar(params: DataFrame) -> Column:
 def params_join(df: DataFrame, params: DataFrame, on: Sequence[str], fallback: Column, names: Sequence[str]) -> DataFrame:
     """Per-base parameters, the global ones where a base has none."""
     local = params.select(*on, *[F.col(n).alias(f"__{n}") for n in names])
-    joined = df.join(local, list(on), "left")
-    return joined.select(*df.columns, *[F.coalesce(F.col(f"__{n}"), fallback[n]).alias(n) for n in names])
+    joined = with_scalar(df.join(local, list(on), "left"), __p=fallback)
+    return joined.select(*df.columns, *[F.coalesce(F.col(f"__{n}"), F.col("__p")[n]).alias(n) for n in names])
 
 
-def _replace(df: DataFrame, cols: Sequence[str], make: Callable[[str], Column]) -> DataFrame:
-    return df.select(*[make(c).alias(c) if c in cols else F.col(c) for c in df.columns])
+def _replace(df: DataFrame, cols: Sequence[str], make: Callable[[Column, str], Column], params: Column | None = None) -> DataFrame:
+    """Replace ``cols``; ``make`` gets the parameters as a struct column and the column name."""
+    rows = df if params is None else with_scalar(df, __p=params)
+    return rows.select(*[make(F.col("__p"), c).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def apply_scale(df: DataFrame, params: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(x - centre) / scale with global parameters."""
-    p = as_scalar(params)
-    return _replace(df, cols, lambda c: (F.col(c) - p[f"{c}_centre"]) / p[f"{c}_scale"])
+    return _replace(df, cols, lambda p, c: (F.col(c) - p[f"{c}_centre"]) / p[f"{c}_scale"], as_scalar(params))
 
 
 def apply_scale_by(df: DataFrame, params: DataFrame, global_params: DataFrame, on: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """The same per base, with fallback."""
     names = [f"{c}_{s}" for c in cols for s in ("centre", "scale")]
     joined = params_join(df, params, on, as_scalar(global_params), names)
-    return _replace(joined, cols, lambda c: (F.col(c) - F.col(f"{c}_centre")) / F.col(f"{c}_scale")).drop(*names)
+    return _replace(joined, cols, lambda _, c: (F.col(c) - F.col(f"{c}_centre")) / F.col(f"{c}_scale")).drop(*names)
 
 
 def standard_scale(df: DataFrame, train: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -78,12 +80,12 @@ def conditional_standardise(df: DataFrame, train: DataFrame, cols: Sequence[str]
     """Standardise only the features with a large mean or deviation."""
     p = as_scalar(train.agg(*[e for c in cols for e in (
         F.avg(c).alias(f"{c}_centre"), (F.stddev_pop(c) + F.lit(1e-6)).alias(f"{c}_scale"))]))
-    def one(c: str) -> Column:
+    def one(p: Column, c: str) -> Column:
         large = (p[f"{c}_scale"] > limit) | (F.abs(p[f"{c}_centre"]) > limit)
         return F.when(large, (F.col(c) - p[f"{c}_centre"]) / p[f"{c}_scale"]).otherwise(F.col(c))
-    return _replace(df, cols, one)
+    return _replace(df, cols, one, p)
 
 
 def median_impute(df: DataFrame, train: DataFrame, cols: Sequence[str]) -> DataFrame:
     p = as_scalar(exact_quantiles(train, [], {c: F.col(c) for c in cols}, {"": 0.5}))
-    return _replace(df, cols, lambda c: F.coalesce(F.col(c), p[c]))
+    return _replace(df, cols, lambda m, c: F.coalesce(F.col(c), m[c]), p)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sensorloom.functions.expressions import clip
-from sensorloom.operators.ordered import Series, bounded_window, carry_forward, last_rows
+from sensorloom.operators.ordered import Series, bounded_window, carry_forward, last_rows, with_scalar
 from sensorloom.operators.quantiles import exact_quantiles
 
 
@@ -140,7 +140,7 @@ def pad_medians(train_long: DataFrame, features: Sequence[str]) -> DataFrame:
 def impute_pad(long: DataFrame, medians: DataFrame, features: Sequence[str]) -> DataFrame:
     """Padded steps take the training medians."""
     m = medians.select(F.struct(*[F.coalesce(f, F.lit(0.0)).alias(f) for f in features]).alias("m")).scalar()
-    return long.select(*[F.when(F.col("is_pad"), m[c]).otherwise(F.col(c)).alias(c) if c in features else F.col(c)
+    return with_scalar(long, __m=m).select(*[F.when(F.col("is_pad"), F.col("__m")[c]).otherwise(F.col(c)).alias(c) if c in features else F.col(c)
                          for c in long.columns])
 
 
@@ -182,9 +182,10 @@ def quantile_clip(df: DataFrame, limits: DataFrame, features: Sequence[str], ski
     """Clip to the training limits; with ``skip_equal``, leave a feature whose limits coincide."""
     q = limits.select(F.struct("*").alias("q")).scalar()
     def one(f: str) -> Column:
-        c = clip(f, q[f"{f}_lo"], q[f"{f}_hi"])
-        return F.when(q[f"{f}_lo"] == q[f"{f}_hi"], F.col(f)).otherwise(c) if skip_equal else c
-    return df.select(*[one(c).alias(c) if c in features else F.col(c) for c in df.columns])
+        lo, hi = F.col("__q")[f"{f}_lo"], F.col("__q")[f"{f}_hi"]
+        c = clip(f, lo, hi)
+        return F.when(lo == hi, F.col(f)).otherwise(c) if skip_equal else c
+    return with_scalar(df, __q=q).select(*[one(c).alias(c) if c in features else F.col(c) for c in df.columns])
 
 
 def flatten(long: DataFrame, keys: Sequence[str], features: Sequence[str], length: int) -> DataFrame:

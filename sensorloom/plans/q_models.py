@@ -123,7 +123,7 @@ def linear_svm(spark: SparkSession, sf: str) -> DataFrame:
 @query("K2 I7")
 def svm_grid(spark: SparkSession, sf: str) -> DataFrame:
     _, train, _ = model_rows(spark, sf)
-    return models.svm_grid(train, FEATURES, "half", ["base"], cs=(0.1, 10.0), folds=2)
+    return models.svm_grid(train, FEATURES, "half", ["base"], cs=(0.1, 10.0), folds=2, rounds=10)
 
 
 @query("K3")
