@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.functions.expressions import safe_ratio
+from sensorloom.operators.clean import trim_to_bounds
+from sensorloom.operators.ordered import Series, bounded_window, running, with_scalar
 from sensorloom.roles import Roles
 
 EPOCH = "1970-01-01"
@@ -69,38 +70,49 @@ def band_join(contexts: DataFrame, readings: DataFrame, roles: Roles, width: flo
     return c.join(r, cond, how).drop("__eff", "__pc", "__dc", "r___eff", "r___pc", "r___dc")
 
 
-def _interval_cells(intervals: DataFrame, points: DataFrame, on: Sequence[str], date: str,
-                    first: str, last: str, amount: str, days: int) -> DataFrame:
-    """Intervals copied to their date cells, within the range of the asked dates only, so that
-    an open end far in the future costs nothing."""
-    lo, hi = points.select(F.min(date)).scalar(), points.select(F.max(date)).scalar()
-    near = intervals.filter((F.col(first) <= F.col(last)) & (F.col(first) <= hi) & (F.col(last) >= lo))
-    a, b = F.greatest(_day(first), F.datediff(lo, F.lit(EPOCH).cast("date"))), F.least(_day(last), F.datediff(hi, F.lit(EPOCH).cast("date")))
-    return near.select(
-        *on, F.col(first).alias("__from"), F.col(last).alias("__to"), F.col(amount).alias("__amount"),
-        F.explode(F.sequence(F.floor(a / F.lit(days)), F.floor(b / F.lit(days)))).alias("__dc"))
+def interval_segments(intervals: DataFrame, on: Sequence[str], first: str, last: str, amount: str) -> DataFrame:
+    """Intervals as disjoint segments (seg_from, seg_to) with the mean amount valid in them.
 
-
-def interval_load(points: DataFrame, intervals: DataFrame, on: Sequence[str], date: str,
-                  first: str, last: str, amount: str, days: int = 31) -> DataFrame:
-    """Mean amount of the intervals that hold each distinct (``on``, date) point.
-
-    Aggregated per point before it meets the rows, so overlapping intervals do not fan rows
-    out. Intervals are copied to the date cells they span, so one long-lived section does not
-    become one join key.
+    Each interval adds its amount on its first day and takes it back after its last; running
+    sums over those days give what is valid between two of them. Overlaps thus merge here, in
+    the small table, and never multiply the rows that look an amount up.
     """
-    spans = _interval_cells(intervals, points, on, date, first, last, amount, days)
-    dates = points.select(*on, date).distinct().withColumn("__dc", F.floor(_day(date) / F.lit(days)))
-    return (dates.join(spans, [*on, "__dc"])
-            .filter(F.col(date).between(F.col("__from"), F.col("__to")))
-            .groupBy(*on, date).agg(F.avg("__amount").alias(amount)))
-
-
-def validity_join(left: DataFrame, intervals: DataFrame, on: Sequence[str], date: str,
-                  first: str, last: str, amount: str) -> DataFrame:
-    """Left join of the amount valid at the row's date."""
-    load = interval_load(left, intervals, on, date, first, last, amount)
-    return left.join(load, [*on, date], "left")
+    place = list(on)
+    valid = intervals.filter((F.col(first) <= F.col(last)) & F.col(amount).isNotNull())
+    step = F.array(F.struct(F.col(first).alias("day"), F.col(amount).cast("double").alias("add"), F.lit(1).alias("one")),
+                   F.struct(F.date_add(F.col(last), 1).alias("day"), (-F.col(amount)).cast("double").alias("add"), F.lit(-1).alias("one")))
+    days = valid.select(*place, F.inline(step)).groupBy(*place, "day").agg(F.sum("add").alias("add"), F.sum("one").alias("one"))
+    month = Series(place, ["day"], F.trunc("day", "month"))
+    sums = running(days, month, {"total": F.col("add"), "count": F.col("one")})
+    ends = bounded_window(sums, month, lambda w: {"next": F.lead("day", 1).over(w)}, 0, 1)
+    return ends.filter("count > 0").select(
+        *place, F.col("day").alias("seg_from"), F.date_sub(F.col("next"), 1).alias("seg_to"), (F.col("total") / F.col("count")).alias(amount))
+
+
+def _cells_of(spans: DataFrame, first: str, last: str, bounds: DataFrame, date: str, days: int = 31) -> DataFrame:
+    """Copy date spans to the date cells they touch, inside the range of the asked dates only, so
+    that an open end far in the future costs nothing."""
+    asked = bounds.agg(F.struct(F.min(date).alias("lo"), F.max(date).alias("hi")).alias("b")).scalar()
+    near = with_scalar(spans, __b=asked).filter((F.col(first) <= F.col("__b.hi")) & (F.col(last) >= F.col("__b.lo")))
+    a = F.datediff(F.greatest(F.col(first), F.col("__b.lo")), F.lit(EPOCH).cast("date"))
+    b = F.datediff(F.least(F.col(last), F.col("__b.hi")), F.lit(EPOCH).cast("date"))
+    return near.select("*", F.explode(F.sequence(F.floor(a / F.lit(days)), F.floor(b / F.lit(days)))).alias("__dc")).drop("__b")
+
+
+def validity_join(left: DataFrame, intervals: DataFrame, on: Sequence[str], date: str, first: str, last: str, amount: str,
+                  bounds: DataFrame | None = None, days: int = 31) -> DataFrame:
+    """Left join of the mean amount valid at the row's date.
+
+    The key is (place, date cell), so a place with many rows spreads over its dates; at most one
+    segment matches a row. ``bounds`` may name a smaller table with the range of the dates.
+    """
+    cells = _cells_of(interval_segments(intervals, on, first, last, amount), "seg_from", "seg_to", left if bounds is None else bounds, date, days)
+    right = cells.select(*[F.col(c).alias(f"__on_{c}") for c in on], "seg_from", "seg_to", F.col("__dc").alias("__cell"), amount)
+    rows = left.withColumn("__dc", F.floor(_day(date) / F.lit(days)))
+    cond = (F.col("__dc") == F.col("__cell")) & F.col(date).between(F.col("seg_from"), F.col("seg_to"))
+    for c in on:
+        cond = cond & (F.col(c) == F.col(f"__on_{c}"))
+    return rows.join(right, cond, "left").select(*left.columns, amount)
 
 
 def context_day(joined: DataFrame, keys: Sequence[str], channels: Sequence[str], amount: str | None = None,
@@ -113,26 +125,36 @@ def context_day(joined: DataFrame, keys: Sequence[str], channels: Sequence[str],
     return joined.groupBy(*keys).agg(*aggs)
 
 
-def trailing_join(contexts: DataFrame, readings: DataFrame, key: str, on: Sequence[str], r_date: str, date: str,
-                  days: int = 30) -> DataFrame:
-    """Left join of the readings at the same place in the ``days`` days up to the context date."""
+def trailing_join(contexts: DataFrame, daily: DataFrame, on: Sequence[str], r_date: str, date: str, days: int = 30) -> DataFrame:
+    """Inner join of the days at the same place in the ``days`` days up to the context date.
+
+    With one row per place and day, and distinct places and dates on the left, a row meets at
+    most days + 1 others. The key is (place, date cell).
+    """
     cell = days + 1
-    c = contexts.select(key, *on, r_date, F.date_sub(F.col(r_date), days).alias("win_start"))
-    c = c.select("*", F.explode(F.sequence(F.floor(_day("win_start") / F.lit(cell)), F.floor(_day(r_date) / F.lit(cell)))).alias("__dc"))
-    r = readings.withColumn("__dc", F.floor(_day(date) / F.lit(cell)))
-    hits = c.join(r, [*on, "__dc"]).filter(F.col(date).between(F.col("win_start"), F.col(r_date)))
-    return hits.drop("__dc", "win_start")
+    start = F.date_sub(F.col(r_date), days)
+    c = contexts.select("*", F.explode(F.sequence(
+        F.floor(F.datediff(start, F.lit(EPOCH).cast("date")) / F.lit(cell)), F.floor(_day(r_date) / F.lit(cell)))).alias("__dc"))
+    d = daily.withColumn("__dc", F.floor(_day(date) / F.lit(cell)))
+    return c.join(d, [*on, "__dc"]).filter(F.col(date).between(start, F.col(r_date))).drop("__dc")
 
 
 def trailing_stats(contexts: DataFrame, readings: DataFrame, key: str, on: Sequence[str], r_date: str, date: str,
                    speed: str, twist: str, days: int = 30) -> DataFrame:
     """Mean, min, max speed, max twist and distinct reading dates in the trailing window;
-    contexts without a reading keep null and count 0."""
-    hits = trailing_join(contexts, readings, key, on, r_date, date, days)
-    stats = hits.groupBy(key).agg(
-        F.avg(speed).alias("avg_speed"), F.min(speed).alias("min_speed"), F.max(speed).alias("max_speed"),
-        F.max(twist).alias("max_twist"), F.countDistinct(date).alias("window_count"))
-    return contexts.select(key, *on, r_date).join(stats, key, "left").withColumn(
+    contexts without a reading keep null and count 0.
+
+    Readings shrink to one row per place and day, contexts to distinct places and dates, before
+    they meet: a busy place costs its days, not contexts times readings.
+    """
+    place = list(on)
+    daily = readings.groupBy(*place, date).agg(
+        F.sum(speed).alias("__s"), F.count(speed).alias("__n"), F.min(speed).alias("__lo"), F.max(speed).alias("__hi"), F.max(twist).alias("__t"))
+    hits = trailing_join(contexts.select(*place, r_date).distinct(), daily, place, r_date, date, days)
+    stats = hits.groupBy(*place, r_date).agg(
+        (F.sum("__s") / F.nullif(F.sum("__n"), F.lit(0))).alias("avg_speed"), F.min("__lo").alias("min_speed"), F.max("__hi").alias("max_speed"),
+        F.max("__t").alias("max_twist"), F.count(F.lit(1)).alias("window_count"))
+    return contexts.select(key, *place, r_date).join(stats, [*place, r_date], "left").withColumn(
         "window_count", F.coalesce(F.col("window_count"), F.lit(0).cast("long")))
 
 
@@ -141,33 +163,32 @@ def prorated_load(contexts: DataFrame, intervals: DataFrame, key: str, on: Seque
     """Total amount of a place, and the amount up to the context date.
 
     An interval that ended before the date counts in full, a running one by the share of its
-    days. The intervals of a place become a running total by end date; a context reads the
-    ended part from it by an as-of step and joins only the intervals that still run, so no
-    context meets all intervals of its place.
+    days, one of zero length not until it has ended. At any date the sum is done + slope * day
+    + level, and each interval changes these three only on its first day and after its last. So
+    they are running sums over interval ends and context dates in one order; contexts and
+    intervals are never paired.
     """
     place = list(on)
     total = intervals.groupBy(*place).agg(F.sum(amount).alias("total_load"))
-    ended = intervals.groupBy(*place, F.col(last).alias("__at")).agg(F.sum(amount).alias("__add"))
-    asks = contexts.select(*place, F.col(r_date).alias("__at")).distinct()
-    # Ends count for the dates after them, so at equal dates the question comes first.
-    events = ended.select(*place, "__at", "__add", F.lit(1).alias("__kind")).unionByName(
-        asks.select(*place, "__at", F.lit(0.0).alias("__add"), F.lit(0).alias("__kind")))
-    from sensorloom.operators.ordered import Series, running
-
-    done = running(events, Series(place, ["__at", "__kind"], F.trunc("__at", "month")), {"__done": F.col("__add")})
-    done = done.filter(F.col("__kind") == 0).select(*place, F.col("__at").alias(r_date), "__done")
-    days = 31
-    spans = _interval_cells(intervals, contexts, place, r_date, first, last, amount, days)
-    share = safe_ratio(F.datediff(F.col(r_date), F.col("__from")).cast("double"),
-                       F.datediff(F.col("__to"), F.col("__from")).cast("double"))
-    live = (contexts.select(*place, r_date).distinct().withColumn("__dc", F.floor(_day(r_date) / F.lit(days)))
-            .join(spans, [*place, "__dc"]).filter(F.col(r_date).between(F.col("__from"), F.col("__to")))
-            .groupBy(*place, r_date).agg(F.coalesce(F.sum(share * F.col("__amount")), F.lit(0.0)).alias("__live")))
-    return (contexts.select(key, *place, r_date)
-            .join(total, place, "left").join(done, [*place, r_date], "left").join(live, [*place, r_date], "left")
-            .select(key, "total_load",
-                    F.when(F.col("total_load").isNotNull(),
-                           F.coalesce(F.col("__done"), F.lit(0.0)) + F.coalesce(F.col("__live"), F.lit(0.0))).alias("load_to_date")))
+    a = F.col(amount).cast("double")
+    length = F.datediff(F.col(last), F.col(first))
+    rate = F.when(length > 0, a / F.nullif(length, F.lit(0))).otherwise(F.lit(0.0))
+    opens = F.when(length >= 0, rate).otherwise(F.lit(0.0))
+    level = opens * _day(first)
+    zero = F.lit(0.0)
+    changes = intervals.filter(F.col(amount).isNotNull()).select(*place, F.inline(F.array(
+        F.struct(F.col(first).alias("__at"), zero.alias("__done"), opens.alias("__slope"), (-level).alias("__level")),
+        F.struct(F.date_add(F.col(last), 1).alias("__at"), a.alias("__done"), (-opens).alias("__slope"), level.alias("__level")))))
+    parts = ("__done", "__slope", "__level")
+    changes = changes.groupBy(*place, "__at").agg(*[F.sum(p).alias(p) for p in parts]).withColumn("__ask", F.lit(0))
+    asks = contexts.select(*place, F.col(r_date).alias("__at")).distinct().select(*place, "__at", *[zero.alias(p) for p in parts], F.lit(1).alias("__ask"))
+    # A change counts for its own day, so it comes before the questions of that day.
+    series = Series(place, ["__at", "__ask"], F.trunc("__at", "month"))
+    sums = running(changes.unionByName(asks), series, {f"{p}_sum": F.col(p) for p in parts}).filter("__ask = 1")
+    to_date = F.col("__done_sum") + F.col("__slope_sum") * _day("__at") + F.col("__level_sum")
+    answers = sums.select(*place, F.col("__at").alias(r_date), to_date.alias("__load"))
+    return (contexts.select(key, *place, r_date).join(total, place, "left").join(answers, [*place, r_date], "left")
+            .select(key, "total_load", F.when(F.col("total_load").isNotNull(), F.col("__load")).alias("load_to_date")))
 
 
 def days_since(df: DataFrame, since: str, until: str, name: str = "days_since") -> DataFrame:
@@ -209,14 +230,12 @@ def training_table(contexts: DataFrame, raw_readings: DataFrame, roles: Roles, r
     after the trim, so that the date bounds reach the scan. ``interval_on`` names the reading
     columns an interval must equal.
     """
-    from sensorloom.operators.clean import trim_to_bounds
-
     trimmed = read(trim_to_bounds(raw_readings, raw_date, contexts, "win_start", "win_end"))
     bins = bin_readings(trimmed, roles, [roles.base, roles.mapped, roles.position, roles.date])
     joined = band_join_plain(contexts, bins, roles) if plain else band_join(contexts, bins, roles, width)
     if intervals is not None:
         on = [f"r_{c}" for c in (interval_on or [roles.base, roles.position])]
         renamed = intervals.withColumnsRenamed({c[2:]: c for c in on})
-        joined = validity_join(joined, renamed, on, roles.context_date, "from_d", "to_d", amount)
+        joined = validity_join(joined, renamed, on, roles.context_date, "from_d", "to_d", amount, bounds=contexts)
     keys = [*context_cols, f"r_{roles.date}"]
     return context_day(joined, keys, roles.channels, amount if intervals is not None else None)

@@ -14,11 +14,9 @@ rnd, r = B.rnd, B.r
 EVENTS = Series(["section"], ["d", "event_id"])
 EW = "PARTITION BY section ORDER BY d, event_id"
 L = 5
-ORDER = ["d", "ok", "ln", "pos", "qty", "price", "disc", "tax"]
-DESC = ", ".join(f"{c} DESC" for c in ORDER)
-TRAIL = """trail AS (SELECT c.key, c.base, c.r_date, c.break_date, c.label, d, ok, ln, r.pos, qty, price, disc, tax
- FROM contexts c JOIN readings r ON c.base = r.base AND d BETWEEN c.r_date - 30 AND c.r_date)"""
-LONG = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY {DESC}) AS rk, count(*) OVER (PARTITION BY key) AS n FROM trail),
+TRAIL = """daily AS (SELECT base, d, avg(qty) AS qty, avg(disc) AS disc FROM readings GROUP BY base, d),
+trail AS (SELECT c.key, c.base, c.r_date, c.label, daily.d, qty, disc FROM contexts c JOIN daily ON c.base = daily.base AND daily.d BETWEEN c.r_date - 30 AND c.r_date)"""
+LONG = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY d DESC) AS rk, count(*) OVER (PARTITION BY key) AS n FROM trail),
 long AS (SELECT k.key, k.base, k.r_date, k.label, CAST(p.p AS INTEGER) AS pos, p.p <= {L} - least(n, {L}) AS is_pad, coalesce(x.qty, 0) AS qty, coalesce(x.disc, 0) AS disc
  FROM (SELECT key, base, r_date, label, max(n) AS n FROM ranked GROUP BY ALL) k CROSS JOIN range(1, {L} + 1) p(p)
  LEFT JOIN (SELECT key, rk, qty, disc FROM ranked) x ON x.key = k.key AND x.rk = {L} + 1 - p.p)"""
@@ -28,13 +26,14 @@ FEATS = ["qty", "disc"]
 
 
 def trail(spark, sf):
-    c = B.contexts(spark, sf)
-    hits = context.trailing_join(c.drop("pos"), B.readings(spark, sf).drop("mapped"), "key", ["base"], "r_date", "d")
-    return hits.join(c.select("key", "label", "break_date"), "key")
+    """Daily means of a section in the 30 days up to each context date."""
+    c = B.contexts(spark, sf).select("key", "base", "r_date", "label")
+    daily = B.readings(spark, sf).groupBy("base", "d").agg(F.avg("qty").alias("qty"), F.avg("disc").alias("disc"))
+    return context.trailing_join(c, daily, ["base"], "r_date", "d")
 
 
 def long(spark, sf):
-    padded = sequences.last_n_padded(trail(spark, sf), ["key", "base", "r_date", "label"], "d", "r_date", ORDER, FEATS, L)
+    padded = sequences.last_n_padded(trail(spark, sf), ["key", "base", "r_date", "label"], "d", "r_date", ["d"], FEATS, L)
     return sequences.to_long(padded, ["key", "base", "r_date", "label"])
 
 
@@ -57,9 +56,9 @@ def sliding_last(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.explode_steps(sequences.sliding_last(B.days(spark, sf), EVENTS, ["value"], 10), ["event_id", "label"])
 
 
-@query("F3 B22", SEQ + " SELECT * FROM long")
+@query("F3", SEQ + f" SELECT key, base, r_date, label, pos, is_pad, {r('long.qty')} AS qty, {r('long.disc', 6)} AS disc FROM long")
 def last_n_padded(spark: SparkSession, sf: str) -> DataFrame:
-    return long(spark, sf)
+    return long(spark, sf).withColumns({"qty": rnd("qty"), "disc": rnd("disc", 6)})
 
 
 @query("E5", f"WITH {B.DAYS}, x AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY d DESC, event_id DESC) AS rank, count(*) OVER (PARTITION BY section) AS n FROM days) SELECT section, event_id, value, CAST(rank AS INTEGER) AS rank FROM x WHERE rank <= 60 AND n >= 60")
@@ -117,20 +116,20 @@ def anchored_windows_calendar(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.explode_steps(out, ["section", "d"])
 
 
-@query("F7", f"""WITH {B.READINGS}, {B.CONTEXTS}, {TRAIL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY {DESC}) AS rk, count(*) OVER (PARTITION BY key) AS n FROM trail),
+@query("F7", f"""WITH {B.READINGS}, {B.CONTEXTS}, {TRAIL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY d DESC) AS rk, count(*) OVER (PARTITION BY key) AS n FROM trail),
 k AS (SELECT key, least(max(n), {L}) AS n FROM ranked GROUP BY key)
-SELECT k.key, CAST(p AS INTEGER) AS pos, p > k.n AS is_pad, qty FROM k CROSS JOIN range(1, {L} + 1) t(p) JOIN ranked ON ranked.key = k.key AND rk = greatest(k.n - p + 1, 1)""")
+SELECT k.key, CAST(p AS INTEGER) AS pos, p > k.n AS is_pad, {r('qty')} AS qty FROM k CROSS JOIN range(1, {L} + 1) t(p) JOIN ranked ON ranked.key = k.key AND rk = greatest(k.n - p + 1, 1)""")
 def tail_padded(spark: SparkSession, sf: str) -> DataFrame:
-    padded = sequences.last_n_padded(trail(spark, sf), ["key"], "d", None, ORDER, ["qty"], L, pad="edge", side="right")
-    return sequences.to_long(padded, ["key"])
+    padded = sequences.last_n_padded(trail(spark, sf), ["key"], "d", None, ["d"], ["qty"], L, pad="edge", side="right")
+    return sequences.to_long(padded, ["key"]).withColumn("qty", rnd("qty"))
 
 
 @query("F8", SEQ + f""", m AS (SELECT median(qty) AS mq, median(disc) AS md FROM long WHERE {TRAIN} AND NOT is_pad)
-SELECT key, pos, is_pad, CASE WHEN is_pad THEN mq ELSE qty END AS qty, {r('CASE WHEN is_pad THEN md ELSE disc END', 6)} AS disc FROM long, m""")
+SELECT key, pos, is_pad, {r('CASE WHEN is_pad THEN mq ELSE qty END')} AS qty, {r('CASE WHEN is_pad THEN md ELSE disc END', 6)} AS disc FROM long, m""")
 def impute_pad(spark: SparkSession, sf: str) -> DataFrame:
     df = long(spark, sf)
     out = sequences.impute_pad(df, sequences.pad_medians(train_of(df), FEATS), FEATS)
-    return out.select("key", "pos", "is_pad", "qty", rnd("disc", 6).alias("disc"))
+    return out.select("key", "pos", "is_pad", rnd("qty").alias("qty"), rnd("disc", 6).alias("disc"))
 
 
 _SUM = f"""summary AS (SELECT key, label, r_date, count(*) FILTER (NOT is_pad) AS real_count, avg(qty) FILTER (NOT is_pad) AS qty_mean, stddev_pop(qty) FILTER (NOT is_pad) AS qty_std,
@@ -138,11 +137,11 @@ _SUM = f"""summary AS (SELECT key, label, r_date, count(*) FILTER (NOT is_pad) A
  max(CASE WHEN pos = {L} THEN qty END) AS qty_last, list(qty ORDER BY pos) FILTER (NOT is_pad AND pos > {L} - 3) AS tail FROM long GROUP BY key, label, r_date)"""
 
 
-@query("F9", SEQ + f""", {_SUM} SELECT key, coalesce(tail[1], 0) AS qty_last1of3, coalesce(tail[2], 0) AS qty_last2of3, coalesce(tail[3], 0) AS qty_last3of3, qty_last,
- {r('qty_mean')} AS qty_mean, {r('qty_std')} AS qty_std, qty_min, qty_max, {r('CASE WHEN isnan(qty_trend) THEN 0 ELSE qty_trend END')} AS qty_trend, {r(f'real_count / {L}.0::DOUBLE', 6)} AS real_fraction, real_count FROM summary""")
+@query("F9", SEQ + f""", {_SUM} SELECT key, {r('coalesce(tail[1], 0)')} AS qty_last1of3, {r('coalesce(tail[2], 0)')} AS qty_last2of3, {r('coalesce(tail[3], 0)')} AS qty_last3of3, {r('summary.qty_last')} AS qty_last,
+ {r('qty_mean')} AS qty_mean, {r('qty_std')} AS qty_std, {r('summary.qty_min')} AS qty_min, {r('summary.qty_max')} AS qty_max, {r('CASE WHEN isnan(qty_trend) THEN 0 ELSE qty_trend END')} AS qty_trend, {r(f'real_count / {L}.0::DOUBLE', 6)} AS real_fraction, real_count FROM summary""")
 def sequence_summary(spark: SparkSession, sf: str) -> DataFrame:
     out = sequences.sequence_summary(long(spark, sf), ["key"], ["qty"], L, 3)
-    return out.withColumns({"qty_mean": rnd("qty_mean"), "qty_std": rnd("qty_std"), "qty_trend": rnd("qty_trend"), "real_fraction": rnd("real_fraction", 6)})
+    return out.select("key", *[rnd(c).alias(c) for c in out.columns if c.startswith("qty_")], rnd("real_fraction", 6).alias("real_fraction"), "real_count")
 
 
 @query("F11 B17", f"""WITH {B.READINGS}, q AS (SELECT quantile_cont(price, 0.005) AS lo, quantile_cont(price, 0.995) AS hi FROM readings WHERE d < DATE '1999-01-01')
@@ -153,9 +152,10 @@ def quantile_clip(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.quantile_clip(df, limits, ["price"], skip_equal=True).withColumn("price", rnd("price"))
 
 
-@query("F12", SEQ + " SELECT key, " + ", ".join(f"max(qty) FILTER (pos = {i}) AS t{i}_qty, max(disc) FILTER (pos = {i}) AS t{i}_disc" for i in range(1, L + 1)) + " FROM long GROUP BY key")
+@query("F12", SEQ + " SELECT key, " + ", ".join(f"{r(f'max(qty) FILTER (pos = {i})')} AS t{i}_qty, {r(f'max(disc) FILTER (pos = {i})', 6)} AS t{i}_disc" for i in range(1, L + 1)) + " FROM long GROUP BY key")
 def flatten(spark: SparkSession, sf: str) -> DataFrame:
-    return sequences.flatten(long(spark, sf), ["key"], FEATS, L)
+    out = sequences.flatten(long(spark, sf), ["key"], FEATS, L)
+    return out.select("key", *[rnd(c, 6 if c.endswith("disc") else 4).alias(c) for c in out.columns[1:]])
 
 
 ROWS = "ok, ln, pos, d"
