@@ -123,21 +123,19 @@ def density_ratio_weight(train: DataFrame, test: DataFrame, cols: Sequence[str],
                          sizes: Sequence[int] = (512, 1024, 2048), lo: float = 0.2, hi: float = 5.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Weights p / (1 - p) of a train-against-test classifier on Fourier features, clipped; of
     all settings the one whose classifier separates worst. Also returns the settings with their AUC."""
-    both = _tagged(train, test, cols).withColumnRenamed("__actual", "label").persist()
-    try:
-        n = both.count()
-        tried, best = [], None
-        for size in sizes:
-            for gamma in gammas:
-                rows = fourier_features(both, cols, gamma, size, seed)
-                model = LogisticRegression(featuresCol="z", labelCol="label", regParam=1.0 / max(n, 1), maxIter=100, standardization=False).fit(rows)
-                scored = model.transform(rows).select("label", vector_to_array("probability")[1].alias("score"))
-                auc = ranking_metrics(scored, "score", "label").first()["roc_auc"]
-                tried.append((float(gamma), int(size), float(auc)))
-                if best is None or auc < best[0]:
-                    best = (auc, gamma, size, model)
-    finally:
-        both.unpersist()
+    both = _tagged(train, test, cols).withColumnRenamed("__actual", "label")
+    both = cut_lineage(both)
+    n = both.count()
+    tried, best = [], None
+    for size in sizes:
+        for gamma in gammas:
+            rows = fourier_features(both, cols, gamma, size, seed)
+            model = LogisticRegression(featuresCol="z", labelCol="label", regParam=1.0 / max(n, 1), maxIter=100, standardization=False).fit(rows)
+            scored = model.transform(rows).select("label", vector_to_array("probability")[1].alias("score"))
+            auc = ranking_metrics(scored, "score", "label").first()["roc_auc"]
+            tried.append((float(gamma), int(size), float(auc)))
+            if best is None or auc < best[0]:
+                best = (auc, gamma, size, model)
     _, gamma, size, model = best
     p = vector_to_array("probability")[1]
     out = model.transform(fourier_features(train, cols, gamma, size, seed)).select(

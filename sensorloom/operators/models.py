@@ -21,6 +21,7 @@ from sensorloom.operators.ordered import Series, carry_forward, with_scalar
 from sensorloom.operators.quantiles import exact_quantiles
 from sensorloom.operators.resample import balanced_class_weight
 from sensorloom.operators.splits import group_kfold
+from sensorloom.session import cut_lineage
 
 
 def _stages(features: Sequence[str], scale: bool) -> list:
@@ -31,17 +32,15 @@ def _stages(features: Sequence[str], scale: bool) -> list:
 
 
 def _fit(stages: list, rows: DataFrame) -> PipelineModel:
-    """Fit with the training rows kept while the stages pass over them."""
-    kept = rows.persist()
-    try:
-        return Pipeline(stages=stages).fit(kept)
-    finally:
-        kept.unpersist()
+    """Fit on checkpointed training rows: iterations start from files, with a short lineage,
+    and a lost executor costs a re-read and not the whole assembly."""
+    return Pipeline(stages=stages).fit(cut_lineage(rows))
 
 
 def linear_svm(train: DataFrame, features: Sequence[str], label: str, c: float = 1.0, rounds: int = 100) -> PipelineModel:
     """Scaled, class-balanced linear SVM. Spark ML has the plain hinge loss only; the penalty
     ``c`` enters as 1 / (c * rows)."""
+    train = cut_lineage(train)
     n = max(train.count(), 1)
     svc = LinearSVC(featuresCol="features", labelCol=label, weightCol="weight", maxIter=rounds, regParam=1.0 / (c * n), standardization=False)
     return _fit([*_stages(features, True), svc], balanced_class_weight(train, label))
@@ -61,19 +60,16 @@ def probability_score(model, df: DataFrame) -> DataFrame:
 def svm_grid(train: DataFrame, features: Sequence[str], label: str, group: Sequence[str], cs: Sequence[float] = (0.1, 1.0, 10.0), folds: int = 3,
              rounds: int = 100) -> DataFrame:
     """Mean average precision and median best-F1 threshold of each penalty over group folds."""
-    folded = group_kfold(train, group, folds).persist()
+    folded = cut_lineage(group_kfold(train, group, folds))
     rows = []
-    try:
-        for c in cs:
-            aps, thresholds = [], []
-            for k in range(folds):
-                model = linear_svm(folded.filter(F.col("fold") != k), features, label, c, rounds)
-                scored = margin_score(model, folded.filter(F.col("fold") == k))
-                aps.append(ranking_metrics(scored, "score", label).first()["average_precision"])
-                thresholds.append(best_f1_on_curve(scored, "score", label).first()["threshold"])
-            rows.append((float(c), float(np.mean(aps)), float(np.median([t for t in thresholds if t is not None]))))
-    finally:
-        folded.unpersist()
+    for c in cs:
+        aps, thresholds = [], []
+        for k in range(folds):
+            model = linear_svm(folded.filter(F.col("fold") != k), features, label, c, rounds)
+            scored = margin_score(model, folded.filter(F.col("fold") == k))
+            aps.append(ranking_metrics(scored, "score", label).first()["average_precision"])
+            thresholds.append(best_f1_on_curve(scored, "score", label).first()["threshold"])
+        rows.append((float(c), float(np.mean(aps)), float(np.median([t for t in thresholds if t is not None]))))
     return train.sparkSession.createDataFrame(rows, "c double, average_precision double, threshold double")
 
 
