@@ -120,7 +120,7 @@ def fourier_features(df: DataFrame, cols: Sequence[str], gamma: float, size: int
 
 
 def density_ratio_weight(train: DataFrame, test: DataFrame, cols: Sequence[str], gammas: Sequence[float] = (0.2, 0.3, 0.5, 0.8, 1.2),
-                         sizes: Sequence[int] = (512, 1024, 2048), lo: float = 0.2, hi: float = 5.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+                         sizes: Sequence[int] = (512, 1024, 2048), lo: float = 0.2, hi: float = 5.0, seed: int = 42, rounds: int = 100) -> tuple[DataFrame, DataFrame]:
     """Weights p / (1 - p) of a train-against-test classifier on Fourier features, clipped; of
     all settings the one whose classifier separates worst. Also returns the settings with their AUC."""
     both = _tagged(train, test, cols).withColumnRenamed("__actual", "label")
@@ -130,7 +130,7 @@ def density_ratio_weight(train: DataFrame, test: DataFrame, cols: Sequence[str],
     for size in sizes:
         for gamma in gammas:
             rows = fourier_features(both, cols, gamma, size, seed)
-            model = LogisticRegression(featuresCol="z", labelCol="label", regParam=1.0 / max(n, 1), maxIter=100, standardization=False).fit(rows)
+            model = LogisticRegression(featuresCol="z", labelCol="label", regParam=1.0 / max(n, 1), maxIter=rounds, standardization=False).fit(rows)
             scored = model.transform(rows).select("label", vector_to_array("probability")[1].alias("score"))
             auc = ranking_metrics(scored, "score", "label").first()["roc_auc"]
             tried.append((float(gamma), int(size), float(auc)))
