@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -44,9 +44,11 @@ def psi(expected: DataFrame, actual: DataFrame, cols: Sequence[str], bins: int =
     cells = with_scalar(_tagged(expected, actual, cols), __q=q).select("__actual", F.explode(pairs).alias("p")).select("__actual", "p.*").filter("bin IS NOT NULL")
     counts = cells.groupBy("feature", "bin").agg(F.count(F.when(F.col("__actual") == 0, 1)).alias("e"), F.count(F.when(F.col("__actual") == 1, 1)).alias("a"))
     # One row per feature and bin from here on.
-    totals = counts.groupBy("feature").agg(F.greatest(F.sum("e"), F.lit(1)).alias("te"), F.greatest(F.sum("a"), F.lit(1)).alias("ta"))
-    er, ar = F.greatest(F.col("e") / F.col("te"), F.lit(FLOOR)), F.greatest(F.col("a") / F.col("ta"), F.lit(FLOOR))
-    return counts.join(totals, "feature").groupBy("feature").agg(F.sum((ar - er) * F.log(ar / er)).alias("psi"))
+    feature = Window.partitionBy("feature")
+    def share(c: str) -> Column:
+        return F.greatest(F.col(c) / F.greatest(F.sum(c).over(feature), F.lit(1)), F.lit(FLOOR))
+    er, ar = F.col("er"), F.col("ar")
+    return counts.select("feature", share("e").alias("er"), share("a").alias("ar")).groupBy("feature").agg(F.sum((ar - er) * F.log(ar / er)).alias("psi"))
 
 
 def ks_statistic(expected: DataFrame, actual: DataFrame, cols: Sequence[str]) -> DataFrame:

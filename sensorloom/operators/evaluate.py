@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions.expressions import value_bucket
-from sensorloom.operators.ordered import Series, last_rows, running, with_scalar
+from sensorloom.operators.ordered import Series, last_rows, running, salted_join, with_scalar
 from sensorloom.operators.quantiles import exact_quantiles
 
 EPS = 1e-8
@@ -41,15 +41,15 @@ def smoothed_prior(df: DataFrame, train: DataFrame, base: str, label: str, m: fl
     """(positives + m * g) / max(1, n + m) per base on the training rows, g where a base is unseen."""
     g = train.agg(F.avg(label).alias("g")).scalar()
     table = train.groupBy(base).agg(F.sum(label).alias("__s"), F.count(label).alias("__n"))
-    prior = (F.coalesce("__s", F.lit(0)) + F.lit(m) * g) / F.greatest(F.lit(1.0), F.coalesce("__n", F.lit(0)) + F.lit(m))
-    return df.join(table, base, "left").select(*df.columns, prior.alias("prior"))
+    prior = (F.coalesce("__s", F.lit(0)) + F.lit(m) * F.col("__g")) / F.greatest(F.lit(1.0), F.coalesce("__n", F.lit(0)) + F.lit(m))
+    return with_scalar(salted_join(df, table, [base]), __g=g).select(*df.columns, prior.alias("prior"))
 
 
 def base_rate(df: DataFrame, train: DataFrame, base: str, label: str) -> DataFrame:
     """Positive rate of the base on the training rows, the overall rate where it is unseen."""
     g = train.agg(F.avg(label).alias("g")).scalar()
     table = train.groupBy(base).agg(F.avg(label).alias("__rate"))
-    return df.join(table, base, "left").select(*df.columns, F.coalesce("__rate", g).alias("rate"))
+    return salted_join(df, table, [base]).select(*df.columns, F.coalesce("__rate", g).alias("rate"))
 
 
 def clean_scores(df: DataFrame, score: str, label: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from sensorloom.functions.expressions import risk_ratio
-from sensorloom.operators.ordered import Series, bounded_window, carry_forward, null_safe_join
+from sensorloom.operators.ordered import Series, bounded_window, carry_forward, null_safe_join, salted_join
 from sensorloom.operators.quantiles import exact_quantiles
 
 
@@ -55,9 +55,10 @@ def monthly_limits(df: DataFrame, keys: Sequence[str], limits: Sequence[Limit])
     return out
 
 
-def threshold_join(df: DataFrame, limits: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join of the limits of the row's group."""
-    return df.join(limits, list(keys), "left")
+def threshold_join(df: DataFrame, limits: DataFrame, keys: Sequence[str], spread: Sequence[str] | None = None) -> DataFrame:
+    """Left join of the values of the row's group; a busy group is salted, because an aggregate
+    or a second such join on the same keys keeps Spark from splitting it at run time."""
+    return salted_join(df, limits, keys, spread)
 
 
 def spike_counts(with_limits: DataFrame, keys: Sequence[str], limits: Sequence[Limit]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegressi
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions.expressions import value_bucket
@@ -185,10 +185,9 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins:
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), cell(c).alias("bin")) for c in features])
     cells = with_scalar(df, __q=q).select(F.col(label).alias("y"), F.explode(pairs).alias("p")).groupBy("p.feature", "p.bin", "y").agg(F.count(F.lit(1)).alias("n"))
     # At most features x bins x classes rows from here on.
-    x = cells.groupBy("feature", "bin").agg(F.sum("n").alias("nx"))
-    y = cells.groupBy("feature", "y").agg(F.sum("n").alias("ny"))
-    t = cells.groupBy("feature").agg(F.sum("n").alias("nt"))
-    j = cells.join(x, ["feature", "bin"]).join(y, ["feature", "y"]).join(t, "feature")
+    def total(*by: str) -> Column:
+        return F.sum("n").over(Window.partitionBy("feature", *by))
+    j = cells.select("feature", "n", total("bin").alias("nx"), total("y").alias("ny"), total().alias("nt"))
     n, nt = F.col("n"), F.col("nt")
     return j.groupBy("feature").agg(F.sum(n / nt * F.log(n * nt / (F.col("nx") * F.col("ny")))).alias("mi"))
 

@@ -148,15 +148,17 @@ def mark_lowest(df: DataFrame, n: Column, series: Series, name: str = "chosen")
     it are out, without moving a row; only the rows of that one block are ranked.
     """
     rows = series.blocked(df)
-    counts = rows.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("n"))
+    counts = with_scalar(rows.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("n")), __wanted=n)
     upto = F.sum("n").over(Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, 0))
-    cut = counts.select(BLOCK, "n", upto.alias("upto")).filter(F.col("upto") > n).agg(
-        F.min(F.struct(F.col(BLOCK).alias("block"), (F.col("upto") - F.col("n")).alias("before"))).alias("cut")).scalar()
-    clear = rows.filter(cut.isNull() | (F.col(BLOCK) != cut["block"])).withColumn(
-        name, cut.isNull() | (F.col(BLOCK) < cut["block"]))
+    cut = counts.select(BLOCK, "n", "__wanted", upto.alias("upto")).filter("upto > __wanted").agg(
+        F.min(F.struct(F.col(BLOCK).alias("block"), (F.col("__wanted") - F.col("upto") + F.col("n")).alias("left"))).alias("cut")).scalar()
+    marked = with_scalar(rows, __cut=cut)
+    inside = F.col("__cut").isNull() | (F.col(BLOCK) < F.col("__cut.block"))
+    at_cut = F.coalesce(F.col(BLOCK) == F.col("__cut.block"), F.lit(False))
+    clear = marked.filter(~at_cut).withColumn(name, inside)
     rank = F.row_number().over(Window.partitionBy(BLOCK).orderBy(*series.order))
-    edge = rows.filter(F.col(BLOCK) == cut["block"]).withColumn(name, rank <= n - cut["before"])
-    return clear.unionByName(edge).drop(BLOCK)
+    edge = marked.filter(at_cut).withColumn(name, rank <= F.col("__cut.left"))
+    return clear.unionByName(edge).drop(BLOCK, "__cut")
 
 
 def mark_lowest_per_key(df: DataFrame, series: Series, quota: DataFrame, amount: str, name: str = "chosen") -> DataFrame:
@@ -180,3 +182,14 @@ def with_scalar(df: DataFrame, **scalars: Column) -> DataFrame:
     """Add scalar subqueries as columns, so that a plan holds each of them once however often
     its fields are used."""
     return df.withColumns(scalars)
+
+
+def salted_join(df: DataFrame, table: DataFrame, keys: Sequence[str], spread: Sequence[str] | None = None, salts: int = 16) -> DataFrame:
+    """Left join to a table with one row per key, in which a hot key is spread over ``salts`` tasks.
+
+    The salt comes from the values of ``spread`` (all columns by default), so a repeated task
+    sends its rows to the same place again.
+    """
+    salt = F.pmod(F.xxhash64(*(spread or df.columns)), F.lit(salts)).cast("int")
+    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("__salt", salt).join(copies, [*keys, "__salt"], "left").drop("__salt")

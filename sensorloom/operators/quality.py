@@ -217,8 +217,8 @@ def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         cells = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).dropna().groupBy("x", "y").agg(
             F.count(F.lit(1)).alias("n"))
         mid = cells.agg(((F.sum("n") + 1) / F.lit(2.0)).alias("m")).scalar()
-        j = cells.join(average_ranks(cells, "x", "rx"), "x").join(average_ranks(cells, "y", "ry"), "y")
-        dx, dy, n = F.col("rx") - mid, F.col("ry") - mid, F.col("n")
+        j = with_scalar(cells.join(average_ranks(cells, "x", "rx"), "x").join(average_ranks(cells, "y", "ry"), "y"), __mid=mid)
+        dx, dy, n = F.col("rx") - F.col("__mid"), F.col("ry") - F.col("__mid"), F.col("n")
         sums = j.agg(F.sum(n * dx * dy).alias("xy"), F.sum(n * dx * dx).alias("xx"), F.sum(n * dy * dy).alias("yy"))
         return sums.select(F.lit(a).alias("a"), F.lit(b).alias("b"),
                            (F.col("xy") / F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0))).alias("rho"))

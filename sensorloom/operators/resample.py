@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.expressions import hash_key, hash_unit, value_bucket
-from sensorloom.operators.ordered import Series, hash_series, mark_lowest, mark_lowest_per_key, positions
+from sensorloom.operators.ordered import Series, hash_series, mark_lowest, mark_lowest_per_key, positions, with_scalar
 
 HASH = "__h"
 
@@ -36,10 +36,9 @@ def oversample_random(df: DataFrame, label: str, keys: Sequence[str], seed: int
 
     Each row is copied size-ratio times, and the rest comes from the rows first in hash order.
     """
-    sizes = class_sizes(df, label)
-    largest = F.array_max(F.map_values(sizes))
     ranked = positions(_hashed(df, keys, seed), hash_series([label], HASH, ties), "__rn")
-    own = sizes[F.col(label)]
+    ranked = with_scalar(ranked, __sizes=class_sizes(df, label))
+    largest, own = F.array_max(F.map_values("__sizes")), F.col("__sizes")[F.col(label)]
     copies = F.floor(largest / own) + F.when(F.col("__rn") <= largest % own, 1).otherwise(0)
     return ranked.select(*df.columns, F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("copy"))
 
@@ -57,12 +56,12 @@ def oversample_stratified(df: DataFrame, label: str, strata: Sequence[str], keys
     """Minority replicated to majority * ratio rows; the incomplete last copy takes the lowest
     ranks of every stratum first."""
     minority, majority = df.filter(F.col(label) == 1), df.filter(F.col(label) == 0)
-    have = count_where(df, F.col(label) == 1)
-    target = F.floor(count_where(df, F.col(label) == 0) * F.lit(ratio))
+    plan = df.agg(F.struct(F.floor(F.count(F.when(F.col(label) == 0, 1)) * F.lit(ratio)).alias("target"),
+                           F.count(F.when(F.col(label) == 1, 1)).alias("have")).alias("p")).scalar()
     ranked = positions(_hashed(minority, keys, seed), hash_series(strata, HASH, ties), "__rank")
     by_rank = Series([], ["__rank", HASH, *strata, *ties], value_bucket(F.col("__rank").cast("double"), 4096))
-    marked = mark_lowest(ranked, target % have, by_rank)
-    copies = (F.floor(target / have) + F.when(F.col("chosen"), 1).otherwise(0)).cast("int")
+    marked = with_scalar(mark_lowest(ranked, plan["target"] % F.nullif(plan["have"], F.lit(0)), by_rank), __plan=plan)
+    copies = (F.floor(F.col("__plan.target") / F.col("__plan.have")) + F.when(F.col("chosen"), 1).otherwise(0)).cast("int")
     # sequence() counts down when the end lies below the start, so rows without a copy are dropped first.
     extra = marked.withColumn("__copies", copies).filter("__copies > 0").select(
         *df.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))

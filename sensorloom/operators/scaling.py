@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.operators.ordered import with_scalar
+from sensorloom.operators.ordered import salted_join, with_scalar
 from sensorloom.operators.quantiles import exact_quantiles
 
 
@@ -38,7 +38,7 @@ def as_scalar(params: DataFrame) -> Column:
 def params_join(df: DataFrame, params: DataFrame, on: Sequence[str], fallback: Column, names: Sequence[str]) -> DataFrame:
     """Per-base parameters, the global ones where a base has none."""
     local = params.select(*on, *[F.col(n).alias(f"__{n}") for n in names])
-    joined = with_scalar(df.join(local, list(on), "left"), __p=fallback)
+    joined = with_scalar(salted_join(df, local, on), __p=fallback)
     return joined.select(*df.columns, *[F.coalesce(F.col(f"__{n}"), F.col("__p")[n]).alias(n) for n in names])
 
 

@@ -50,10 +50,10 @@ def monthly_two_sigma(spark: SparkSession, sf: str) -> DataFrame:
 def risk_and_spikes(spark: SparkSession, sf: str) -> DataFrame:
     rows = months(spark, sf)
     limits = features.monthly_limits(rows, MONTH, LIMITS)
-    joined = features.threshold_join(rows, limits, MONTH)
+    joined = features.threshold_join(rows, limits, MONTH, ["ok", "ln"])
     spikes = features.spike_counts(
         joined.withColumns({x.name: F.col(x.name) + F.lit(1e-12) for x in LIMITS}), MONTH, LIMITS[:2])
-    out = features.threshold_join(features.risk_features(joined, LIMITS[:3]), spikes, MONTH)
+    out = features.threshold_join(features.risk_features(joined, LIMITS[:3]), spikes, MONTH, ["ok", "ln"])
     return out.select("ok", "ln", "pos", "base", "d", "spikes_qty", "spikes_disc",
                       *[rnd(f"risk_{c}", 6).alias(f"risk_{c}") for c in ("qty", "disc", "price")])
 
@@ -62,7 +62,7 @@ def risk_and_spikes(spark: SparkSession, sf: str) -> DataFrame:
 def monthly_spikes(spark: SparkSession, sf: str) -> DataFrame:
     rows = months(spark, sf)
     limits = features.monthly_p95(rows, MONTH, LIMITS[:2])
-    joined = features.threshold_join(rows, limits, MONTH)
+    joined = features.threshold_join(rows, limits, MONTH, ["ok", "ln"])
     return features.spike_counts(joined.withColumns({x.name: F.col(x.name) + F.lit(1e-12) for x in LIMITS[:2]}), MONTH, LIMITS[:2])
 
 
