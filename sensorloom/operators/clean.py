@@ -34,13 +34,14 @@ def date_floor(df: DataFrame, date: str, first: str) -> DataFrame:
 def trim_to_bounds(readings: DataFrame, date: str, contexts: DataFrame, start: str, end: str) -> DataFrame:
     """Readings inside the overall window of the contexts.
 
-    The bounds are scalar subqueries, known before the readings are scanned; they reach the
-    Parquet reader as filters on the raw column, which may be a date or a timestamp.
+    The bounds are scalar subqueries of the raw column's own type, known before the readings
+    are scanned, so the Parquet reader skips row groups by them. One is an aggregate and one a
+    top-1: two aggregates would be merged into one struct, which the reader cannot use.
     """
-    lo = contexts.select(F.min(start)).scalar()
-    hi = contexts.select(F.date_add(F.max(end), 1)).scalar()
     kind = readings.schema[date].dataType.simpleString()
-    return readings.filter((F.col(date) >= lo.cast(kind)) & (F.col(date) < hi.cast(kind)))
+    lo = contexts.select(F.min(start).cast(kind).alias("lo")).scalar()
+    hi = contexts.select(F.date_add(F.col(end), 1).cast(kind).alias("hi")).filter("hi IS NOT NULL").orderBy(F.desc("hi")).limit(1).scalar()
+    return readings.filter((F.col(date) >= lo) & (F.col(date) < hi))
 
 
 def context_window(df: DataFrame, r_date: str, position: str, days: int = 30, width: float | int = 0.02,
