@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sensorloom.functions.expressions import hash_key
+from sensorloom.operators.ordered import hash_series, mark_lowest
 
 
 def scan_table(spark: SparkSession, name: str) -> DataFrame:
@@ -40,8 +41,11 @@ def load_csv_tables(spark: SparkSession, folder: str, schemas: dict[str, StructT
 
 
 def random_scan(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42, ties: Sequence[str] = ()) -> DataFrame:
-    """``n`` rows in hash order; runs as a per-partition top-n, not as a full sort."""
-    return df.orderBy(hash_key(seed, *keys), *ties).limit(n)
+    """The first ``n`` rows in hash order. A cut-off block is found by counts, so a large ``n``
+    is not gathered in one task."""
+    hashed = df.withColumn("__h", hash_key(seed, *keys))
+    marked = mark_lowest(hashed, F.lit(n), hash_series([], "__h", ties, digits=5))
+    return marked.filter("chosen").select(*df.columns)
 
 
 def choose_source(spark: SparkSession, context: str, training: str, testing: str) -> DataFrame:
