@@ -26,11 +26,17 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """Fresh path for an intermediate table, in the shared folder named by
-    ``spark.checkpoint.dir``; only where that is unset (a local test) in a temporary folder."""
+    """Fresh path for an intermediate table, in the shared folder named by ``spark.checkpoint.dir``.
+
+    Only a session in one process (a local test) may leave that unset; it gets a temporary folder.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    folder = shared or tempfile.mkdtemp(prefix="sensorloom-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="sensorloom-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
