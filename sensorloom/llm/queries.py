@@ -1,11 +1,12 @@
 """The queries of this package and their SQL."""
 
-from sensorloom.llm import exact_dedup, licenses, mixing, packing, shards, topk
+from sensorloom.llm import exact_dedup, licenses, mixing, packing, shards, topk, toxicity
 
 QUERIES = {
     "op1_min_slack_packing": (packing.op1_min_slack_packing, None),
     "op2_exact_top_k": (topk.op2_exact_top_k, topk.SQL),
     "op3_exact_dedup": (exact_dedup.op3_exact_dedup, exact_dedup.SQL),
+    "op4_toxicity_field": (toxicity.op4_toxicity_field, None),
     "op5_two_pass_shards": (shards.op5_two_pass_shards, None),
     "op8_license_scan": (licenses.op8_license_scan, None),
     "op10_source_mix": (mixing.op10_source_mix, None),
