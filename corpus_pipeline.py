@@ -1,14 +1,45 @@
-"""Corpus pipeline: each stage's rows are written and read again as the next one's documents."""
+"""Corpus pipeline: each stage's rows are written as Parquet and read again as the next one's documents.
+
+Toxic documents go, of equal texts one stays, of near duplicates one stays, the sources are mixed to their target weights (a
+document stands as often as the mix takes it), and the rest is packed into sequences.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from sensorloom.llm import exact_dedup, mixing, near_dup, packing, toxicity
 from sensorloom.session import scratch_path
 
-STAGES = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = toxicity.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    return toxicity.drop_toxic(docs, toxicity.fit(docs.select("doc_id", "text"), labels))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.apply_mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_duplicates", drop_near_copies), ("source_mix", mix_sources), ("packing", pack)]
+
+#: A fitted field, hash orders and a tokenizer are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:

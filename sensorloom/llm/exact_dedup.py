@@ -14,15 +14,10 @@ from pyspark.sql import functions as F
 from sensorloom.llm.common import bucket_of, keep, lower_ascii, text_of
 
 
-def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", prefix: int = 48) -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
-
-    Texts are equal when identical after lower-casing A-Z; a null text counts as empty. The row with the largest identifier
-    stays (a null identifier only if the group has no other; of rows that repeat it, one). Other columns are not read. An
-    empty table gives no rows.
-    """
+def compare_neighbours(docs: DataFrame, id_column: str, text_column: str, prefix: int, record: list) -> DataFrame:
+    """Per row: its chunk's best identifier, size and first row, after the content sort; ``record`` columns are carried along."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"), *record)
     # Texts that are equal after lower-casing A-Z are equal after full lower-casing too, which is cheaper.
     rough = F.xxhash64(F.lower("text"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -30,18 +25,28 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     # At most 2 * ranges groups exceed a chunk, so this table may be broadcast.
     hot = rows.groupBy(rough.alias("rough")).count().where(F.col("count") > chunk).select(
         "rough", F.ceil(F.col("count") / chunk).alias("chunks"))
+    more = [c for c in rows.columns if c not in ("doc_id", "text")]
     rows = rows.withColumn("rough", rough).join(F.broadcast(hot), "rough", "left").select(
         "doc_id", "rough", F.coalesce("chunks", F.lit(1)).alias("chunks"),
-        lower_ascii(F.substring("text", 1, prefix)).alias("head"), lower_ascii(F.col("text")).alias("norm"))
+        lower_ascii(F.substring("text", 1, prefix)).alias("head"), lower_ascii(F.col("text")).alias("norm"), *more)
     rows = rows.withColumn("chunk", bucket_of(F.col("chunks"), F.col("doc_id")))
     ranged = rows.repartitionByRange("head", "rough", "chunk")
     # The range keys are part of the window's keys: no further exchange, one sort, neighbours compared by the whole text.
     equal = Window.partitionBy("head", "rough", "chunk", "norm")
     best_first = equal.orderBy(F.col("doc_id").desc_nulls_last())
-    found = ranged.select(
+    return ranged.select(
         "doc_id", "chunks", F.sha2("norm", 256).alias("text_sha256"), F.first("doc_id").over(best_first).alias("best"),
-        F.count(F.lit(1)).over(equal).alias("n"), (F.row_number().over(best_first) == 1).alias("first"))
-    found = keep(found, "exact-dedup")
+        F.count(F.lit(1)).over(equal).alias("n"), (F.row_number().over(best_first) == 1).alias("first"), *more)
+
+
+def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", prefix: int = 48) -> DataFrame:
+    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
+
+    Texts are equal when identical after lower-casing A-Z; a null text counts as empty. The row with the largest identifier
+    stays (a null identifier only if the group has no other; of rows that repeat it, one). Other columns are not read. An
+    empty table gives no rows.
+    """
+    found = keep(compare_neighbours(docs, id_column, text_column, prefix, []), "exact-dedup")
     # Chunks of one text meet by their digest; only cut groups have more than one.
     cut = found.where("first AND chunks > 1").groupBy("text_sha256").agg(F.max("best").alias("all_best"), F.sum("n").alias("all_n"))
     out = found.join(cut, "text_sha256", "left")
@@ -51,6 +56,15 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
                       (F.col("first") & F.col("doc_id").eqNullSafe(keep_id)).alias("kept"), "text_sha256")
 
 
+def drop_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", prefix: int = 48) -> DataFrame:
+    """The rows that ``exact_duplicates`` keeps, with all their columns."""
+    found = compare_neighbours(docs, id_column, text_column, prefix, [F.struct("*").alias("record")])
+    firsts = keep(found.where("first").select("record", "chunks", "text_sha256", "best"), "exact-dedup")
+    best = Window.partitionBy("text_sha256").orderBy(F.col("best").desc_nulls_last())
+    cut = firsts.where("chunks > 1").withColumn("rank", F.row_number().over(best)).where("rank = 1")  # one row per chunk
+    return firsts.where("chunks = 1").select("record.*").unionByName(cut.select("record.*"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -105,6 +105,18 @@ def mixed_words(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def apply_mix(docs: DataFrame, **settings) -> DataFrame:
+    """The documents that the mix takes, with all their columns: each as often as its taken words fill it, rounded.
+
+    A row that repeats another's identifier and text should have been removed before.
+    """
+    key = F.struct(F.col("doc_id"), F.xxhash64(text_of()).alias("text_hash"))
+    mix = mixed_words(docs.select(key.alias("key"), "text", "source"), id_column="key", **settings)
+    times = mix.where("size > 0").select(F.col("doc_id").alias("__key"), F.round(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    rows = docs.select(F.struct("*").alias("__row"), key.alias("__key")).join(times.where("__times > 0"), "__key")
+    return rows.select("__row", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row.*")
+
+
 def op10_source_mix(spark, sf_dir):
     return mixed_words(table(spark, sf_dir, "documents")).drop("source")
 

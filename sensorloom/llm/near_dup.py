@@ -234,6 +234,12 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
                       F.coalesce("partners", F.lit(0)).alias("n_partner_texts"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
 
 
+def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """One row of each class of near duplicates, that with the smallest identifier, with all its columns."""
+    others = near_duplicates(docs, **settings).where("doc_id <> class_id").select(F.col("doc_id").alias("__dropped")).distinct()
+    return docs.join(others, docs["doc_id"] == others["__dropped"], "left_anti")
+
+
 def op9_ngram_jaccard_join(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 

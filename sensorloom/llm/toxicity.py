@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -298,6 +299,18 @@ def score_toxicity(docs: DataFrame, model: Scorer, id_column: str = "doc_id", te
         score, f"doc_id {kind}, score double, spans array<struct<start: int, end: int, score: double>>")
 
 
+def drop_toxic(docs: DataFrame, model: Scorer, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
+    """The rows whose text scores below the threshold, with all their columns."""
+    at = docs.columns.index(text_column)
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            measures, _ = model.measure(batch.column(at).to_pylist())
+            yield batch.filter(pa.array(model.score(measures) < threshold))
+
+    return docs.mapInArrow(select, docs.schema)
+
+
 def training_labels(labels: DataFrame) -> DataFrame:
     return labels.where(crc_mod("doc_id", 3) != 1)
 
