@@ -54,7 +54,8 @@ def block_counts(docs: DataFrame, vocabulary: set[bytes], text_column: str = "te
             for text in batch["text"]:
                 for line in (text or "").split("\n"):
                     seen.update(vocabulary.intersection(words(line)))
-            yield pd.DataFrame({"word": [w.decode() for w in seen], "blocks": list(seen.values())})
+            if seen:
+                yield pd.DataFrame({"word": [w.decode() for w in seen], "blocks": list(seen.values())})
 
     found = docs.select(F.col(text_column).alias("text")).mapInPandas(count, "word string, blocks long")
     return {r["word"].encode(): r["n"] for r in found.groupBy("word").agg(F.sum("blocks").alias("n")).collect()}

@@ -226,7 +226,8 @@ def find_evidence(sample: DataFrame) -> dict[bytes, tuple[int, float]]:
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 seen[toxic].update({f for w in set(mapped(text).split()) for f in forms(w)})
             made = list(seen[0].keys() | seen[1].keys())
-            yield pd.DataFrame({"form": made, "clean": [seen[0][f] for f in made], "toxic": [seen[1][f] for f in made]})
+            if made:
+                yield pd.DataFrame({"form": made, "clean": [seen[0][f] for f in made], "toxic": [seen[1][f] for f in made]})
 
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -252,7 +253,8 @@ def tagged_segments(sample: DataFrame, evidence: dict[bytes, tuple[int, float]])
                 for words in segments(mapped(text)):
                     codes = np.array([code(w) for w in words], np.int32)
                     seen[codes.tobytes(), int(toxic) if codes.any() else 0] += 1
-            yield pd.DataFrame([(c, t, n) for (c, t), n in seen.items()], columns=["codes", "toxic", "n"])
+            if seen:
+                yield pd.DataFrame([(c, t, n) for (c, t), n in seen.items()], columns=["codes", "toxic", "n"])
 
     rows = sample.mapInPandas(cut, "codes binary, toxic int, n long").groupBy("codes", "toxic").agg(F.sum("n").alias("n")).orderBy("codes", "toxic").collect()
     codes, lengths = padded([np.frombuffer(bytes(r["codes"]), np.int32).tolist() for r in rows])
