@@ -99,7 +99,8 @@ def mixed_words(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int
     spans = spans.withColumn("block", F.explode(F.expr(f"sequence(`from` div {block}, (`to` - 1) div {block})")))
     overlap = F.least("to", (F.col("block") + 1) * block) - F.greatest("from", F.col("block") * block)
     # Rows with words have a start of their own within their cell.
-    taken = spans.join(chosen, [*cell, "block"]).groupBy(*cell, "start").agg(F.sum(overlap).alias("taken"))
+    # Spark takes the exploded blocks for as small as the cells they come from and would broadcast them.
+    taken = spans.join(chosen.hint("merge"), [*cell, "block"]).groupBy(*cell, "start").agg(F.sum(overlap).alias("taken"))
     with_words = rows.where("size > 0").join(taken, [*cell, "start"], "left")
     out = with_words.unionByName(rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
