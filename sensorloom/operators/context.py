@@ -70,49 +70,31 @@ def band_join(contexts: DataFrame, readings: DataFrame, roles: Roles, width: flo
     return c.join(r, cond, how).drop("__eff", "__pc", "__dc", "r___eff", "r___pc", "r___dc")
 
 
-def interval_segments(intervals: DataFrame, on: Sequence[str], first: str, last: str, amount: str) -> DataFrame:
-    """Intervals as disjoint segments (seg_from, seg_to) with the mean amount valid in them.
+def amounts_by_day(intervals: DataFrame, on: Sequence[str], first: str, last: str, amount: str, asked: DataFrame, date: str) -> DataFrame:
+    """Mean amount valid per place and day, over the range of the asked dates only, so that an open end far in the future costs nothing.
 
-    Each interval adds its amount on its first day and takes it back after its last; running
-    sums over those days give what is valid between two of them. Overlaps thus merge here, in
-    the small table, and never multiply the rows that look an amount up.
+    Each day aggregates its own amounts afresh: an amount, also one that is not a number, leaves no trace after its interval.
     """
-    place = list(on)
+    span = asked.agg(F.struct(F.min(date).alias("lo"), F.max(date).alias("hi")).alias("b")).scalar()
     valid = intervals.filter((F.col(first) <= F.col(last)) & F.col(amount).isNotNull())
-    step = F.array(F.struct(F.col(first).alias("day"), F.col(amount).cast("double").alias("add"), F.lit(1).alias("one")),
-                   F.struct(F.date_add(F.col(last), 1).alias("day"), (-F.col(amount)).cast("double").alias("add"), F.lit(-1).alias("one")))
-    days = valid.select(*place, F.inline(step)).groupBy(*place, "day").agg(F.sum("add").alias("add"), F.sum("one").alias("one"))
-    month = Series(place, ["day"], F.trunc("day", "month"))
-    sums = running(days, month, {"total": F.col("add"), "count": F.col("one")})
-    ends = bounded_window(sums, month, lambda w: {"next": F.lead("day", 1).over(w)}, 0, 1)
-    return ends.filter("count > 0").select(
-        *place, F.col("day").alias("seg_from"), F.date_sub(F.col("next"), 1).alias("seg_to"), (F.col("total") / F.col("count")).alias(amount))
-
-
-def _cells_of(spans: DataFrame, first: str, last: str, bounds: DataFrame, date: str, days: int = 31) -> DataFrame:
-    """Copy date spans to the date cells they touch, inside the range of the asked dates only, so
-    that an open end far in the future costs nothing."""
-    asked = bounds.agg(F.struct(F.min(date).alias("lo"), F.max(date).alias("hi")).alias("b")).scalar()
-    near = with_scalar(spans, __b=asked).filter((F.col(first) <= F.col("__b.hi")) & (F.col(last) >= F.col("__b.lo")))
-    a = F.datediff(F.greatest(F.col(first), F.col("__b.lo")), F.lit(EPOCH).cast("date"))
-    b = F.datediff(F.least(F.col(last), F.col("__b.hi")), F.lit(EPOCH).cast("date"))
-    return near.select("*", F.explode(F.sequence(F.floor(a / F.lit(days)), F.floor(b / F.lit(days)))).alias("__dc")).drop("__b")
+    near = with_scalar(valid, __b=span).filter((F.col(first) <= F.col("__b.hi")) & (F.col(last) >= F.col("__b.lo")))
+    days = F.sequence(F.greatest(F.col(first), F.col("__b.lo")), F.least(F.col(last), F.col("__b.hi")), F.expr("interval 1 day"))
+    return near.select(*on, F.explode(days).alias("day"), F.col(amount).cast("double").alias(amount)).groupBy(*on, "day").agg(F.avg(amount).alias(amount))
 
 
 def validity_join(left: DataFrame, intervals: DataFrame, on: Sequence[str], date: str, first: str, last: str, amount: str,
-                  bounds: DataFrame | None = None, days: int = 31) -> DataFrame:
+                  bounds: DataFrame | None = None) -> DataFrame:
     """Left join of the mean amount valid at the row's date.
 
-    The key is (place, date cell), so a place with many rows spreads over its dates; at most one
-    segment matches a row. ``bounds`` may name a smaller table with the range of the dates.
+    The key is (place, day), so a place with many rows spreads over its dates; at most one row matches. ``bounds`` may name a
+    smaller table with the range of the dates.
     """
-    cells = _cells_of(interval_segments(intervals, on, first, last, amount), "seg_from", "seg_to", left if bounds is None else bounds, date, days)
-    right = cells.select(*[F.col(c).alias(f"__on_{c}") for c in on], "seg_from", "seg_to", F.col("__dc").alias("__cell"), amount)
-    rows = left.withColumn("__dc", F.floor(_day(date) / F.lit(days)))
-    cond = (F.col("__dc") == F.col("__cell")) & F.col(date).between(F.col("seg_from"), F.col("seg_to"))
+    right = amounts_by_day(intervals, on, first, last, amount, left if bounds is None else bounds, date)
+    right = right.select(*[F.col(c).alias(f"__on_{c}") for c in on], "day", amount)
+    cond = F.col(date) == F.col("day")
     for c in on:
         cond = cond & (F.col(c) == F.col(f"__on_{c}"))
-    return rows.join(right, cond, "left").select(*left.columns, amount)
+    return left.join(right, cond, "left").select(*left.columns, amount)
 
 
 def context_day(joined: DataFrame, keys: Sequence[str], channels: Sequence[str], amount: str | None = None,

@@ -7,7 +7,8 @@ value bucket). Rows are windowed per (key, block); what crosses a block border i
 one row per block, or by the few rows at its ends, which is bounded by the number of blocks
 and not by the number of rows. Results equal those of the plain window.
 
-Keys must be non-null and the order total (ties only between equal rows).
+The order must be total (ties only between equal rows). Null keys form one series, and a null in the order
+comes first; where block totals are joined back, key and block are compared as one struct, in which nulls equal.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BLOCK = "__block"
+PART = "__part"
 
 
 @dataclass(frozen=True)
@@ -41,6 +43,15 @@ class Series:
     def parts(self) -> list[str]:
         return [*self.keys, BLOCK]
 
+    def parted(self, df: DataFrame) -> DataFrame:
+        """Rows with their key and block as one struct, which is never null."""
+        return self.blocked(df).withColumn(PART, F.struct(*self.parts))
+
+    def across(self, turn: Callable = F.asc) -> WindowSpec:
+        """Earlier blocks of a key, for a table with one row per part."""
+        return Window.partitionBy(*[F.col(PART)[k] for k in self.keys]).orderBy(turn(F.col(PART)[BLOCK])).rowsBetween(
+            Window.unboundedPreceding, -1)
+
 
 def hash_series(keys: Sequence[str], hash_col: str, ties: Sequence[str] = (), digits: int = 4) -> Series:
     """Series in hash order, with 16**digits blocks per key."""
@@ -53,15 +64,13 @@ def running(df: DataFrame, series: Series, sums: dict[str, Column]) -> DataFrame
     Row sums stay inside a block; the block totals are summed apart and joined back on the
     keys by which the rows are already partitioned, so the rows are shuffled once.
     """
-    rows = series.blocked(df)
-    parts = series.parts
-    totals = rows.groupBy(*parts).agg(*[F.sum(e).alias(f"__t_{n}") for n, e in sums.items()])
-    earlier = Window.partitionBy(*series.keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*parts, *[F.sum(f"__t_{n}").over(earlier).alias(f"__b_{n}") for n in sums])
-    inside = Window.partitionBy(*parts).orderBy(*series.order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = series.parted(df)
+    totals = rows.groupBy(PART).agg(*[F.sum(e).alias(f"__t_{n}") for n, e in sums.items()])
+    before = totals.select(PART, *[F.sum(f"__t_{n}").over(series.across()).alias(f"__b_{n}") for n in sums])
+    inside = Window.partitionBy(PART).orderBy(*series.order).rowsBetween(Window.unboundedPreceding, 0)
     within = rows.select("*", *[F.sum(e).over(inside).alias(f"__w_{n}") for n, e in sums.items()])
     zero = F.lit(0)
-    return within.join(before, parts, "left").select(
+    return within.join(before, PART, "left").select(
         *df.columns,
         *[(F.coalesce(f"__w_{n}", zero) + F.coalesce(f"__b_{n}", zero)).alias(n) for n in sums],
     )
@@ -108,19 +117,18 @@ def carry_forward(df: DataFrame, series: Series, cols: dict[str, Column], strict
                   backward: bool = False) -> DataFrame:
     """Last non-null value at or before each row (before it, if ``strict``); with ``backward``
     the next one at or after it. The order must be plain column names."""
-    rows, parts, order = series.blocked(df), series.parts, list(series.order)
+    rows, order = series.parted(df), list(series.order)
     turn = F.desc if backward else F.asc
-    inside = Window.partitionBy(*parts).orderBy(*[turn(c) for c in order]).rowsBetween(
+    inside = Window.partitionBy(PART).orderBy(*[turn(c) for c in order]).rowsBetween(
         Window.unboundedPreceding, -1 if strict else 0)
     outermost = F.min if backward else F.max
-    latest = rows.groupBy(*parts).agg(*[
+    latest = rows.groupBy(PART).agg(*[
         outermost(F.when(e.isNotNull(), F.struct(*order, e.alias("__v")))).alias(f"__l_{n}") for n, e in cols.items()])
-    earlier = Window.partitionBy(*series.keys).orderBy(turn(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
-    before = latest.select(*parts, *[
-        F.last(F.col(f"__l_{n}")["__v"], ignorenulls=True).over(earlier).alias(f"__c_{n}") for n in cols])
+    before = latest.select(PART, *[
+        F.last(F.col(f"__l_{n}")["__v"], ignorenulls=True).over(series.across(turn)).alias(f"__c_{n}") for n in cols])
     within = rows.select("*", *[F.last(e, ignorenulls=True).over(inside).alias(f"__w_{n}") for n, e in cols.items()])
     keep = [c for c in df.columns if c not in cols]
-    return within.join(before, parts, "left").select(
+    return within.join(before, PART, "left").select(
         *keep, *[F.coalesce(f"__w_{n}", f"__c_{n}").alias(n) for n in cols])
 
 
@@ -153,8 +161,10 @@ def mark_lowest(df: DataFrame, n: Column, series: Series, name: str = "chosen")
     cut = counts.select(BLOCK, "n", "__wanted", upto.alias("upto")).filter("upto > __wanted").agg(
         F.min(F.struct(F.col(BLOCK).alias("block"), (F.col("__wanted") - F.col("upto") + F.col("n")).alias("left"))).alias("cut")).scalar()
     marked = with_scalar(rows, __cut=cut)
-    inside = F.col("__cut").isNull() | (F.col(BLOCK) < F.col("__cut.block"))
-    at_cut = F.coalesce(F.col(BLOCK) == F.col("__cut.block"), F.lit(False))
+    # As structs, in which a null block equals itself and comes first.
+    mine, cuts = F.struct(F.col(BLOCK).alias("b")), F.struct(F.col("__cut.block").alias("b"))
+    inside = F.col("__cut").isNull() | (mine < cuts)
+    at_cut = F.col("__cut").isNotNull() & (mine == cuts)
     clear = marked.filter(~at_cut).withColumn(name, inside)
     rank = F.row_number().over(Window.partitionBy(BLOCK).orderBy(*series.order))
     edge = marked.filter(at_cut).withColumn(name, rank <= F.col("__cut.left"))
@@ -167,14 +177,14 @@ def mark_lowest_per_key(df: DataFrame, series: Series, quota: DataFrame, amount:
     The quota is split over the blocks of a key before it meets the rows, so rows are moved
     once, by (key, block), and a hot key is spread over its blocks.
     """
-    rows, parts, keys = series.blocked(df), series.parts, list(series.keys)
-    counts = rows.groupBy(*parts).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(
-        Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    granted = counts.select(*parts, before.alias("__before")).join(quota.select(*keys, amount), keys).select(
-        *parts, (F.col(amount) - F.col("__before")).alias("__granted"))
-    rank = F.row_number().over(Window.partitionBy(*parts).orderBy(*series.order))
-    return rows.withColumn("__rank", rank).join(granted, parts, "left").select(
+    rows, keys = series.parted(df), list(series.keys)
+    counts = rows.groupBy(PART).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(series.across()), F.lit(0))
+    by_key = counts.select(PART, *[F.col(PART)[k].alias(k) for k in keys], before.alias("__before"))
+    granted = null_safe_join(by_key, quota.select(*keys, amount), keys).select(
+        PART, (F.col(amount) - F.col("__before")).alias("__granted"))
+    rank = F.row_number().over(Window.partitionBy(PART).orderBy(*series.order))
+    return rows.withColumn("__rank", rank).join(granted, PART, "left").select(
         *df.columns, F.coalesce(F.col("__rank") <= F.col("__granted"), F.lit(False)).alias(name))
 
 

@@ -115,10 +115,10 @@ def _describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _rows(wide, [F.struct(F.lit(c).alias("channel"), *[F.col(f"{s}_{i}").alias(s) for s in stats]) for i, c in enumerate(cols)], ["n_rows"])
 
 
-def feature_quality(df: DataFrame, cols: Sequence[str], first: int = 10) -> DataFrame:
-    """Missing share, sample variance and level of the first channels."""
+def feature_quality(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Missing share, sample variance and level of the channels."""
     pct = F.lit(100.0) * (F.col("n_rows") - F.col("present")) / F.col("n_rows")
-    return _describe(df, list(cols)[:first]).select("channel", pct.alias("missing_pct"), "variance",
+    return _describe(df, cols).select("channel", pct.alias("missing_pct"), "variance",
                                                     severity_band(pct, FEATURE_LEVELS, "low").alias("level"))
 
 
