@@ -103,11 +103,11 @@ def em_prior_shift(spark: SparkSession, sf: str) -> DataFrame:
 def model_rows(spark, sf):
     """Last-step features of the sequences of B.contexts, early contexts for training."""
     flat = sequences.flatten(S.long(spark, sf), ["key", "base", "r_date", "label"], S.FEATS, S.L)
-    df = flat.withColumn("half", F.when(F.col("t5_qty") > 25, 1).otherwise(0))
+    df = flat.withColumn("half", F.when(F.col("t30_qty") > 25, 1).otherwise(0))
     return df, df.filter(S.TRAIN), df.filter(f"NOT ({S.TRAIN})")
 
 
-FEATURES = ["t4_qty", "t5_qty", "t5_disc"]
+FEATURES = ["t29_qty", "t30_qty", "t30_disc"]
 
 
 def _scored(df):
@@ -137,7 +137,7 @@ def boosted_trees(spark: SparkSession, sf: str) -> DataFrame:
 @query("K4")
 def logistic_baseline(spark: SparkSession, sf: str) -> DataFrame:
     _, train, test = model_rows(spark, sf)
-    return _scored(models.probability_score(models.logistic_baseline(train, ["t5_qty", "t5_disc"], "half"), test))
+    return _scored(models.probability_score(models.logistic_baseline(train, ["t30_qty", "t30_disc"], "half"), test))
 
 
 def _isotonic(part: str, cols: str) -> str:
@@ -195,15 +195,35 @@ def risk_ranges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mi(c: str) -> str:
+    """Mutual information of a column of the blocks' table with the label, in SQL."""
     cuts = " + ".join(f"CASE WHEN {c} > q[{i}] THEN 1 ELSE 0 END" for i in range(1, 10))
     return f"""SELECT '{c}' AS feature, sum(n / nt * ln(n * nt / (nx * ny))) AS mi FROM (SELECT n, (sum(n) OVER (PARTITION BY bin))::DOUBLE AS nx, (sum(n) OVER (PARTITION BY label))::DOUBLE AS ny, (sum(n) OVER ())::DOUBLE AS nt
- FROM (SELECT {cuts} AS bin, label, count(*) AS n FROM long, (SELECT quantile_cont({c}, [{', '.join(repr(i / 10) for i in range(1, 10))}]) AS q FROM long WHERE pos = 5) WHERE pos = 5 GROUP BY ALL))"""
+ FROM (SELECT {cuts} AS bin, label, count(*) AS n FROM blocks, (SELECT quantile_cont({c}, [{', '.join(repr(i / 10) for i in range(1, 10))}]) AS q FROM blocks) GROUP BY ALL))"""
 
 
-@query("K7", S.SEQ + f", k AS ({_mi('qty')} UNION ALL {_mi('disc')}) SELECT feature, {r('k.mi', 9)} AS mi FROM k")
+BLOCKS = f"""blocks AS (SELECT key, label, {", ".join(f"max(CASE WHEN pos = {S.L} THEN {c} END) AS {c}_last, {B.r(f"coalesce(avg({c}) FILTER (NOT is_pad), 0)", 6)} AS {c}_mean" for c in S.FEATS)} FROM long GROUP BY key, label)"""
+MI = S.SEQ + f", {BLOCKS}, k AS ({' UNION ALL '.join(_mi(f'{c}_{b}') for c in S.FEATS for b in ('last', 'mean'))})"
+
+
+def information(spark, sf):
+    """Mutual information of the last step and of the mean over the real steps, per feature."""
+    blocks = S.long(spark, sf).groupBy("key", "label").agg(
+        *[F.max(F.when(F.col("pos") == S.L, F.col(c))).alias(f"{c}_last") for c in S.FEATS],
+        *[rnd(F.coalesce(F.avg(F.when(~F.col("is_pad"), F.col(c))), F.lit(0.0)), 6).alias(f"{c}_mean") for c in S.FEATS])
+    return models.mutual_information(blocks, [f"{c}_{b}" for c in S.FEATS for b in ("last", "mean")], "label")
+
+
+@query("K7", MI + f" SELECT feature, {r('k.mi', 9)} AS mi FROM k")
 def mutual_information(spark: SparkSession, sf: str) -> DataFrame:
-    last = S.long(spark, sf).filter("pos = 5")
-    return models.mutual_information(last, ["qty", "disc"], "label").withColumn("mi", rnd("mi", 9))
+    return information(spark, sf).withColumn("mi", rnd("mi", 9))
+
+
+@query("K7", MI + f""", f AS (SELECT regexp_replace(feature, '_(last|mean)$', '') AS feature, avg(mi) AS mi FROM k GROUP BY 1)
+SELECT feature, row_number() OVER (ORDER BY round(mi, 12) DESC, feature) <= greatest(1, CAST(ceil({len(S.FEATS)} * 0.8) AS INTEGER)) AS kept FROM f""")
+def kept_by_information(spark: SparkSession, sf: str) -> DataFrame:
+    """The features of the best 80 % by the mean of both blocks' information."""
+    kept = models.keep_by_information(information(spark, sf), S.FEATS)
+    return spark.createDataFrame([(c, c in kept) for c in S.FEATS], "feature string, kept boolean")
 
 
 @query("K8 D15 L4 A10", f"WITH {B.READINGS}, p AS (SELECT base, d, 1.0::DOUBLE / (1.0::DOUBLE + exp(-(0.03::DOUBLE * qty - 12.5::DOUBLE * disc + 4.0::DOUBLE * tax - 2.0::DOUBLE))) AS p FROM readings), g AS (SELECT base, d, 1 - product(1 - p) AS probability FROM p GROUP BY base, d) SELECT base, d, {r('probability', 6)} AS probability, CAST(probability >= 0.15 AS INTEGER) AS predicted FROM g")

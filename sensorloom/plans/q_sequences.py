@@ -11,9 +11,29 @@ from sensorloom.plans import bindings as B
 from sensorloom.plans.registry import query
 
 rnd, r = B.rnd, B.r
-EVENTS = Series(["section"], ["d", "event_id"])
-EW = "PARTITION BY section ORDER BY d, event_id"
-L = 5
+EW = "PARTITION BY section ORDER BY d, event_id, value, label"
+L, K = 30, 5  # steps of a sequence, and of its tail in the summary
+# Readings per mapped section: years of days, as windows of a month need.
+SERIES = B.READINGS + """, days AS (SELECT (ok * 10 + ln) * 10000000 + pos AS event_id, mapped AS section, d, qty AS value, CAST(flag = 'R' AS INTEGER) AS label FROM readings)"""
+
+
+def series(spark, sf):
+    return B.readings(spark, sf).select(
+        ((F.col("ok") * 10 + F.col("ln")) * 10000000 + F.col("pos")).alias("event_id"), F.col("mapped").alias("section"), "d", F.col("qty").alias("value"),
+        (F.col("flag") == "R").cast("int").alias("label"))
+
+
+def order():
+    """By day and event, in blocks of a quarter: a few windows long at the density of the smallest tables."""
+    return Series(["section"], ["d", "event_id", "value", "label"], F.trunc("d", "quarter"))
+
+
+def digest(out, keep):
+    """One row per window: its length and the sum of its values times their places."""
+    total = F.aggregate(F.transform("steps", lambda s, i: s["value"] * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return out.select(*keep, F.size("steps").alias("n_steps"), rnd(total).alias("weighted"))
+
+
 TRAIL = """daily AS (SELECT base, d, avg(qty) AS qty, avg(disc) AS disc FROM readings GROUP BY base, d),
 trail AS (SELECT c.key, c.base, c.r_date, c.label, daily.d, qty, disc FROM contexts c JOIN daily ON c.base = daily.base AND daily.d BETWEEN c.r_date - 30 AND c.r_date)"""
 LONG = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY d DESC) AS rk, count(*) OVER (PARTITION BY key) AS n FROM trail),
@@ -41,19 +61,19 @@ def train_of(df):
     return df.filter(TRAIN)
 
 
-@query("F1", f"""WITH {B.DAYS}, x AS (SELECT *, row_number() OVER ({EW}) AS rn, count(*) OVER (PARTITION BY section) AS n,
- max(label) OVER ({EW} ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS future_label FROM days)
-SELECT a.event_id, CAST(b.rn - a.rn + 11 AS INTEGER) AS pos, b.value, a.future_label FROM x a JOIN x b ON a.section = b.section AND b.rn BETWEEN a.rn - 10 AND a.rn - 1
-WHERE a.rn > 10 AND a.rn <= a.n - 5""")
+@query("F1", f"""WITH {SERIES}, x AS (SELECT *, row_number() OVER ({EW}) AS rn, count(*) OVER (PARTITION BY section) AS n,
+ max(label) OVER ({EW} ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) AS future_label FROM days)
+SELECT a.event_id, a.future_label, CAST(count(*) AS INTEGER) AS n_steps, {r('sum(b.value * (b.rn - a.rn + 31))')} AS weighted FROM x a JOIN x b ON a.section = b.section AND b.rn BETWEEN a.rn - 30 AND a.rn - 1
+WHERE a.rn > 30 AND a.rn <= a.n - 30 GROUP BY a.section, a.rn, a.event_id, a.future_label""")
 def sliding_future(spark: SparkSession, sf: str) -> DataFrame:
-    out = sequences.sliding_future(B.days(spark, sf), EVENTS, ["value"], "label", 10, 5)
-    return sequences.explode_steps(out, ["event_id", "future_label"])
+    return digest(sequences.sliding_future(series(spark, sf), order(), ["value"], "label"), ["event_id", "future_label"])
 
 
-@query("F2", f"""WITH {B.DAYS}, x AS (SELECT *, row_number() OVER ({EW}) AS rn FROM days)
-SELECT a.event_id, a.label, CAST(b.rn - a.rn + 10 AS INTEGER) AS pos, b.value FROM x a JOIN x b ON a.section = b.section AND b.rn BETWEEN a.rn - 9 AND a.rn WHERE a.rn >= 10""")
+@query("F2", f"""WITH {SERIES}, x AS (SELECT *, row_number() OVER ({EW}) AS rn FROM days)
+SELECT a.event_id, a.label, CAST(count(*) AS INTEGER) AS n_steps, {r('sum(b.value * (b.rn - a.rn + 30))')} AS weighted FROM x a JOIN x b ON a.section = b.section AND b.rn BETWEEN a.rn - 29 AND a.rn WHERE a.rn >= 30
+GROUP BY a.section, a.rn, a.event_id, a.label""")
 def sliding_last(spark: SparkSession, sf: str) -> DataFrame:
-    return sequences.explode_steps(sequences.sliding_last(B.days(spark, sf), EVENTS, ["value"], 10), ["event_id", "label"])
+    return digest(sequences.sliding_last(series(spark, sf), order(), ["value"]), ["event_id", "label"])
 
 
 @query("F3", SEQ + f" SELECT key, base, r_date, label, pos, is_pad, {r('long.qty')} AS qty, {r('long.disc', 6)} AS disc FROM long")
@@ -61,9 +81,9 @@ def last_n_padded(spark: SparkSession, sf: str) -> DataFrame:
     return long(spark, sf).withColumns({"qty": rnd("qty"), "disc": rnd("disc", 6)})
 
 
-@query("E5", f"WITH {B.DAYS}, x AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY d DESC, event_id DESC) AS rank, count(*) OVER (PARTITION BY section) AS n FROM days) SELECT section, event_id, value, CAST(rank AS INTEGER) AS rank FROM x WHERE rank <= 60 AND n >= 60")
+@query("E5", f"WITH {SERIES}, x AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY d DESC, event_id DESC) AS rank, count(*) OVER (PARTITION BY section) AS n FROM days) SELECT section, event_id, value, CAST(rank AS INTEGER) AS rank FROM x WHERE rank <= 60 AND n >= 60")
 def last_n_exact(spark: SparkSession, sf: str) -> DataFrame:
-    return sequences.last_n(B.days(spark, sf), ["section"], ["d", "event_id"], 60, exact=True).select("section", "event_id", "value", "rank")
+    return sequences.last_n(series(spark, sf), ["section"], ["d", "event_id"], 60, exact=True).select("section", "event_id", "value", "rank")
 
 
 DEDUP = "dedup AS (SELECT section, d, value FROM (SELECT *, row_number() OVER (PARTITION BY section, d ORDER BY event_id DESC) AS rn FROM days) WHERE rn = 1)"
@@ -76,44 +96,46 @@ filled AS (SELECT c.section, c.d, x.d IS NOT NULL AS observed, last_value(x.valu
 CALWIN = "numbered AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY d) AS rn, sum(CAST(observed AS INTEGER)) OVER (PARTITION BY section ORDER BY d) AS seen FROM filled)"
 
 
-@query("E6", f"WITH {B.DAYS}, {DEDUP} SELECT * FROM dedup")
+@query("E6", f"WITH {SERIES}, {DEDUP} SELECT * FROM dedup")
 def dedup_keep_last(spark: SparkSession, sf: str) -> DataFrame:
-    return sequences.dedup_keep_last(B.days(spark, sf), ["section"], "d", ["event_id"]).select("section", "d", "value")
+    return sequences.dedup_keep_last(series(spark, sf), ["section"], "d", ["event_id"]).select("section", "d", "value")
 
 
 def calendar(spark, sf, mode):
-    return sequences.calendar_fill(B.days(spark, sf), ["section"], "d", ["value"], ["event_id"], mode)
+    return sequences.calendar_fill(series(spark, sf), ["section"], "d", ["value"], ["event_id"], mode)
 
 
-@query("F4", f"WITH {B.DAYS}, {DEDUP}, {CAL} SELECT section, d, observed, {r('value')} AS value FROM filled")
+@query("F4", f"WITH {SERIES}, {DEDUP}, {CAL} SELECT section, d, observed, {r('value')} AS value FROM filled")
 def calendar_fill_median(spark: SparkSession, sf: str) -> DataFrame:
     return calendar(spark, sf, "median").withColumn("value", rnd("value"))
 
 
-@query("F4", f"WITH {B.DAYS}, {DEDUP}, {FFILL} SELECT section, d, observed, value FROM filled")
+@query("F4", f"WITH {SERIES}, {DEDUP}, {FFILL} SELECT section, d, observed, value FROM filled")
 def calendar_fill_forward(spark: SparkSession, sf: str) -> DataFrame:
     return calendar(spark, sf, "ffill")
 
 
-@query("F4 F5", f"""WITH {B.DAYS}, {DEDUP}, {CAL}, {CALWIN}
-SELECT a.section, a.d, CAST(b.rn - a.rn + 14 AS INTEGER) AS pos, {r('b.value')} AS value FROM numbered a JOIN numbered b ON a.section = b.section AND b.rn BETWEEN a.rn - 13 AND a.rn WHERE a.observed AND a.rn >= 14""")
+@query("F4 F5", f"""WITH {SERIES}, {DEDUP}, {CAL}, {CALWIN}
+SELECT a.section, a.d, CAST(count(*) AS INTEGER) AS n_steps, {r('sum(b.value * (b.rn - a.rn + 30))')} AS weighted FROM numbered a JOIN numbered b ON a.section = b.section AND b.rn BETWEEN a.rn - 29 AND a.rn
+WHERE a.observed AND a.rn >= 30 GROUP BY a.section, a.d""")
 def calendar_windows(spark: SparkSession, sf: str) -> DataFrame:
-    out = sequences.calendar_windows(calendar(spark, sf, "median"), ["section"], "d", ["value"], 14)
-    return sequences.explode_steps(out, ["section", "d"]).withColumn("value", rnd("value"))
+    out = sequences.calendar_windows(calendar(spark, sf, "median"), ["section"], "d", ["value"])
+    return digest(out, ["section", "d"])
 
 
-@query("F4 F6", f"""WITH {B.DAYS}, {DEDUP}, {FFILL}, {CALWIN}, anchors AS (SELECT * FROM numbered WHERE observed AND (seen - 1) % 3 = 0)
-SELECT a.section, a.d, CAST(p AS INTEGER) AS pos, b.value FROM anchors a CROSS JOIN range(1, 15) t(p) JOIN numbered b ON a.section = b.section AND b.rn = greatest(1, a.rn - 14 + p)""")
+@query("F4 F6", f"""WITH {SERIES}, {DEDUP}, {FFILL}, {CALWIN}, anchors AS (SELECT * FROM numbered WHERE observed AND (seen - 1) % 7 = 0)
+SELECT a.section, a.d, CAST(p AS INTEGER) AS pos, b.value FROM anchors a CROSS JOIN range(1, 31) t(p) JOIN numbered b ON a.section = b.section AND b.rn = greatest(1, a.rn - 30 + p)""")
 def anchored_windows(spark: SparkSession, sf: str) -> DataFrame:
-    out = sequences.anchored_windows(calendar(spark, sf, "ffill"), ["section"], "d", ["value"], 14, 3)
+    out = sequences.anchored_windows(calendar(spark, sf, "ffill"), ["section"], "d", ["value"])
     return sequences.explode_steps(out, ["section", "d"])
 
 
-@query("F6", f"""WITH {B.DAYS}, {DEDUP}, {FFILL}, {CALWIN}, anchors AS (SELECT * FROM numbered WHERE (rn - 1) % 5 = 0)
-SELECT a.section, a.d, CAST(p AS INTEGER) AS pos, b.value FROM anchors a CROSS JOIN range(1, 15) t(p) JOIN numbered b ON a.section = b.section AND b.rn = greatest(1, a.rn - 14 + p)""")
+@query("F6", f"""WITH {SERIES}, {DEDUP}, {FFILL}, {CALWIN}, anchors AS (SELECT * FROM numbered WHERE (rn - 1) % 7 = 0)
+SELECT a.section, a.d, CAST(count(*) AS INTEGER) AS n_steps, {r('sum(b.value * p)')} AS weighted FROM anchors a CROSS JOIN range(1, 31) t(p) JOIN numbered b ON a.section = b.section AND b.rn = greatest(1, a.rn - 30 + p)
+GROUP BY a.section, a.d""")
 def anchored_windows_calendar(spark: SparkSession, sf: str) -> DataFrame:
-    out = sequences.anchored_windows(calendar(spark, sf, "ffill"), ["section"], "d", ["value"], 14, 5, on="calendar")
-    return sequences.explode_steps(out, ["section", "d"])
+    out = sequences.anchored_windows(calendar(spark, sf, "ffill"), ["section"], "d", ["value"], on="calendar")
+    return digest(out, ["section", "d"])
 
 
 @query("F7", f"""WITH {B.READINGS}, {B.CONTEXTS}, {TRAIL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY d DESC) AS rk, count(*) OVER (PARTITION BY key) AS n FROM trail),
@@ -134,13 +156,13 @@ def impute_pad(spark: SparkSession, sf: str) -> DataFrame:
 
 _SUM = f"""summary AS (SELECT key, label, r_date, count(*) FILTER (NOT is_pad) AS real_count, avg(qty) FILTER (NOT is_pad) AS qty_mean, stddev_pop(qty) FILTER (NOT is_pad) AS qty_std,
  min(qty) FILTER (NOT is_pad) AS qty_min, max(qty) FILTER (NOT is_pad) AS qty_max, coalesce(regr_slope(qty, pos) FILTER (NOT is_pad), 0) AS qty_trend,
- max(CASE WHEN pos = {L} THEN qty END) AS qty_last, list(qty ORDER BY pos) FILTER (NOT is_pad AND pos > {L} - 3) AS tail FROM long GROUP BY key, label, r_date)"""
+ max(CASE WHEN pos = {L} THEN qty END) AS qty_last, list(qty ORDER BY pos) FILTER (NOT is_pad AND pos > {L} - {K}) AS tail FROM long GROUP BY key, label, r_date)"""
 
 
-@query("F9", SEQ + f""", {_SUM} SELECT key, {r('coalesce(tail[1], 0)')} AS qty_last1of3, {r('coalesce(tail[2], 0)')} AS qty_last2of3, {r('coalesce(tail[3], 0)')} AS qty_last3of3, {r('summary.qty_last')} AS qty_last,
+@query("F9", SEQ + f""", {_SUM} SELECT key, {", ".join(f"{r(f'coalesce(tail[{i}], 0)')} AS qty_last{i}of{K}" for i in range(1, K + 1))}, {r('summary.qty_last')} AS qty_last,
  {r('qty_mean')} AS qty_mean, {r('qty_std')} AS qty_std, {r('summary.qty_min')} AS qty_min, {r('summary.qty_max')} AS qty_max, {r('CASE WHEN isnan(qty_trend) THEN 0 ELSE qty_trend END')} AS qty_trend, {r(f'real_count / {L}.0::DOUBLE', 6)} AS real_fraction, real_count FROM summary""")
 def sequence_summary(spark: SparkSession, sf: str) -> DataFrame:
-    out = sequences.sequence_summary(long(spark, sf), ["key"], ["qty"], L, 3)
+    out = sequences.sequence_summary(long(spark, sf), ["key"], ["qty"], L, K)
     return out.select("key", *[rnd(c).alias(c) for c in out.columns if c.startswith("qty_")], rnd("real_fraction", 6).alias("real_fraction"), "real_count")
 
 
