@@ -204,17 +204,18 @@ def members(df: DataFrame, chosen: DataFrame, keys: Sequence[str], keep: bool =
 
 def training_table(contexts: DataFrame, raw_readings: DataFrame, roles: Roles, raw_date: str, read, width: float,
                    context_cols: Sequence[str], intervals: DataFrame | None = None, amount: str = "amount",
-                   interval_on: Sequence[str] | None = None, plain: bool = False) -> DataFrame:
+                   interval_on: Sequence[str] | None = None, join=None, days: int = 31) -> DataFrame:
     """The assembled table: windows, trimmed and binned readings, band join, interval amount,
     one row per context and reading date.
 
     ``contexts`` carries the window columns; ``read`` turns raw readings into role columns,
     after the trim, so that the date bounds reach the scan. ``interval_on`` names the reading
-    columns an interval must equal.
+    columns an interval must equal, ``days`` the length of the join's date cells. ``join`` may replace the band join (by the
+    yardstick of tests and benchmarks).
     """
     trimmed = read(trim_to_bounds(raw_readings, raw_date, contexts, "win_start", "win_end"))
     bins = bin_readings(trimmed, roles, [roles.base, roles.mapped, roles.position, roles.date])
-    joined = band_join_plain(contexts, bins, roles) if plain else band_join(contexts, bins, roles, width)
+    joined = join(contexts, bins, roles) if join else band_join(contexts, bins, roles, width, days)
     if intervals is not None:
         on = [f"r_{c}" for c in (interval_on or [roles.base, roles.position])]
         renamed = intervals.withColumnsRenamed({c[2:]: c for c in on})

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.expressions import hash_key, hash_unit, value_bucket
-from sensorloom.operators.ordered import Series, hash_series, mark_lowest, mark_lowest_per_key, positions, with_scalar
+from sensorloom.operators.ordered import Series, hash_series, mark_lowest, mark_lowest_per_key, positions, salted_join, with_scalar
 
 HASH = "__h"
 
@@ -106,7 +106,7 @@ def draw_weights(df: DataFrame, base: str, label: str) -> DataFrame:
     pair = df.groupBy(base, label).agg(F.count(F.lit(1)).alias("__nl"))
     whole = pair.groupBy(base).agg(F.sum("__nl").alias("__nb"))
     table = pair.join(whole, base).select(base, label, ((F.col("__nb") + 1) / (F.col("__nl") + 1)).alias("weight"))
-    return df.join(table, [base, label])
+    return salted_join(df, table, [base, label])
 
 
 def weighted_draw(df: DataFrame, weight: str, n: int | Column, keys: Sequence[str], seed: int = 42,
@@ -148,5 +148,5 @@ def bag_weight(df: DataFrame, bag: Sequence[str], label: str) -> DataFrame:
     """1 / rows in the bag, times negatives per positive."""
     sizes = df.groupBy(*bag).agg(F.count(F.lit(1)).alias("__size"))
     pos, neg = count_where(df, F.col(label) == 1), count_where(df, F.col(label) == 0)
-    return df.join(sizes, list(bag)).withColumn(
+    return salted_join(df, sizes, list(bag)).withColumn(
         "weight", F.lit(1.0) / F.col("__size") * (neg / F.greatest(pos, F.lit(1)))).drop("__size")

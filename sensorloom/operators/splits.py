@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions.expressions import hash_key, hash_unit
-from sensorloom.operators.ordered import Series, hash_series, mark_lowest, positions
+from sensorloom.operators.ordered import Series, hash_series, mark_lowest, positions, salted_join
 from sensorloom.operators.quantiles import exact_quantiles
 from sensorloom.operators.resample import HASH, class_sizes
 
@@ -43,11 +43,13 @@ def split_rows(df: DataFrame, order: Sequence[str], train: float = 0.8) -> DataF
     return marked.withColumn("part", F.when(F.col("chosen"), "train").otherwise("test")).drop("chosen")
 
 
-def split_years(df: DataFrame, date: str, label: str, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    """Last year test, the year before it validation, the rest train; with fewer than three
-    years a stratified 80/10/10 split."""
+def split_years(df: DataFrame, date: str, label: str, keys: Sequence[str], seed: int = 42, few_years: str = "stratified") -> DataFrame:
+    """Last year test, the year before it validation, the rest train. With fewer than three years the caller's choice: a
+    stratified 80/10/10 split, or an error (``few_years="raise"``)."""
     years = sorted(row[0] for row in df.select(F.year(date)).distinct().collect() if row[0] is not None)
     if len(years) < 3:
+        if few_years != "stratified":
+            raise ValueError(f"a split by years needs three of them, not {len(years)}")
         return split_stratified(df, label, keys, (("train", 0.8), ("val", 0.9), ("test", 1.0)), seed)
     year = F.year(date)
     return df.withColumn("part", F.when(year == years[-1], "test").when(year == years[-2], "val").otherwise("train"))
@@ -58,7 +60,7 @@ def split_group_first_date(df: DataFrame, group: Sequence[str], date: str, train
     first = df.groupBy(*group).agg(F.datediff(F.min(date), F.lit("1970-01-01").cast("date")).alias("__first"))
     cut = exact_quantiles(first, [], {"q": F.col("__first")}, {"": train}).select("q").scalar()
     side = first.select(*group, F.when(F.col("__first") <= cut, "train").otherwise("test").alias("part"))
-    return df.join(side, list(group))
+    return salted_join(df, side, list(group))
 
 
 def split_groups_random(df: DataFrame, group: Sequence[str], test: float = 0.2, seed: int = 42) -> DataFrame:

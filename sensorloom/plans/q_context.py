@@ -25,12 +25,12 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({"qty": rnd("qty"), "price": rnd("price"), "disc": rnd("disc", 6), "tax": rnd("tax", 6)})
 
 
-def _table(spark, sf, plain=False, break_day=False, with_load=False):
+def _table(spark, sf, break_day=False, with_load=False, **how):
     bmap = B.base_map(spark, sf)
     return context.training_table(
         B.windows(spark, sf, break_day), B.raw_readings(spark, sf), B.ROLES, "l_shipdate",
         lambda raw: B.read_readings(raw, bmap), B.WIDTH, _KEYS,
-        B.intervals(spark, sf) if with_load else None, interval_on=["base"], plain=plain)
+        B.intervals(spark, sf) if with_load else None, interval_on=["base"], **how)
 
 
 @query("C2 D2 B25 C1 D1 B4", "WITH " + ", ".join([B.READINGS, B.WINDOWS, BINS, JOINED]) + _DAY + " FROM joined GROUP BY key, base, mapped, pos, r_date, label, r_d")
@@ -40,7 +40,14 @@ def context_assembly(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("C2", "WITH " + ", ".join([B.READINGS, B.WINDOWS, BINS, JOINED]) + _DAY + " FROM joined GROUP BY key, base, mapped, pos, r_date, label, r_d")
 def context_assembly_plain_join(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(_table(spark, sf, plain=True))
+    """The same table over date cells of a week. The join without cells, in which every context of a base meets every reading of
+    it, is a yardstick of the benchmark only."""
+    return _rounded(_table(spark, sf, days=7))
+
+
+def all_pairs_assembly(spark: SparkSession, sf: str) -> DataFrame:
+    """Yardstick, not registered."""
+    return _rounded(_table(spark, sf, join=context.band_join_plain))
 
 
 @query("B5b C2 C3 D2", "WITH " + ", ".join([
