@@ -40,10 +40,10 @@ def _fit(stages: list, rows: DataFrame) -> PipelineModel:
 def linear_svm(train: DataFrame, features: Sequence[str], label: str, c: float = 1.0, rounds: int = 100) -> PipelineModel:
     """Scaled, class-balanced linear SVM. Spark ML has the plain hinge loss only; the penalty
     ``c`` enters as 1 / (c * rows)."""
-    train = cut_lineage(train)
+    train = cut_lineage(balanced_class_weight(train, label))
     n = max(train.count(), 1)
     svc = LinearSVC(featuresCol="features", labelCol=label, weightCol="weight", maxIter=rounds, regParam=1.0 / (c * n), standardization=False)
-    return _fit([*_stages(features, True), svc], balanced_class_weight(train, label))
+    return Pipeline(stages=[*_stages(features, True), svc]).fit(train)
 
 
 def margin_score(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def svm_grid(train: DataFrame, features: Sequence[str], label: str, group: Seque
             scored = margin_score(model, folded.filter(F.col("fold") == k))
             aps.append(ranking_metrics(scored, "score", label).first()["average_precision"])
             thresholds.append(best_f1_on_curve(scored, "score", label).first()["threshold"])
-        rows.append((float(c), float(np.mean(aps)), float(np.median([t for t in thresholds if t is not None]))))
+        rows.append((float(c), float(np.mean(aps)), float(np.median(found)) if (found := [t for t in thresholds if t is not None]) else None))
     return train.sparkSession.createDataFrame(rows, "c double, average_precision double, threshold double")
 
 

@@ -101,9 +101,8 @@ def em_prior_shift(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def model_rows(spark, sf):
-    """Last-step features of the sequences of B.contexts, early contexts for training."""
-    flat = sequences.flatten(S.long(spark, sf), ["key", "base", "r_date", "label"], S.FEATS, S.L)
-    df = flat.withColumn("half", F.when(F.col("t30_qty") > 25, 1).otherwise(0))
+    """Last-step features of the sequences of B.contexts with the contexts' label, early contexts for training."""
+    df = sequences.flatten(S.long(spark, sf), ["key", "base", "r_date", "label"], S.FEATS, S.L)
     return df, df.filter(S.TRAIN), df.filter(f"NOT ({S.TRAIN})")
 
 
@@ -117,27 +116,27 @@ def _scored(df):
 @query("K1 K8")
 def linear_svm(spark: SparkSession, sf: str) -> DataFrame:
     _, train, test = model_rows(spark, sf)
-    return _scored(models.margin_score(models.linear_svm(train, FEATURES, "half", rounds=20), test))
+    return _scored(models.margin_score(models.linear_svm(train, FEATURES, "label"), test))
 
 
 @query("K2 I7")
 def svm_grid(spark: SparkSession, sf: str) -> DataFrame:
     _, train, _ = model_rows(spark, sf)
-    return models.svm_grid(train, FEATURES, "half", ["base"], cs=(0.1, 10.0), folds=2, rounds=10)
+    return models.svm_grid(train, FEATURES, "label", ["base"])
 
 
 @query("K3")
 def boosted_trees(spark: SparkSession, sf: str) -> DataFrame:
     _, train, test = model_rows(spark, sf)
     val = train.filter("key % 5 = 0")
-    model = models.boosted_trees(train.filter("key % 5 <> 0"), val, FEATURES, "half", rounds=5, depth=3)
+    model = models.boosted_trees(train.filter("key % 5 <> 0"), val, FEATURES, "label")
     return _scored(models.probability_score(model, test))
 
 
 @query("K4")
 def logistic_baseline(spark: SparkSession, sf: str) -> DataFrame:
     _, train, test = model_rows(spark, sf)
-    return _scored(models.probability_score(models.logistic_baseline(train, ["t30_qty", "t30_disc"], "half"), test))
+    return _scored(models.probability_score(models.logistic_baseline(train, ["t30_qty", "t30_disc"], "label"), test))
 
 
 def _isotonic(part: str, cols: str) -> str:
