@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.llm.common import bucket_of, keep, lower_ascii, text_of
+from sensorloom.operators.ordered import salted_join
 
 
 def compare_neighbours(docs: DataFrame, id_column: str, text_column: str, prefix: int, record: list) -> DataFrame:
@@ -49,11 +50,11 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     found = keep(compare_neighbours(docs, id_column, text_column, prefix, []), "exact-dedup")
     # Chunks of one text meet by their digest; only cut groups have more than one.
     cut = found.where("first AND chunks > 1").groupBy("text_sha256").agg(F.max("best").alias("all_best"), F.sum("n").alias("all_n"))
-    out = found.join(cut, "text_sha256", "left")
-    keep_id = F.when(F.col("all_n").isNull(), F.col("best")).otherwise(F.col("all_best"))
+    out = found.where("chunks = 1").withColumns({"all_best": F.col("best"), "all_n": F.col("n")}).unionByName(
+        salted_join(found.where("chunks > 1"), cut, ["text_sha256"], ["doc_id"]))
     # Copies with the same identifier share a chunk, so the first row of that chunk is the only one kept.
-    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("all_n", "n").alias("group_size"),
-                      (F.col("first") & F.col("doc_id").eqNullSafe(keep_id)).alias("kept"), "text_sha256")
+    return out.select("doc_id", F.col("all_best").alias("keep_id"), F.col("all_n").alias("group_size"),
+                      (F.col("first") & F.col("doc_id").eqNullSafe(F.col("all_best"))).alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", prefix: int = 48) -> DataFrame:
