@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 import numpy as np
@@ -97,14 +98,10 @@ def coral(source: DataFrame, target: DataFrame, cols: Sequence[str], ridge: floa
     eye = ridge * np.eye(len(cols))
     a = _power(cs + eye, -0.5) @ _power(ct + eye, 0.5)
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def align(x: pd.Series) -> pd.Series:
-        if len(x) == 0:
-            return pd.Series([], dtype=object)
-        return pd.Series(list((np.vstack(x.to_numpy()) - mu_s) @ a + mu_t))
+    def aligned(j: int) -> Column:
+        return sum(((F.col(c).cast("double") - float(mu_s[i])) * float(a[i, j]) for i, c in enumerate(cols)), F.lit(float(mu_t[j])))
 
-    moved = source.withColumn("__x", align(F.array(*[F.col(c).cast("double") for c in cols])))
-    return moved.select(*[F.col("__x")[cols.index(c)].alias(c) if c in cols else F.col(c) for c in source.columns])
+    return source.select(*[aligned(cols.index(c)).alias(c) if c in cols else F.col(c) for c in source.columns])
 
 
 def fourier_features(df: DataFrame, cols: Sequence[str], gamma: float, size: int, seed: int = 42, name: str = "z") -> DataFrame:
@@ -213,7 +210,8 @@ def combine_weights(df: DataFrame, weights: Sequence[str], lo: float = 0.05, hi:
 def em_prior_shift(df: DataFrame, score: str, prior: float, rounds: int = 50, tolerance: float = 1e-6) -> tuple[DataFrame, float]:
     """Scores adjusted to the class share of the new data, found by EM; also the share.
 
-    Each round is one aggregate over the counts per distinct score, which are checkpointed once.
+    Each round is one aggregate over the counts per distinct score, which are checkpointed once. Rounds that run out before the
+    share settles give a warning.
     """
     counts = cut_lineage(df.groupBy(F.col(score).alias("p")).agg(F.count(F.lit(1)).alias("n")))
     p = F.col("p")
@@ -228,4 +226,6 @@ def em_prior_shift(df: DataFrame, score: str, prior: float, rounds: int = 50, to
         if new is None or abs(new - pi) < tolerance:
             break
         pi = float(new)
+    else:
+        warnings.warn(f"the class share still moved after {rounds} rounds", stacklevel=2)
     return df.withColumn("adjusted", clip(posterior(F.col(score), pi), 1e-6, 1 - 1e-6)), pi

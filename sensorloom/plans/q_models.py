@@ -57,10 +57,23 @@ def drift_table(spark: SparkSession, sf: str) -> DataFrame:
     return drift.drift_table(e, a, ["qty", "disc", "price"]).select("feature", rnd("ks", 6).alias("ks"), rnd("psi", 6).alias("psi"), "keep")
 
 
-@query("J4")
+def _moments_sql(name: str, rows: str) -> str:
+    """Means and the ridged covariance matrix [[p, q], [q, s]] of two columns, with its square root's parts."""
+    return f"""{name}0 AS (SELECT avg(qty) AS mx, avg(disc) AS my, @(qty, qty) + 1e-3 AS p, @(qty, disc) AS q, @(disc, disc) + 1e-3 AS s FROM {rows}),
+{name} AS (SELECT *, sqrt(p * s - q * q) AS d, sqrt(p + s + 2 * sqrt(p * s - q * q)) AS t FROM {name}0)""".replace("@", "covar_samp")
+
+
+# A 2 x 2 root has a closed form: (M + sqrt(det) I) / sqrt(trace + 2 sqrt(det)).
+CORAL = SIDES + f""", {_moments_sql("ms", "e")}, {_moments_sql("mt", "a")},
+i AS (SELECT ms.mx AS ax, ms.my AS ay, mt.mx AS bx, mt.my AS bw, (ms.s + ms.d) / (ms.t * ms.d) AS i11, -ms.q / (ms.t * ms.d) AS i12, (ms.p + ms.d) / (ms.t * ms.d) AS i22,
+ (mt.p + mt.d) / mt.t AS r11, mt.q / mt.t AS r12, (mt.s + mt.d) / mt.t AS r22 FROM ms, mt)
+SELECT {r('bx + (qty - ax) * (i11 * r11 + i12 * r12) + (disc - ay) * (i12 * r11 + i22 * r12)')} AS qty, {r('bw + (qty - ax) * (i11 * r12 + i12 * r22) + (disc - ay) * (i12 * r12 + i22 * r22)', 6)} AS disc, price FROM e, i"""
+
+
+@query("J4", CORAL)
 def coral(spark: SparkSession, sf: str) -> DataFrame:
     e, a = sides(spark, sf)
-    return drift.coral(e, a, ["qty", "disc"])
+    return drift.coral(e, a, ["qty", "disc"]).withColumns({"qty": rnd("qty"), "disc": rnd("disc", 6)})
 
 
 PROFILE = f"""WITH {B.READINGS}, p AS (SELECT base, CAST(year(d) AS INTEGER) AS year, avg(qty) / 5 AS x, avg(disc) * 50 AS y, avg(tax) * 50 AS z, avg(CASE WHEN flag = 'R' THEN 1.0 ELSE 0.0 END) AS share FROM readings GROUP BY ALL),
@@ -94,10 +107,18 @@ def combined_weights(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("base", "year", rnd("z", 6).alias("z"), rnd("weight", 6).alias("weight"))
 
 
-@query("J8")
+_POST = "{p} * pi / ({p} * pi + (1 - {p}) * (1 - pi) + 1e-9)"
+# Fifty rounds, each a table of one row; a share that has settled no longer moves.
+_ROUNDS = ", ".join(f"m{k} AS (SELECT CASE WHEN abs(new - pi) < 1e-6 THEN pi ELSE new END AS pi FROM (SELECT any_value(pi) AS pi, sum({_POST.format(p='c.p')} * n) / sum(n) AS new FROM c, m{k - 1}))" for k in range(1, 51))
+EM = f"""WITH {B.SCORES}, u AS (SELECT ok, ln, pos, d, least(score, 1.0::DOUBLE) AS score FROM scores), c AS (SELECT score AS p, count(*)::DOUBLE AS n FROM u GROUP BY score), m0 AS (SELECT 0.3::DOUBLE AS pi), {_ROUNDS}
+SELECT ok, ln, pos, d, {r('score')} AS score, {r(f"greatest(1e-6, least(1 - 1e-6, {_POST.format(p='score')}))")} AS adjusted FROM u, m50"""
+
+
+@query("J8", EM)
 def em_prior_shift(spark: SparkSession, sf: str) -> DataFrame:
-    df = B.scores(spark, sf).select("ok", "ln", F.least("score", F.lit(1.0)).alias("score"))
-    return drift.em_prior_shift(df, "score", 0.3)[0]
+    df = B.scores(spark, sf).select("ok", "ln", "pos", "d", F.least("score", F.lit(1.0)).alias("score"))
+    out = drift.em_prior_shift(df, "score", 0.3)[0]
+    return out.withColumns({"score": rnd("score"), "adjusted": rnd("adjusted")})
 
 
 def model_rows(spark, sf):
