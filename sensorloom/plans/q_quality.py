@@ -107,10 +107,26 @@ def two_group_test(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("channel", "n0", "n1", *[rnd(c, 4 if c == "welch_df" else 6).alias(c) for c in out.columns[3:-1]], "effect")
 
 
-@query("M12")
+def _two_sided(cases: str) -> str:
+    """Two-sided p-values by Simpson's rule over the t density; ``cases`` has channel, name, t and v (degrees of freedom)."""
+    density = "exp(lgamma((v + 1) / 2) - lgamma(v / 2) - 0.5::DOUBLE * ln(v * pi()) - (v + 1) / 2 * ln(1 + (t * i / 4000) ** 2 / v))"
+    return f"""cases AS ({cases}), pv AS (SELECT channel, name, greatest(0, 1 - 2 * any_value(t) / 12000 * sum(CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {density})) AS p
+ FROM cases, range(0, 4001) k(i) GROUP BY channel, name)"""
+
+
+# An F statistic with one degree of freedom above is the square of a t.
+_P_CASES = " UNION ALL ".join(f"SELECT channel, '{name}' AS name, {t} AS t, {v}::DOUBLE AS v FROM p" for name, t, v in (
+    ("pooled", "abs(gap) / sqrt(sp * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n0))", "(n0 + n1 - 2)"),
+    ("welch", "abs(gap) / sqrt(a + b)", "((a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n0 - 1)))"),
+    ("anova", "sqrt((n1 * (m1 - gm) ** 2 + n0 * (m0 - gm) ** 2) / sp)", "(n0 + n1 - 2)"),
+    ("levene", "sqrt((n1 * (zm1 - zgm) ** 2 + n0 * (zm0 - zgm) ** 2) / zsp)", "(n0 + n1 - 2)")))
+P_NAMES = ("pooled", "welch", "anova", "levene")
+
+
+@query("M12", _TWO + ", " + _two_sided(_P_CASES) + " SELECT channel, " + ", ".join(f"round(max(p) FILTER (name = '{n}') + 3e-9, 5) AS {n}_p" for n in P_NAMES) + " FROM pv GROUP BY channel")
 def two_group_p_values(spark: SparkSession, sf: str) -> DataFrame:
     out = quality.two_group_test(gappy(spark, sf), ["qty", "disc", "tax"], "label")
-    return out.select("channel", "pooled_p", "welch_p", "anova_p", "levene_p")
+    return out.select("channel", *[rnd(f"{n}_p", 5).alias(f"{n}_p") for n in P_NAMES])
 
 
 _PAIRS = [(a, b) for i, a in enumerate(CH) for b in CH[i + 1:]]
@@ -174,9 +190,12 @@ def index_trend(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({"slope": F.round("slope", 12), "r2": F.round("r2", 9)})
 
 
-@query("M15")
+_TREND_CASES = " UNION ALL ".join(f"SELECT '{c}' AS channel, 'trend' AS name, sqrt(regr_r2({c}, pos) * (regr_count({c}, pos) - 2) / (1 - regr_r2({c}, pos))) AS t, (regr_count({c}, pos) - 2)::DOUBLE AS v FROM g" for c in ("qty", "disc"))
+
+
+@query("M15", GAPPY + ", " + _two_sided(_TREND_CASES) + " SELECT channel, round(p + 3e-9, 5) AS p_value FROM pv")
 def trend_p_values(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.linear_trend(gappy(spark, sf), ["qty", "disc"], F.col("pos")).select("channel", "p_value")
+    return quality.linear_trend(gappy(spark, sf), ["qty", "disc"], F.col("pos")).select("channel", rnd("p_value", 5).alias("p_value"))
 
 
 @query("M16", f"WITH {B.CONTEXTS} SELECT count(*) AS n, count(*) FILTER (label = 1) AS positives, {r('avg(label)', 6)} AS rate, min(r_date) AS first, max(r_date) AS last FROM contexts")
