@@ -43,8 +43,8 @@ def shuffled_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buc
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
-    """Write the shards as Parquet folders ``shard=0`` …; inside a file the rows keep their order."""
-    placed.write.partitionBy("shard").parquet(path)
+    """Write the shards as Parquet folders ``shard=0`` …; inside a file the rows are in order of their slots."""
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op5_two_pass_shards(spark, sf_dir):

@@ -1,4 +1,3 @@
-import zlib
 from collections import Counter
 
 from llm_cases import documents, mixed_rows
@@ -27,7 +26,7 @@ def test_reruns_agree_and_order_is_random(spark):
     assert first == again != other
     ids = [r[2] for r in first]
     rising = sum(a < b for a, b in zip(ids, ids[1:])) / len(ids)
-    assert 0.35 < rising < 0.65 and zlib.crc32(b"") == 0
+    assert 0.35 < rising < 0.65
 
 
 def test_small_tables(spark):
