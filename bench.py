@@ -15,14 +15,47 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from sensorloom.plans import catalog, q_context  # noqa: E402
+from pyspark.sql import Window  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from sensorloom.plans import bindings, catalog, q_context  # noqa: E402
 from sensorloom.session import local_session  # noqa: E402
 
+
+
+def chained_lags(spark, sf_dir):
+    """Trailing means and lags as one column after the other over plain windows."""
+    line = Window.partitionBy("base", "pos").orderBy("d", "ok", "ln")
+    df = bindings.readings(spark, sf_dir)
+    for n in (7, 30):
+        df = df.withColumn(f"qty_avg{n}", F.avg("qty").over(line.rowsBetween(1 - n, 0)))
+    for c in ("qty", "disc", "tax"):
+        for k in (1, 2, 3):
+            df = df.withColumn(f"{c}_lag{k}", F.coalesce(F.lag(c, k).over(line), F.col(f"{c}_lag{k - 1}") if k > 1 else F.col(c)))
+    return df
+
+
+def random_limit(spark, sf_dir):
+    """As many majority rows as there are minority rows, by a random sort with a limit."""
+    df = bindings.contexts(spark, sf_dir)
+    minority = df.filter("label = 1")
+    return minority.unionByName(df.filter("label = 0").orderBy(F.rand(42)).limit(minority.count()))
+
+
+def row_ranking(spark, sf_dir):
+    """Running positives by a window over all rows."""
+    order = Window.orderBy(F.desc("score"))
+    curve = bindings.scores(spark, sf_dir).withColumn("tp", F.sum("label").over(order)).withColumn("seen", F.count(F.lit(1)).over(order))
+    return curve.agg(F.sum(F.when(F.col("label") == 0, F.col("tp"))).alias("area"), F.sum(F.col("label") * F.col("tp") / F.col("seen")).alias("steps"))
+
+
 #: Plans to compare with, which are no queries.
-YARDSTICKS = {"context_assembly_all_pairs": q_context.all_pairs_assembly}
+YARDSTICKS = {"context_assembly_all_pairs": q_context.all_pairs_assembly, "rolling_and_lags_chained": chained_lags,
+              "undersample_random_limit": random_limit, "ranking_by_rows": row_ranking}
 HEADLINE = [
     "context_assembly", "context_assembly_all_pairs", "context_assembly_break_day", "risk_and_spikes", "monthly_limits",
-    "rolling_and_lags", "oversample_random", "undersample_stratified", "calendar_windows", "ranking_metrics",
+    "rolling_and_lags", "rolling_and_lags_chained", "undersample_random", "undersample_random_limit", "oversample_random",
+    "undersample_stratified", "calendar_windows", "ranking_metrics", "ranking_by_rows",
     "best_f1_on_curve", "quality_report", "missing_summary", "exact_duplicates", "iqr_outliers", "trailing_stats", "sequence_summary", "robust_scale_per_base",
 ]
 
