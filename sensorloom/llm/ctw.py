@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.llm.common import bucket_of, crc_mod, keep, table, text_of
 
-DEPTH, CHUNK_BYTES, BATCH_BYTES = 4, 24 << 20, 2 << 20
+DEPTH, CHUNK_BYTES, BATCH_BYTES = 4, 12 << 20, 2 << 20
 EDGE = b"\xff"  # before the first byte and after the last; no text has it in UTF-8
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
@@ -60,6 +60,25 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(inverse, np.concatenate([p[1] for p in parts]).astype(float), len(keys)).astype(np.int64)
 
 
+class Lookup:
+    """Values of sorted keys by a multiplicative hash; keys that lost their slot to another are searched for."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(16, len(keys).bit_length() + 4)
+        self.keys, self.values, self.shift = keys, values, _U(64 - bits)
+        self.slots = np.zeros(1 << bits, np.int32)
+        self.slots[self.slot(keys)] = np.arange(len(keys))
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, asked: np.ndarray) -> np.ndarray:
+        at = self.slots[self.slot(asked)]
+        lost = self.keys[at] != asked
+        at[lost] = np.searchsorted(self.keys, asked[lost])
+        return self.values[at]
+
+
 def name_parts(chunk: pd.DataFrame) -> pd.DataFrame:
     """A chunk's distinct grams (kind 1) and words (kind 0), numbered in order, with their counts in its training texts."""
     texts, train = [lowered(t) for t in chunk["text"]], ~chunk["held_out"].to_numpy()
@@ -69,8 +88,8 @@ def name_parts(chunk: pd.DataFrame) -> pd.DataFrame:
     for first, end in batches(texts):
         key, starts = grams(texts[first:end])
         trained = np.repeat(train[first:end], np.diff(np.append(starts, len(key))))
-        distinct, inverse = np.unique(key, return_inverse=True)
-        parts.append((distinct, np.bincount(inverse, trained, len(distinct)).astype(np.int64)))
+        others_only = np.unique(key[~trained])
+        parts.append(merged([np.unique(key[trained], return_counts=True), (others_only, np.zeros(len(others_only), np.int64))]))
         if len(parts) == 8:
             parts = [merged(parts)]
         for text, trains in zip(texts[first:end], train[first:end]):
@@ -195,12 +214,12 @@ def score_chunk(chunk: pd.DataFrame, values: pd.DataFrame, n_tokens: int, n_word
     of_gram[number[kind == 1]] = value[kind == 1]
     of_word[number[kind == 0]] = value[kind == 0]
     of_word[-1] = n_train  # the end token
-    index = {w: i for i, w in enumerate(known)}
+    index, gram_value = {w: i for i, w in enumerate(known)}, Lookup(keys, of_gram)
     logs = np.log10(of_word + 0.5) - log10(n_tokens + 0.5 * (n_words + 1))
     out = []
     for first, end in batches(texts):
         key, starts = grams(texts[first:end])
-        scores = np.add.reduceat(of_gram[np.searchsorted(keys, key)], starts)
+        scores = np.add.reduceat(gram_value(key), starts)
         for text, score in zip(texts[first:end], scores):
             at = np.fromiter(map(index.__getitem__, text.split()), np.int64)
             at = np.append(at, len(known))
