@@ -3,7 +3,8 @@
 Targets are shares of a total, capped at a multiple of the source's own size. Each source is dealt by a seeded hash into
 shards of bounded size, so a source that holds a third of all rows is no single group. A shard's documents, in seeded order,
 form a line; the line twice over is cut into equal blocks. The method of highest quotients gives each shard its number of
-blocks, and a seeded order chooses them, those of the first pass over the line before those of the second.
+blocks, and a seeded order chooses them, those of the first pass over the line before those of the second. Where whole
+documents are wanted, the parts of documents that blocks take are given to whole copies by systematic sampling.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from sensorloom.llm.common import bucket_of, keep, table, text_of
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS, SHARE, CAP, BLOCK, SHARD_WORDS, SEED = (3, 1, 2), 1.5, 2, 64, 1 << 18, 7
+UNIT = 1 << 30
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -67,14 +69,9 @@ def quotas(cells: DataFrame, keys: list[str], seats: int, rounds: int = 8, fan:
     return base.join(extra, keys, "left").withColumn("quota", F.col("quota") + F.coalesce("extra", F.lit(0))).drop("extra")
 
 
-def mixed_words(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, shard_words: int = SHARD_WORDS,
+def taken_words(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, shard_words: int = SHARD_WORDS,
                 seed: int = SEED, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """One row per input row: ``doc_id, source, size, source_size, target, taken``.
-
-    ``size`` counts runs of characters other than ASCII white space (a null text has none), ``taken`` the words that the mix
-    takes, at most ``cap`` times the size. A null source is a source of its own, the last. Rows without words take none. An
-    empty table gives no rows.
-    """
+    """The rows of ``mixed_words`` with their place: ``source_no, shard, order, start``."""
     rows = keep(docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"),
                             F.regexp_count(text_of(text_column), F.lit(WORD)).cast("long").alias("size")), "mix-sizes")
     targets = keep(source_targets(rows, weights, share, cap), "mix-targets")
@@ -103,17 +100,48 @@ def mixed_words(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int
     taken = spans.join(chosen.hint("merge"), [*cell, "block"]).groupBy(*cell, "start").agg(F.sum(overlap).alias("taken"))
     with_words = rows.where("size > 0").join(taken, [*cell, "start"], "left")
     out = with_words.unionByName(rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+
+
+def mixed_words(docs: DataFrame, **settings) -> DataFrame:
+    """One row per input row: ``doc_id, source, size, source_size, target, taken``.
+
+    ``size`` counts runs of characters other than ASCII white space (a null text has none), ``taken`` the words that the mix
+    takes, at most ``cap`` times the size. A null source is a source of its own, the last. Rows without words take none. An
+    empty table gives no rows. Settings as of ``taken_words``.
+    """
+    return taken_words(docs, **settings).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def whole_copies(taken: DataFrame) -> DataFrame:
+    """``doc_id, times``: the copies of whole documents that make up each source's taken words.
+
+    A document stands as often as its taken words fill it; the rest is a fraction of one more copy. The fractions are summed
+    along each source's shards, the longest documents of a shard first and equal ones in seeded order, and a document at which
+    the sum passes a half number gets that copy. A shard's words so differ from those taken by no more than its longest
+    document, and a document's chance of the copy is its fraction. Fractions are whole multiples of 1 / ``UNIT``, exact in any order.
+    """
+    part = F.expr(f"(taken % size) * {UNIT}L div size")
+    rows = keep(taken.where("size > 0").select("doc_id", "source_no", "shard", "order", "start", "size",
+                                               F.expr("taken div size").alias("whole"), part.alias("part")), "mix-fractions")
+    cell = ["source_no", "shard"]
+    # One row per shard of bounded size.
+    before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = rows.groupBy(*cell).agg(F.sum("part").alias("part")).select(*cell, F.coalesce(F.sum("part").over(before), F.lit(0)).alias("before"))
+    along = Window.partitionBy(*cell).orderBy(F.col("size").desc(), "order", "start").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("sum", F.sum("part").over(along)).join(shards, cell)
+    passed = f"(before + sum + {UNIT // 2}L) div {UNIT}L - (before + sum - part + {UNIT // 2}L) div {UNIT}L"
+    return rows.select("doc_id", (F.col("whole") + F.expr(passed)).cast("int").alias("times"))
 
 
 def apply_mix(docs: DataFrame, **settings) -> DataFrame:
-    """The documents that the mix takes, with all their columns: each as often as its taken words fill it, rounded.
+    """The documents that the mix takes, with all their columns, in whole copies whose words per source meet the taken ones.
 
     A row that repeats another's identifier and text should have been removed before.
     """
     key = F.struct(F.col("doc_id"), F.xxhash64(text_of()).alias("text_hash"))
-    mix = mixed_words(docs.select(key.alias("key"), "text", "source"), id_column="key", **settings)
-    times = mix.where("size > 0").select(F.col("doc_id").alias("__key"), F.round(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    mix = taken_words(docs.select(key.alias("key"), "text", "source"), id_column="key", **settings)
+    times = whole_copies(mix).select(F.col("doc_id").alias("__key"), F.col("times").alias("__times"))
     rows = docs.select(F.struct("*").alias("__row"), key.alias("__key")).join(times.where("__times > 0"), "__key")
     return rows.select("__row", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row.*")
 

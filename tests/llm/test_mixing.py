@@ -1,8 +1,9 @@
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
-from llm_cases import documents, mixed_rows
+from llm_cases import documents, mixed_rows, row
 
 from sensorloom.llm.mixing import apply_mix, mixed_words, quotas, source_targets
 
@@ -74,3 +75,25 @@ def test_applied_mix_keeps_columns(spark):
     assert out.columns == df.columns
     assert set(map(tuple, out.collect())) <= set(map(tuple, df.collect()))
     assert 0 < max(Counter(r.doc_id for r in out.collect()).values()) <= 2
+
+
+def test_applied_mix_meets_the_targets(spark):
+    rng = random.Random(5)
+    # Long documents span many blocks, so each one's fraction is near its source's ratio.
+    lengths = {"a": lambda: 640, "b": lambda: rng.randrange(2000, 5000), "c": lambda: rng.choice([3, 30, 300, 3000]), "d": lambda: rng.randrange(1, 40), "e": lambda: 1200}
+    rows = [row(i, " ".join(["w"] * lengths[s]()), s) for i, s in enumerate(rng.choices("abcde", k=900))]
+    sizes, longest = defaultdict(int), defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += len(r[1].split())
+        longest[r[3]] = max(longest[r[3]], len(r[1].split()))
+    df = documents(spark, rows)
+    for weights, share in (((3, 1, 2), 1.5), ((1,), 0.2), ((1, 3), 0.7)):
+        want, got = targets(sizes, weights, share), defaultdict(int)
+        out = apply_mix(df, weights=weights, share=share, shard_words=60000).collect()
+        for r in out:
+            got[r.source] += len(r.text.split())
+        assert max(Counter(r.doc_id for r in out).values()) <= 2
+        for s in sizes:
+            assert abs(got[s] - want[s]) <= (1 + sizes[s] // 60000) * (longest[s] + 128), (weights, s)
+    again = apply_mix(df.repartition(7), weights=(1, 3), share=0.7, shard_words=60000).collect()
+    assert Counter(r.doc_id for r in again) == Counter(r.doc_id for r in out)
