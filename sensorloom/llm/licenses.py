@@ -1,16 +1,19 @@
 """Scan for license notices by an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text, as the set of its words. A block matches a template when it holds at least a share ``threshold``
-of the template's words. Words are ordered by the number of blocks that hold them, over all documents, rarest first. A match
+A block is a window of words, as their set: every run of twice as many consecutive words as the longest template has, line
+breaks or not, so a notice lies in one wherever it stands and however it wraps. Blocks may also be the lines of a text. A block
+matches a template when it holds at least a share ``threshold`` of the template's words. Words are ordered by the number of blocks that hold them, over all documents, rarest first. A match
 then shares one of the template's first words in that order (prefix filter), has enough words (length filter), and after each
 prefix word not found the rest must still suffice (positional filter). Blocks that pass are compared in full.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from math import ceil
 
 import pandas as pd
@@ -85,6 +88,50 @@ def match_block(block: set[bytes], templates: list[Template], by_prefix: dict[by
             yield t.label, (len(t.words) - missed) / len(t.words)
 
 
+def match_windows(tokens: list[bytes], width: int, templates: list[Template], by_prefix: dict[bytes, list[int]]) -> list[tuple[int, str, float]]:
+    """(first word, label, containment) of each template's matches in windows of ``width`` consecutive words.
+
+    From the left, each match takes the fewest words that suffice and the template's missing words right after them, and the next
+    begins behind it. Its containment is that of the window from its first word on. A window that matches holds a prefix word, so
+    only words less than a width from one are looked at.
+    """
+    places: dict[int, list[int]] = {}
+    for at, w in enumerate(tokens):
+        for k in by_prefix.get(w, ()):
+            places.setdefault(k, []).append(at)
+    out = []
+    for k, anchors in places.items():
+        t = templates[k]
+        own, first = set(t.words), 0
+        while first < len(anchors):
+            last = first
+            while last + 1 < len(anchors) and anchors[last + 1] - anchors[last] < 2 * width:
+                last += 1
+            stretch = range(max(0, anchors[first] - width + 1), min(len(tokens), anchors[last] + width))
+            found = [(at, tokens[at]) for at in stretch if tokens[at] in own]
+            first, low, i, inside = last + 1, 0, 0, Counter()
+            while i < len(found) and len(found) >= t.need:
+                inside[found[i][1]] += 1
+                while found[low][0] <= found[i][0] - width or inside[found[low][1]] > 1:
+                    inside[found[low][1]] -= 1
+                    if not inside[found[low][1]]:
+                        del inside[found[low][1]]
+                    low += 1
+                i += 1
+                if len(inside) >= t.need:
+                    begin = found[low][0]
+                    near = set(inside)
+                    for at, w in found[i:i + width]:
+                        if at < begin + width:
+                            near.add(w)
+                    out.append((begin, t.label, len(near) / len(t.words)))
+                    while i < len(found) and found[i][0] < begin + width and found[i][1] not in inside:
+                        inside[found[i][1]] += 1
+                        i += 1
+                    low, inside = i, Counter()
+    return sorted(out)
+
+
 def phrase_places(tokens: list[bytes], phrases: dict[bytes, str]) -> list[tuple[int, str]]:
     """(first word, label) of every place where the words of a phrase stand consecutively."""
     line = b" " + b" ".join(tokens) + b" "
@@ -98,11 +145,11 @@ def phrase_places(tokens: list[bytes], phrases: dict[bytes, str]) -> list[tuple[
 
 
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None,
-                  threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+                  threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text", windows: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks``.
 
     Base: places where a phrase's words stand consecutively in the whole text. ``blocks`` lists the matching blocks as (line
-    number from 0, label, share of the template's words); ``labels`` joins theirs with the base's; ``score`` is the largest
+    number from 0, label, share of the template's words), with ``windows`` by the line of a match's first word; ``labels`` joins theirs with the base's; ``score`` is the largest
     share, 1 where a phrase stands. Null and empty texts have no words, no labels and score 0. Other columns are not read.
     """
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
@@ -112,6 +159,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
     for k, t in enumerate(built):
         for w in t.prefix:
             by_prefix.setdefault(w, []).append(k)
+    width = 2 * max((len(words(notice)) for notice in templates), default=0)
     keyed = {b" ".join(words(p)): label for p, label in phrases.items()}
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,8 +169,13 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
                 lines = [words(line) for line in (text or "").split("\n")]
                 tokens = [w for line in lines for w in line]
                 places = phrase_places(tokens, keyed)
-                blocks = [] if by_prefix.keys().isdisjoint(tokens) else [
-                    (i, label, share) for i, line in enumerate(lines) for label, share in sorted(match_block(set(line), built, by_prefix))]
+                if by_prefix.keys().isdisjoint(tokens):
+                    blocks = []
+                elif windows:
+                    ends = list(accumulate(map(len, lines)))
+                    blocks = [(bisect_right(ends, at), label, share) for at, label, share in match_windows(tokens, width, built, by_prefix)]
+                else:
+                    blocks = [(i, label, share) for i, line in enumerate(lines) for label, share in sorted(match_block(set(line), built, by_prefix))]
                 base = {label for _, label in places}
                 starts = [at for at, _ in places]
                 out.append((len(tokens), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
@@ -141,4 +194,4 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
 
 
 def op8_license_scan(spark, sf_dir):
-    return scan_licenses(table(spark, sf_dir, "documents")).withColumn("n_blocks", F.size("blocks").cast("long")).drop("blocks")
+    return scan_licenses(table(spark, sf_dir, "documents"), windows=True).withColumn("n_blocks", F.size("blocks").cast("long")).drop("blocks")

@@ -3,7 +3,7 @@ import re
 
 from llm_cases import documents, mixed_rows, row
 
-from sensorloom.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan_licenses
+from sensorloom.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, op8_license_scan, scan_licenses
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -42,3 +42,47 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert scan_licenses(documents(spark, mixed_rows()[:1]).limit(0)).count() == 0
+
+
+def test_notices_that_wrap_and_long_lines(spark, tmp_path):
+    wrapped = "/* Redistribution and use in source and binary forms, with or without\n * modification, are permitted */"
+    gpl = "This work is licensed under the GNU General\nPublic License, version 3."
+    mpl = "foo " * 500 + "This Source Code Form is subject\n# to the terms of the Mozilla\n# Public License, v. 2.0. " + "foo " * 500
+    far = " foo foo foo foo foo ".join(words(next(n for n in TEMPLATES if TEMPLATES[n] == "bsd")))
+    one_line = "foo " * 10000 + gpl.replace("\n", " ") + " foo" * 10000
+    rows = [row(i, t) for i, t in enumerate([wrapped, gpl, mpl, far, "x\n" + gpl + "\n" + gpl, one_line])]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.labels, r.n_blocks, r.score) for r in op8_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {0: ("bsd", 1, 1.0), 1: ("gpl-3", 1, 1.0), 2: ("mpl-2", 1, 1.0), 3: ("", 0, 0.0), 4: ("gpl-3", 2, 1.0), 5: ("gpl-3", 1, 1.0)}
+    lines = {r.doc_id: [b.line for b in r.blocks] for r in scan_licenses(documents(spark, rows), windows=True).collect()}
+    assert lines[2] == [0] and lines[4] == [1, 3]
+
+
+def test_windows_against_brute_force(spark):
+    rng = random.Random(11)
+    pool = sorted({w for n in TEMPLATES for w in words(n)})
+    rows = []
+    for i in range(200):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            notice = words(rng.choice(list(TEMPLATES)))
+            if rng.random() < 0.5:
+                notice.pop(rng.randrange(len(notice)))
+            if rng.random() < 0.6:
+                for _ in range(rng.randrange(30)):
+                    notice.insert(rng.randrange(len(notice)), rng.choice(pool + ["foo"] * 60))
+            parts += notice + ["foo"] * rng.randrange(50)
+        rows.append(row(i, "".join(w + rng.choice(["\n", " ", ", "]) for w in parts)))
+    width = 2 * max(len(words(n)) for n in TEMPLATES)
+    found = 0
+    for r in scan_licenses(documents(spark, rows), phrases={}, windows=True).collect():
+        tokens, want, score = words(rows[r.doc_id][1]), set(), 0.0
+        for notice, label in TEMPLATES.items():
+            t = set(words(notice))
+            share = max(len(t & set(tokens[k:k + width])) for k in range(len(tokens))) / len(t)
+            if share * len(t) >= THRESHOLD * len(t) - 1e-9:
+                want.add(label)
+                score = max(score, share)
+        assert r.labels == ",".join(sorted(want)) and {b.label for b in r.blocks} == want and r.score <= score + 1e-9
+        found += len(want)
+    assert found > 100
