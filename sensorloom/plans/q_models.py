@@ -89,8 +89,12 @@ def profile(spark, sf):
 
 @query("J5")
 def density_ratio_weight(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights of the operator's full grid, each row with the table of the settings and their AUC."""
     _, tr, te = profile(spark, sf)
-    return drift.density_ratio_weight(tr, te, ["x", "y", "z"], gammas=(0.2, 0.8), sizes=(32,), rounds=20)[0]
+    weights, settings = drift.density_ratio_weight(tr, te, ["x", "y", "z"])
+    # One row per setting.
+    tried = settings.agg(F.sort_array(F.collect_list(F.struct("size", "gamma", "domain_auc")))).scalar()
+    return weights.withColumn("settings", tried)
 
 
 @query("J6", PROFILE + f", n AS (SELECT tr.base, tr.year, min(sqrt((tr.x - te.x) ** 2 + (tr.y - te.y) ** 2 + (tr.z - te.z) ** 2)) AS distance FROM tr, te GROUP BY ALL), s AS (SELECT median(distance) + 1e-9 AS s FROM n) SELECT base, year, {r('distance', 6)} AS distance, {r('exp(-(distance * distance) / (2 * s * s))', 6)} AS weight FROM n, s")
