@@ -1,6 +1,6 @@
 """The queries of this package and their SQL."""
 
-from sensorloom.llm import ctw, exact_dedup, licenses, mixing, near_dup, packing, shards, topk, toxicity, url_lists
+from sensorloom.llm import ctw, divergence, exact_dedup, licenses, mixing, near_dup, packing, shards, topk, toxicity, url_lists
 
 QUERIES = {
     "op1_min_slack_packing": (packing.op1_min_slack_packing, None),
@@ -13,4 +13,5 @@ QUERIES = {
     "op8_license_scan": (licenses.op8_license_scan, None),
     "op9_ngram_jaccard_join": (near_dup.op9_ngram_jaccard_join, None),
     "op10_source_mix": (mixing.op10_source_mix, None),
+    "op11_source_divergence": (divergence.op11_source_divergence, divergence.SQL),
 }
