@@ -1,6 +1,6 @@
 """The queries of this package and their SQL."""
 
-from sensorloom.llm import ctw, divergence, exact_dedup, licenses, mixing, near_dup, packing, shards, topk, toxicity, url_lists, whitening
+from sensorloom.llm import ctw, divergence, exact_dedup, fingerprints, licenses, mixing, near_dup, packing, shards, topk, toxicity, url_lists, whitening
 
 QUERIES = {
     "op1_min_slack_packing": (packing.op1_min_slack_packing, None),
@@ -14,5 +14,6 @@ QUERIES = {
     "op9_ngram_jaccard_join": (near_dup.op9_ngram_jaccard_join, None),
     "op10_source_mix": (mixing.op10_source_mix, None),
     "op11_source_divergence": (divergence.op11_source_divergence, divergence.SQL),
+    "op12_document_fingerprints": (fingerprints.op12_document_fingerprints, None),
     "op13_whitened_embeddings": (whitening.op13_whitened_embeddings, None),
 }
