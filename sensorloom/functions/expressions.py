@@ -120,20 +120,3 @@ def hash_key(seed: int, *keys: str | Column) -> Column:
 def hash_unit(seed: int, *keys: str | Column) -> Column:
     """Uniform number in [0, 1) from the first 32 bits of the hash."""
     return F.conv(F.substring(hash_key(seed, *keys), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-
-
-def value_bucket(x: str | Column, resolution: int = 256) -> Column:
-    """Order-preserving bucket of a double: equal steps on a logarithmic scale, mirrored for
-    negative values, NaN above all. It needs no statistics of the data, so rows can be bucketed in the scan."""
-    x = col(x)
-    inf = F.lit(float("inf"))
-    step = (F.floor(F.log2(F.abs(x)) * F.lit(float(resolution))) + F.lit(1100 * resolution)).cast("long")
-    return (
-        F.when(F.isnan(x), F.lit(1 << 41))
-        .when(x == inf, F.lit(1 << 40))
-        .when(x == -inf, F.lit(-(1 << 40)))
-        .when(x > 0, step)
-        .when(x < 0, -step)
-        .otherwise(F.lit(0))
-        .cast("long")
-    )

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from sensorloom.functions.expressions import clip, value_bucket
+from sensorloom.functions.expressions import clip
 from sensorloom.operators.evaluate import ranking_metrics
-from sensorloom.operators.ordered import Series, running, with_scalar
+from sensorloom.operators.ordered import EVEN, Series, running, with_scalar
 from sensorloom.operators.quantiles import exact_quantiles
 from sensorloom.session import cut_lineage
 
@@ -58,7 +58,7 @@ def ks_statistic(expected: DataFrame, actual: DataFrame, cols: Sequence[str]) ->
     counts = _tagged(expected, actual, cols).select("__actual", F.explode(pairs).alias("p")).select("__actual", "p.*").filter("v IS NOT NULL").groupBy(
         "feature", "v").agg(F.count(F.when(F.col("__actual") == 0, 1)).alias("e"), F.count(F.when(F.col("__actual") == 1, 1)).alias("a"))
     totals = counts.groupBy("feature").agg(F.sum("e").alias("te"), F.sum("a").alias("ta"))
-    cum = running(counts, Series(["feature"], ["v"], value_bucket("v", 4096)), {"ce": F.col("e"), "ca": F.col("a")})
+    cum = running(counts, Series(["feature"], ["v"], EVEN), {"ce": F.col("e"), "ca": F.col("a")})
     peak = cum.join(totals, "feature").groupBy("feature").agg(F.max(F.abs(F.col("ce") / F.col("te") - F.col("ca") / F.col("ta"))).alias("ks"))
     return peak
 

@@ -1,8 +1,8 @@
 """Scores per group, ranking metrics, thresholds.
 
 All metrics start from counts per distinct score, so ties share one step and the rows are
-shuffled once with map-side combination. Running totals over the scores are cut into value
-buckets, so that a table with as many scores as rows is not sorted by one task.
+shuffled once with map-side combination. Running totals over the scores are cut into blocks
+of equal size, so that a table with as many scores as rows is not sorted by one task.
 """
 
 from __future__ import annotations
@@ -12,8 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.functions.expressions import value_bucket
-from sensorloom.operators.ordered import Series, last_rows, running, salted_join, with_scalar
+from sensorloom.operators.ordered import EVEN, Series, last_rows, running, salted_join, with_scalar
 from sensorloom.operators.quantiles import exact_quantiles
 
 EPS = 1e-8
@@ -67,9 +66,9 @@ def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ())
 def ranking_curve(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """True and false positives at each distinct score as threshold, with the totals."""
     counts = score_counts(df, score, label, by)
-    block = -value_bucket("score", 4096)
-    curve = running(counts, Series(list(by), [F.desc("score")], block),
-                    {"tp": F.col("pos"), "seen": F.col("n")})
+    # Falling scores, NaN above all and null below.
+    down = [F.when(F.col("score").isNull(), 2).when(F.isnan("score"), 0).otherwise(1), F.when(~F.isnan("score"), -F.col("score"))]
+    curve = running(counts, Series(list(by), down, EVEN), {"tp": F.col("pos"), "seen": F.col("n")})
     totals = counts.agg(F.struct(F.sum("pos").alias("p"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("steps")).alias("t"))
     if by:
         totals = counts.groupBy(*by).agg(F.struct(F.sum("pos").alias("p"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("steps")).alias("t"))

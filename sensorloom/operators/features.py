@@ -55,6 +55,24 @@ def monthly_limits(df: DataFrame, keys: Sequence[str], limits: Sequence[Limit])
     return out
 
 
+def limits_and_spikes(df: DataFrame, keys: Sequence[str], limits: Sequence[Limit], spikes: Sequence[Limit] = ()) -> DataFrame:
+    """``monthly_limits`` with the number of values above the limit, ``spikes_{channel}``, for the limits in ``spikes``.
+
+    For percentiles that number falls out of the quantile passes. Only rows of channels with the other kind are met with their
+    limits to be counted.
+    """
+    p95, sigma = ([x for x in limits if (x.kind == "p95") == wanted] for wanted in (True, False))
+    out = monthly_2sigma(df, keys, sigma) if sigma else df.select(*keys).distinct()
+    counted = [x for x in spikes if x.kind != "p95"]
+    if counted:
+        rows = df.select(*keys, *{x.channel for x in counted})
+        out = null_safe_join(out, spike_counts(salted_join(rows, monthly_2sigma(df, keys, counted), keys, null_safe=True), keys, counted), keys, "left")
+    if p95:
+        above = {x.name: f"spikes_{x.channel}" for x in spikes if x.kind == "p95"}
+        out = null_safe_join(out, exact_quantiles(df, keys, {x.name: x.value for x in p95}, {"": 0.95}, above), keys, "left")
+    return out.select(*keys, *[x.name for x in limits], *[F.coalesce(f"spikes_{x.channel}", F.lit(0).cast("long")).alias(f"spikes_{x.channel}") for x in spikes])
+
+
 def threshold_join(df: DataFrame, limits: DataFrame, keys: Sequence[str], spread: Sequence[str] | None = None) -> DataFrame:
     """Left join of the values of the row's group; a busy group is salted, because an aggregate
     or a second such join on the same keys keeps Spark from splitting it at run time."""

@@ -15,9 +15,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.functions.expressions import value_bucket
 from sensorloom.operators.evaluate import best_f1_on_curve, ranking_metrics
-from sensorloom.operators.ordered import Series, carry_forward, with_scalar
+from sensorloom.operators.ordered import Series, carry_forward, even_blocks, with_scalar
 from sensorloom.operators.quantiles import exact_quantiles
 from sensorloom.operators.resample import balanced_class_weight
 from sensorloom.operators.splits import group_kfold
@@ -119,7 +118,7 @@ def isotonic_pools(calibration: DataFrame, base: str, score: str, label: str, mi
     counts = calibration.groupBy(base, F.col(score).cast("double").alias("lo")).agg(
         F.sum(F.col(label).cast("double")).alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
     enough = counts.groupBy(base).agg(F.sum("pos").alias("p")).filter(F.col("p") >= min_pos).select(base)
-    rows = counts.join(enough, base).select(base, "lo", F.col("lo").alias("hi"), "pos", "n", value_bucket("lo", 64).alias("__block"))
+    rows = even_blocks(counts.join(enough, base).select(base, "lo", F.col("lo").alias("hi"), "pos", "n"), [base, "lo"], blocks=256)
     kind = dict(calibration.dtypes)[base]
 
     def pool(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -145,9 +144,9 @@ def apply_pools(df: DataFrame, pools: DataFrame, base: str, score: str, name: st
     merged = asks.select(base, "x", F.lit(None).cast("double").alias("v"), F.lit(True).alias("ask")).unionByName(knots.withColumn("ask", F.lit(False)))
     merged = merged.groupBy(base, "x").agg(F.max("v").alias("v"), F.max("ask").alias("ask"))
     knot = F.when(F.col("v").isNotNull(), F.struct("x", "v"))
-    block = value_bucket("x", 256)
-    both = carry_forward(merged.withColumn("left", knot).withColumn("right", knot), Series([base], ["x"], block), {"left": F.col("left")})
-    both = carry_forward(both, Series([base], ["x"], block), {"right": F.col("right")}, backward=True)
+    series = Series([base], ["x"], F.col("__cut"))
+    both = carry_forward(even_blocks(merged.withColumns({"left": knot, "right": knot}), [base, "x"], "__cut"), series, {"left": F.col("left")})
+    both = carry_forward(both, series, {"right": F.col("right")}, backward=True)
     l, r = F.col("left"), F.col("right")
     between = l["v"] + (r["v"] - l["v"]) * F.coalesce((F.col("x") - l["x"]) / F.nullif(r["x"] - l["x"], F.lit(0.0)), F.lit(0.0))
     value = F.when(l.isNull(), r["v"]).when(r.isNull(), l["v"]).otherwise(between)

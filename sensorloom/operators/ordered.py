@@ -23,18 +23,46 @@ BLOCK = "__block"
 PART = "__part"
 
 
+#: Marks a series whose blocks are cut from the data by ``even_blocks``.
+EVEN = "even"
+#: Blocks that a table is cut into then, and sampled rows per block.
+BLOCKS, SAMPLED = 1024, 32
+
+
+def even_blocks(df: DataFrame, order: Sequence[str | Column], name: str = BLOCK, blocks: int = BLOCKS) -> DataFrame:
+    """Number the rows' blocks: of nearly equal size (with many rows, at most twice the mean), rising along ``order``.
+
+    The cuts are rows at equal steps of one random sample of bounded size, held in a scalar subquery; a row finds its block
+    among them by bisection, one projection per step, so nothing is joined or broadcast. Equal rows share a block. A null in
+    the order comes first, NaN last.
+    """
+    key = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(order)])
+    sample = df.select(key.alias("k")).orderBy(F.rand(7)).limit(blocks * SAMPLED).agg(F.sort_array(F.collect_list("k")).alias("s"))
+    step = F.sequence(F.lit(1), F.lit(blocks - 1))
+    cuts = sample.select(F.when(F.size("s") > 0, F.array_distinct(F.transform(
+        step, lambda j: F.col("s")[F.floor(j * F.size("s") / blocks).cast("int")]))).alias("c")).scalar()
+    out = df.withColumns({"__key": key, name: F.lit(0)})
+    for half in (1 << k for k in reversed(range((blocks - 1).bit_length()))):
+        at = F.col(name)
+        out = out.withColumn(name, at + F.when(F.get(cuts, at + (half - 1)) <= F.col("__key"), half).otherwise(0))
+    return out.drop("__key")
+
+
 @dataclass(frozen=True)
 class Series:
     """Keys, total order, and the block that cuts a key into pieces.
 
-    ``block`` defaults to the first ordering column. It must not decrease along the order.
+    ``block`` defaults to the first ordering column. It must not decrease along the order. ``EVEN`` cuts
+    blocks of equal size from the data, for an order whose values may crowd together.
     """
 
     keys: Sequence[str]
     order: Sequence[str | Column]
-    block: Column | None = None
+    block: Column | str | None = None
 
     def blocked(self, df: DataFrame) -> DataFrame:
+        if isinstance(self.block, str):
+            return even_blocks(df, [*self.keys, *self.order])
         first = self.order[0]
         default = F.col(first) if isinstance(first, str) else first
         return df.withColumn(BLOCK, self.block if self.block is not None else default)
@@ -194,12 +222,15 @@ def with_scalar(df: DataFrame, **scalars: Column) -> DataFrame:
     return df.withColumns(scalars)
 
 
-def salted_join(df: DataFrame, table: DataFrame, keys: Sequence[str], spread: Sequence[str] | None = None, salts: int = 16) -> DataFrame:
+def salted_join(df: DataFrame, table: DataFrame, keys: Sequence[str], spread: Sequence[str] | None = None, salts: int = 16,
+                null_safe: bool = False) -> DataFrame:
     """Left join to a table with one row per key, in which a hot key is spread over ``salts`` tasks.
 
     The salt comes from the values of ``spread`` (all columns by default), so a repeated task
-    sends its rows to the same place again.
+    sends its rows to the same place again. With ``null_safe``, null keys match.
     """
     salt = F.pmod(F.xxhash64(*(spread or df.columns)), F.lit(salts)).cast("int")
     copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn("__salt", salt).join(copies, [*keys, "__salt"], "left").drop("__salt")
+    salted = df.withColumn("__salt", salt)
+    joined = null_safe_join(salted, copies, [*keys, "__salt"], "left") if null_safe else salted.join(copies, [*keys, "__salt"], "left")
+    return joined.drop("__salt")

@@ -8,9 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.functions.expressions import value_bucket
 from sensorloom.functions.probability import f_p_value, t_p_value
-from sensorloom.operators.ordered import Series, bounded_window, positions, running, with_scalar
+from sensorloom.operators.ordered import EVEN, Series, bounded_window, positions, running, with_scalar
 from sensorloom.operators.quantiles import exact_quantiles
 
 # Share of missing cells (percent) and its level, run lengths, class ratios, effect sizes.
@@ -203,7 +202,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], complete: bool = Fals
 def average_ranks(cells: DataFrame, c: str, name: str) -> DataFrame:
     """Mean rank of each distinct value of ``c``, from rows that carry a count ``n``."""
     counts = cells.groupBy(c).agg(F.sum("n").alias("__c"))
-    ranked = running(counts, Series([], [c], value_bucket(c, 4096)), {"__upto": F.col("__c")})
+    ranked = running(counts, Series([], [c], EVEN), {"__upto": F.col("__c")})
     return ranked.select(c, (F.col("__upto") - (F.col("__c") - 1) / F.lit(2.0)).alias(name))
 
 
@@ -253,7 +252,7 @@ def linear_trend(df: DataFrame, cols: Sequence[str], x: Column, p_values: bool =
 
 def index_trend(df: DataFrame, channel: str, order: Sequence[str], p_values: bool = True) -> DataFrame:
     """Trend on the row number of the present values in time order."""
-    rows = positions(df.filter(F.col(channel).isNotNull()), Series([], order), "__rn")
+    rows = positions(df.filter(F.col(channel).isNotNull()), Series([], order, EVEN), "__rn")
     return linear_trend(rows, [channel], F.col("__rn") - 1, p_values)
 
 
@@ -283,7 +282,7 @@ def missing_gaps(df: DataFrame, cols: Sequence[str], time: str, ties: Sequence[s
     marks = F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in cols])
     rows = df.select(time, *ties, F.explode(F.array_compact(marks)).alias("column"))
     gap = lambda w: {"gap": F.timestamp_diff("MICROSECOND", F.lag(time, 1).over(w), F.col(time)) / F.lit(1e6)}
-    out = bounded_window(rows, Series(["column"], [time, *ties], F.to_date(time)), gap, 1)
+    out = bounded_window(rows, Series(["column"], [time, *ties], EVEN), gap, 1)
     return out.groupBy("column").agg(F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap"), F.avg("gap").alias("avg_gap"),
                                      F.min(time).alias("first"), F.max(time).alias("last"), F.count(F.lit(1)).alias("n"))
 

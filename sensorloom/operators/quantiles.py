@@ -1,20 +1,91 @@
-"""Exact quantiles without holding a group in one task.
+"""Exact quantiles in two passes: a sketch brackets each rank, then only the values inside the brackets are looked at.
 
-The built-in exact percentile keeps all distinct values of a group in one hash map. Here the
-values are counted per (group, value) first, which combines on the map side and spreads a hot
-group over all tasks. Bucket counts then tell in which bucket a rank lies, and only the values
-of that bucket are sorted.
+The first pass keeps a mergeable quantile sketch per group and channel, whose rank error is bounded, so two of its quantiles
+hold the wanted ranks between them. The second pass meets the rows with these brackets: values below a bracket are counted
+(combined on the map side), values inside are counted one by one. Rows times channels never leave a task; what does is a
+small, fixed share of them. The values inside a bracket are cut into equal steps, and only the step with the rank is sorted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.functions.expressions import value_bucket
-from sensorloom.operators.ordered import null_safe_join
+from sensorloom.operators.ordered import null_safe_join, salted_join
+
+#: Inverse rank error of the sketches, and group sizes from which a bracket is narrower: it must span the error and two ranks to
+#: either side. A smaller group has one bracket with all its values.
+ACCURACY, SIZES = 2000, (32, 125, 500, 2000)
+#: Equal steps of a bracket.
+STEPS = 256
+
+
+def brackets(rows: DataFrame, keys: Sequence[str], names: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """One row per key with the array ``__b``: each channel's number of values, then a lower end per channel and probability, then
+    the upper ends. As one column it reaches both readers of the brackets alike, so the sketches are made once."""
+    reaches = [2 / size + 1 / ACCURACY for size in SIZES]
+    ask = [min(1.0, max(0.0, p + sign * r)) for sign in (-1, 1) for p in probs for r in reaches]
+    sketches = rows.groupBy(*keys).agg(*[e for c in names for e in (
+        F.percentile_approx(c, ask, ACCURACY).alias(f"s{c}"), F.count(c).alias(f"n{c}"), F.min(c).alias(f"l{c}"), F.max(c).alias(f"g{c}"))])
+
+    def end(c: str, sign: int, j: int) -> Column:
+        n, first = F.col(f"n{c}"), (sign * len(probs) + j) * len(SIZES)
+        level = F.lit(first)
+        for k, size in enumerate(SIZES[1:], 1):
+            level = F.when(n >= size, first + k).otherwise(level)
+        return F.when(n >= SIZES[0], F.get(f"s{c}", level)).otherwise(F.col(f"{'lg'[sign]}{c}"))
+
+    return sketches.select(*keys, F.array(*[F.col(f"n{c}").cast("double") for c in names], *[
+        end(c, sign, j) for sign in (0, 1) for c in names for j in range(len(probs))]).alias("__b"))
+
+
+def ranked_cells(df: DataFrame, keys: Sequence[str], values: dict[str, Column], probs: Sequence[float]) -> DataFrame:
+    """For each key, channel and probability (``__e`` counts both) the one or two values ``__v`` at its ranks ``__lo`` and ``__hi``, with the
+    number of values up to them (``__rank``), their own copies ``__n``, the ranks' fraction ``__frac`` and the number of all values."""
+    names = [f"__v{i}" for i in range(len(values))]
+    number = lambda v: F.when(~F.isnan(v.cast("double")), v.cast("double"))
+    rows = df.select(*keys, *[number(v).alias(c) for c, v in zip(names, values.values())])
+    found = brackets(rows, keys, names, probs)
+    # Without keys this is one row, which meets the rows by the salt alone.
+    with_ends = salted_join(rows, found, keys, names, null_safe=True)
+    size, ends = len(names), F.col("__b")
+    cells = [(e, names[e // len(probs)], ends[size + e], ends[size + size * len(probs) + e]) for e in range(size * len(probs))]
+    below = with_ends.groupBy(*keys).agg(*[F.count_if(F.col(c) < lo).alias(f"b{e}") for e, c, lo, _ in cells], *[F.first(ends[i]).alias(f"n{i}") for i in range(size)])
+    floor = below.select(*keys, F.explode(F.array(*[F.struct(
+        F.lit(e).alias("__e"), F.lit(-1).alias("__bk"), F.col(f"b{e}").alias("__n"), F.col(f"n{e // len(probs)}").cast("long").alias("__total")) for e, *_ in cells])).alias("__x")).select(*keys, "__x.*").where("__total > 0")
+    hit = lambda c, lo, hi: F.col(c).between(lo, hi)
+
+    def step(c: str, lo: Column, hi: Column) -> Column:
+        return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(STEPS - 1), F.floor((F.col(c) - lo) / F.nullif(hi - lo, F.lit(0.0)) * STEPS).cast("int"))), F.lit(0))
+
+    inside = F.array_compact(F.array(*[F.when(hit(c, lo, hi), F.struct(F.lit(e).alias("e"), step(c, lo, hi).alias("bk"), F.col(c).alias("v"))) for e, c, lo, hi in cells]))
+    few = with_ends.where(reduce(Column.__or__, [hit(c, lo, hi) for _, c, lo, hi in cells]))
+    counts = few.select(*keys, F.explode(inside).alias("__x")).groupBy(
+        *keys, F.col("__x.e").alias("__e"), F.col("__x.bk").alias("__bk"), F.col("__x.v").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    group = [*keys, "__e"]
+    whole = Window.partitionBy(*group)
+    steps = counts.groupBy(*group, "__bk").agg(F.sum("__n").alias("__n")).withColumn("__total", F.lit(None).cast("long")).unionByName(floor).select(
+        *group, "__bk", "__n", F.max("__total").over(whole).alias("__total"),
+        F.sum("__n").over(whole.orderBy("__bk").rowsBetween(Window.unboundedPreceding, 0)).alias("__upto"), F.sum("__n").over(whole).alias("__seen"))
+    p = F.array(*[F.lit(float(x)) for x in probs])[F.pmod("__e", F.lit(len(probs)))]
+    h = p * (F.col("__total") - 1)
+    wanted = steps.select(*group, "__bk", "__total", "__seen", (F.col("__upto") - F.col("__n")).alias("__before"), "__upto", (F.floor(h) + 1).alias("__lo"),
+                          (F.ceil(h) + 1).alias("__hi"), (h - F.floor(h)).alias("__frac"))
+    # The sketch's bound keeps both ranks inside; were it ever broken, an error is better than a wrong value.
+    held = (F.col("__bk") >= 0) | ((F.col("__upto") < F.col("__lo")) & (F.col("__hi") <= F.col("__seen")))
+    wanted = wanted.where(F.when(held, F.col("__bk") >= 0).otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")).cast("boolean")))
+    holds = lambda r: (F.col("__before") < F.col(r)) & (F.col(r) <= F.col("__upto"))
+    wanted = wanted.where(holds("__lo") | holds("__hi"))
+    place = Window.partitionBy(*group, "__bk").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = null_safe_join(counts, wanted.drop("__seen", "__upto"), [*group, "__bk"]).withColumn("__rank", F.col("__before") + F.sum("__n").over(place))
+    return ranked.where(at_rank("__lo") | at_rank("__hi"))
+
+
+def at_rank(rank: str) -> Column:
+    return (F.col("__rank") - F.col("__n") < F.col(rank)) & (F.col(rank) <= F.col("__rank"))
 
 
 def exact_quantiles(
@@ -22,57 +93,28 @@ def exact_quantiles(
     keys: Sequence[str],
     values: dict[str, Column],
     probs: dict[str, float],
-    resolution: int = 256,
+    above: dict[str, str] | None = None,
 ) -> DataFrame:
     """One row per key with a column ``name + suffix`` per value and probability.
 
-    Linear interpolation between the two neighbouring ranks; null and NaN are ignored. A key
-    without any value has no row; without keys there is always one row.
+    Linear interpolation between the two neighbouring ranks; null and NaN are ignored. A key without any value has no row;
+    without keys there is always one row. ``above`` maps some of these columns to names of further ones, with the number of
+    values greater than the quantile.
     """
-    keys = list(keys)
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), v.cast("double").alias("v")) for i, v in enumerate(values.values())])
-    counts = (
-        df.select(*keys, F.explode(pairs).alias("__e"))
-        .select(*keys, F.col("__e.i").alias("__i"), F.col("__e.v").alias("__v"))
-        .filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
-        .groupBy(*keys, "__i", "__v")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__bk", value_bucket("__v", resolution))
-    )
-    group = [*keys, "__i"]
-    by_bucket = Window.partitionBy(*group).orderBy("__bk").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = counts.groupBy(*group, "__bk").agg(F.sum("__n").alias("__nb")).select(
-        *group, "__bk", "__nb",
-        F.sum("__nb").over(by_bucket).alias("__upto"),
-        F.sum("__nb").over(Window.partitionBy(*group)).alias("__total"),
-    )
-    spec = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p")) for j, p in enumerate(probs.values())])
-    h = F.col("__q.p") * (F.col("__total") - 1)
-    wanted = (
-        buckets.select("*", F.explode(spec).alias("__q"))
-        .select(*group, "__bk", (F.col("__upto") - F.col("__nb")).alias("__before"), "__upto",
-                F.col("__q.j").alias("__j"), (F.floor(h) + 1).alias("__lo"), (F.ceil(h) + 1).alias("__hi"),
-                (h - F.floor(h)).alias("__frac"))
-        .filter(((F.col("__before") < F.col("__lo")) & (F.col("__lo") <= F.col("__upto")))
-                | ((F.col("__before") < F.col("__hi")) & (F.col("__hi") <= F.col("__upto"))))
-        .drop("__upto")
-    )
-    inside = Window.partitionBy(*group, "__bk", "__j").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = null_safe_join(counts, wanted, [*group, "__bk"]).withColumn(
-        "__rank", F.col("__before") + F.sum("__n").over(inside))
-
-    def at(rank: str) -> Column:
-        return F.when((F.col("__rank") - F.col("__n") < F.col(rank)) & (F.col(rank) <= F.col("__rank")), F.col("__v"))
-
-    # One row per key, value and probability; then one small map per key.
-    width = len(probs)
-    cell = ranked.groupBy(*group, "__j", "__frac").agg(F.max(at("__lo")).alias("__vlo"), F.max(at("__hi")).alias("__vhi"))
-    value = F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * F.col("__frac")
-    entry = F.struct((F.col("__i") * width + F.col("__j")).alias("k"), value.alias("v"))
-    packed = cell.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("__m"))
-    return packed.select(*keys, *[
-        F.try_element_at("__m", F.lit(i * width + j)).alias(f"{n}{s}")
-        for i, n in enumerate(values) for j, s in enumerate(probs)])
+    keys, width = list(keys), len(probs)
+    found = ranked_cells(df, keys, values, list(probs.values()))
+    entry = F.struct(F.col("__e").alias("k"), F.struct("__v", "__rank", "__frac", "__total").alias("x"))
+    # Two small maps per key: the values at the lower and at the upper rank.
+    packed = found.groupBy(*keys).agg(*[F.map_from_entries(F.collect_list(F.when(at_rank(r), entry))).alias(r) for r in ("__lo", "__hi")])
+    columns, further = [], []
+    for i, n in enumerate(values):
+        for j, s in enumerate(probs):
+            lo, hi = (F.try_element_at(r, F.lit(i * width + j)) for r in ("__lo", "__hi"))
+            value = F.when(lo["__v"] == hi["__v"], lo["__v"]).otherwise(lo["__v"] + (hi["__v"] - lo["__v"]) * lo["__frac"])
+            columns.append(value.alias(f"{n}{s}"))
+            if name := (above or {}).get(f"{n}{s}"):
+                further.append((lo["__total"] - F.when(value >= hi["__v"], hi["__rank"]).otherwise(lo["__rank"])).alias(name))
+    return packed.select(*keys, *columns, *further)
 
 
 def quantile_columns(df: DataFrame, keys: Sequence[str], cols: Sequence[str], probs: dict[str, float]) -> DataFrame:

@@ -10,8 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.functions.expressions import hash_key, hash_unit, value_bucket
-from sensorloom.operators.ordered import Series, hash_series, mark_lowest, mark_lowest_per_key, positions, salted_join, with_scalar
+from sensorloom.functions.expressions import hash_key, hash_unit
+from sensorloom.operators.ordered import EVEN, Series, hash_series, mark_lowest, mark_lowest_per_key, positions, salted_join, with_scalar
 
 HASH = "__h"
 
@@ -59,7 +59,7 @@ def oversample_stratified(df: DataFrame, label: str, strata: Sequence[str], keys
     plan = df.agg(F.struct(F.floor(F.count(F.when(F.col(label) == 0, 1)) * F.lit(ratio)).alias("target"),
                            F.count(F.when(F.col(label) == 1, 1)).alias("have")).alias("p")).scalar()
     ranked = positions(_hashed(minority, keys, seed), hash_series(strata, HASH, ties), "__rank")
-    by_rank = Series([], ["__rank", HASH, *strata, *ties], value_bucket(F.col("__rank").cast("double"), 4096))
+    by_rank = Series([], ["__rank", HASH, *strata, *ties], EVEN)
     marked = with_scalar(mark_lowest(ranked, plan["target"] % F.nullif(plan["have"], F.lit(0)), by_rank), __plan=plan)
     copies = (F.floor(F.col("__plan.target") / F.col("__plan.have")) + F.when(F.col("chosen"), 1).otherwise(0)).cast("int")
     # sequence() counts down when the end lies below the start, so rows without a copy are dropped first.
@@ -116,7 +116,7 @@ def weighted_draw(df: DataFrame, weight: str, n: int | Column, keys: Sequence[st
     u = (hash_unit(seed, *keys) * F.lit(4294967296.0) + F.lit(0.5)) / F.lit(4294967296.0)
     keyed = df.withColumn("__e", -F.log(u) / F.col(weight))
     n = F.lit(n) if not isinstance(n, Column) else n
-    order = Series([], ["__e", *keys, *ties], value_bucket("__e", 4096))
+    order = Series([], ["__e", *keys, *ties], EVEN)
     return mark_lowest(keyed, n, order).filter("chosen").select(*df.columns)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions.expressions import hash_key, hash_unit
-from sensorloom.operators.ordered import Series, hash_series, mark_lowest, positions, salted_join
+from sensorloom.operators.ordered import EVEN, Series, hash_series, mark_lowest, positions, salted_join
 from sensorloom.operators.quantiles import exact_quantiles
 from sensorloom.operators.resample import HASH, class_sizes
 
@@ -37,9 +37,9 @@ def split_dates_2way(df: DataFrame, date: str, train: float = 0.8) -> DataFrame:
 
 
 def split_rows(df: DataFrame, order: Sequence[str], train: float = 0.8) -> DataFrame:
-    """First share of the rows in date order; only the rows of the cut-off date are ranked."""
+    """First share of the rows in date order; only the rows of the cut-off block are ranked."""
     n = df.agg(F.floor(F.count(F.lit(1)) * F.lit(train)).alias("n")).scalar()
-    marked = mark_lowest(df, n, Series([], order))
+    marked = mark_lowest(df, n, Series([], order, EVEN))
     return marked.withColumn("part", F.when(F.col("chosen"), "train").otherwise("test")).drop("chosen")
 
 
@@ -98,7 +98,7 @@ def split_random(df: DataFrame, keys: Sequence[str], cuts: Sequence[tuple[str, f
 
 def expanding_folds_rows(df: DataFrame, order: Sequence[str], k: int = 5) -> DataFrame:
     """Number of the fold that tests the row (-1 for the first train block); fold i trains on fold < i."""
-    ranked = positions(df, Series([], order), "__rn")
+    ranked = positions(df, Series([], order, EVEN), "__rn")
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     return _fold(ranked, F.col("__rn") - 1, n, k).drop("__rn")
 

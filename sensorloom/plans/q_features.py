@@ -49,21 +49,42 @@ def monthly_two_sigma(spark: SparkSession, sf: str) -> DataFrame:
 @query("C5 D3 D4 D5 B18", f"WITH {B.READINGS}, {MONTHS}, {LIMITS_SQL}, {SPIKES_SQL} SELECT ok, ln, pos, base, d, spikes_qty, spikes_disc, {r('coalesce(qty / nullif(limit_qty, 0), 0)', 6)} AS risk_qty, {r('coalesce(abs(disc) / nullif(limit_disc, 0), 0)', 6)} AS risk_disc, {r('coalesce(price / nullif(limit_price, 0), 0)', 6)} AS risk_price FROM months LEFT JOIN limits USING (mapped, year, month) LEFT JOIN spikes USING (mapped, year, month)")
 def risk_and_spikes(spark: SparkSession, sf: str) -> DataFrame:
     rows = months(spark, sf)
-    limits = features.monthly_limits(rows, MONTH, LIMITS)
-    joined = features.threshold_join(rows, limits, MONTH, ["ok", "ln"])
-    spikes = features.spike_counts(
-        joined.withColumns({x.name: F.col(x.name) + F.lit(1e-12) for x in LIMITS}), MONTH, LIMITS[:2])
-    out = features.threshold_join(features.risk_features(joined, LIMITS[:3]), spikes, MONTH, ["ok", "ln"])
+    table = features.limits_and_spikes(rows, MONTH, LIMITS, LIMITS[:2])
+    out = features.risk_features(features.threshold_join(rows, table, MONTH, ["ok", "ln"]), LIMITS[:3])
     return out.select("ok", "ln", "pos", "base", "d", "spikes_qty", "spikes_disc",
                       *[rnd(f"risk_{c}", 6).alias(f"risk_{c}") for c in ("qty", "disc", "price")])
 
 
 @query("D5", f"WITH {B.READINGS}, {MONTHS}, {LIMITS_SQL}, {SPIKES_SQL} SELECT * FROM spikes")
 def monthly_spikes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = months(spark, sf)
-    limits = features.monthly_p95(rows, MONTH, LIMITS[:2])
-    joined = features.threshold_join(rows, limits, MONTH, ["ok", "ln"])
-    return features.spike_counts(joined.withColumns({x.name: F.col(x.name) + F.lit(1e-12) for x in LIMITS[:2]}), MONTH, LIMITS[:2])
+    table = features.limits_and_spikes(months(spark, sf), MONTH, LIMITS[:2], LIMITS[:2])
+    return table.select(*MONTH, "spikes_qty", "spikes_disc")
+
+
+# As many channels as an asset has, derived from the four: thirteen with a percentile (seven of them on absolute values), the
+# others with two deviations; twelve are watched for spikes.
+WIDE = [Limit(f"w{k}", "p95" if k < 13 else "sigma", k % 2 == 0) for k in range(29)]
+WIDE_SQL = ", ".join(f"qty * {k % 5 + 1} - price / 100 * (disc * {k % 7} + tax * {k % 3 + 1}) - {k * 3} AS w{k}" for k in range(29))
+
+
+def wide_value(x: Limit) -> str:
+    return f"abs({x.channel})" if x.absolute else x.channel
+
+
+WIDE_LIMITS_SQL = ", ".join(f"quantile_cont({wide_value(x)}, 0.95) AS {x.name}" if x.kind == "p95" else
+                            f"coalesce(avg({wide_value(x)}) + 2 * stddev_samp({wide_value(x)}), 0) AS {x.name}" for x in WIDE)
+WIDE_COUNTS_SQL = ", ".join(f"CAST(sum(CASE WHEN {wide_value(x)} > {x.name} + 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS spikes_{x.channel}" for x in WIDE[:12])
+
+
+@query("D3 D4 D5", f"""WITH {B.READINGS}, {MONTHS}, wide AS (SELECT mapped, year, month, {WIDE_SQL} FROM months),
+lim AS (SELECT mapped, year, month, {WIDE_LIMITS_SQL} FROM wide GROUP BY mapped, year, month),
+sp AS (SELECT mapped, year, month, {WIDE_COUNTS_SQL} FROM wide JOIN lim USING (mapped, year, month) GROUP BY mapped, year, month)
+SELECT mapped, year, month, {", ".join(f"{r(x.name, 2)} AS {x.name}" for x in WIDE)}, {", ".join(f"spikes_w{k}" for k in range(12))}
+FROM lim JOIN sp USING (mapped, year, month)""")
+def wide_limits_and_spikes(spark: SparkSession, sf: str) -> DataFrame:
+    channels = [(F.col("qty") * (k % 5 + 1) - F.col("price") / 100 * (F.col("disc") * (k % 7) + F.col("tax") * (k % 3 + 1)) - k * 3).alias(f"w{k}") for k in range(29)]
+    out = features.limits_and_spikes(months(spark, sf).select(*MONTH, *channels), MONTH, WIDE, WIDE[:12])
+    return out.withColumns({x.name: rnd(x.name, 2) for x in WIDE})
 
 
 @query("B19 B20", f"WITH {B.READINGS} SELECT ok, ln, pos, d, {r('disc - tax', 6)} AS disc_tax_diff, {r('qty * disc', 6)} AS qty_x_disc, {r('price * tax')} AS price_x_tax FROM readings")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.operators import quality
-from sensorloom.operators.ordered import Series
+from sensorloom.operators.ordered import EVEN, Series
 from sensorloom.plans import bindings as B
 from sensorloom.plans.registry import query
 
@@ -219,7 +219,7 @@ def _runs(c: str, part: str = "") -> str:
 
 @query("E7 M5", f"WITH {NULLED}, i AS ({_runs('value')} UNION ALL {_runs('props')}) SELECT col AS \"column\", max(len) AS max_run, count(*) AS runs, {r('avg(len)', 6)} AS avg_run, CASE WHEN max(len) > 100 THEN 'systematic' WHEN max(len) > 10 THEN 'clustered' ELSE 'scattered' END AS level FROM i GROUP BY col")
 def missing_runs(spark: SparkSession, sf: str) -> DataFrame:
-    out = quality.missing_runs(nulled(spark, sf), ["value", "props"], Series([], ["ts", "event_id"], F.to_date("ts")))
+    out = quality.missing_runs(nulled(spark, sf), ["value", "props"], Series([], ["ts", "event_id"], EVEN))
     return out.withColumn("avg_run", rnd("avg_run", 6))
 
 
