@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from sensorloom.functions.expressions import clip
 from sensorloom.operators.evaluate import ranking_metrics
-from sensorloom.operators.ordered import EVEN, Series, running, with_scalar
+from sensorloom.operators.ordered import EVEN, Series, running, salted_join, with_scalar
 from sensorloom.operators.quantiles import exact_quantiles
 from sensorloom.session import cut_lineage
 
@@ -142,46 +143,65 @@ def density_ratio_weight(train: DataFrame, test: DataFrame, cols: Sequence[str],
     return out, train.sparkSession.createDataFrame(tried, "gamma double, size int, domain_auc double")
 
 
-def nearest_distance(df: DataFrame, others: DataFrame, key: Sequence[str], cols: Sequence[str],
-                     levels: Sequence[int] = (-4, -2, 0, 2, 4), grid_dims: int = 3) -> DataFrame:
-    """Exact Euclidean distance to the nearest row of ``others``, per key.
+#: Points of a cell that is not split further, and halvings of an axis at most.
+LEAF, DEEPEST = 16, 20
 
-    First an upper bound: the distance to one representative of the cell a row shares with the
-    others, at several cell sizes. Then the others are looked up in the cells the ball of that
-    radius touches, at a cell size no smaller than the radius, so each axis gives at most three
-    cells. Copies among the others are merged first.
+
+def _cell(axes: dict[str, tuple[float, float]], at: Callable[[str], Column], level: int) -> Column:
+    """Number of the cell at a level, at which every axis is cut into 2**level equal parts of the points' range."""
+    def part(name: str, lo: float, hi: float) -> Column:
+        return F.least(F.lit((1 << level) - 1), F.greatest(F.lit(0), F.floor((at(name) - lo) / (hi - lo) * (1 << level))))
+
+    return sum((part(n, *ends) * (1 << DEEPEST * i) for i, (n, ends) in enumerate(axes.items())), F.lit(0).cast("long"))
+
+
+def nearest_candidates(df: DataFrame, others: DataFrame, key: Sequence[str], cols: Sequence[str], leaf: int = LEAF, grid_dims: int = 3) -> DataFrame | None:
+    """Pairs (``key``, ``__x``, ``__y``) of each row with the other points that may be nearest to it; None without other points.
+
+    The points' range is halved along its ``grid_dims`` longest axes, and again in every cell with more than ``leaf`` points. Rows
+    descend this tree together, one level a round: the least distance to a point of the cells in reach bounds the nearest, and
+    cells whose box lies beyond it are left out.
+    """
+    dims, points = list(cols), others.select(*cols).distinct()
+    span = points.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{s}{i}") for i, c in enumerate(dims) for s, f in (("lo", F.min), ("hi", F.max))]).first()
+    if not span["n"]:
+        return None
+    wide = sorted((c for i, c in enumerate(dims) if span[f"lo{i}"] is not None and span[f"hi{i}"] > span[f"lo{i}"]),
+                  key=lambda c: float(span[f"lo{dims.index(c)}"] - span[f"hi{dims.index(c)}"]))[:grid_dims]
+    axes = {c: (float(span[f"lo{dims.index(c)}"]), float(span[f"hi{dims.index(c)}"])) for c in wide}
+    gap = F.sqrt(sum((F.pow(F.col(f"__x.{c}") - F.col(f"rep.{c}"), 2.0) for c in dims), F.lit(0.0)))
+    beyond = F.sqrt(sum((F.pow(F.greatest(F.col(f"lo.{c}") - F.col(f"__x.{c}"), F.col(f"__x.{c}") - F.col(f"hi.{c}"), F.lit(0.0)), 2.0) for c in dims), F.lit(0.0)))
+    reach = df.select(*key, F.struct(*dims).alias("__x"), F.lit(0).cast("long").alias("cell"), F.lit(float("inf")).alias("bound"))
+    ready = []
+    for level in range(1, DEEPEST + 1):
+        cells = points.select(_cell(axes, F.col, level).alias("cell"), _cell(axes, F.col, level - 1).alias("parent"), F.struct(*dims).alias("p"), *dims).groupBy(
+            "cell", "parent").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("rep"), F.struct(*[F.min(c).alias(c) for c in dims]).alias("lo"),
+                                  F.struct(*[F.max(c).alias(c) for c in dims]).alias("hi"))
+        below = salted_join(reach.withColumnRenamed("cell", "parent"), cells, ["parent"], list(key)).where("n IS NOT NULL")
+        below = below.withColumn("bound", F.least("bound", F.min(gap).over(Window.partitionBy(*key)))).withColumn("beyond", beyond).where("beyond <= bound")
+        below = cut_lineage(below.select(*key, "__x", "cell", "n", "bound", "beyond"))
+        done = (F.col("n") <= leaf) | F.lit(level == DEEPEST or not axes)
+        ready.append((level, below.where(done).drop("n")))
+        reach = below.where(~done).select(*key, "__x", "cell", "bound")
+        if reach.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, [r.withColumn("level", F.lit(level)) for level, r in ready])
+    found = found.withColumn("bound", F.min("bound").over(Window.partitionBy(*key))).where("beyond <= bound")
+    pairs = [found.where(F.col("level") == level).join(points.select(_cell(axes, F.col, level).alias("cell"), F.struct(*dims).alias("__y")), "cell").select(
+        *key, "__x", "__y") for level, _ in ready]
+    return reduce(DataFrame.unionByName, pairs)
+
+
+def nearest_distance(df: DataFrame, others: DataFrame, key: Sequence[str], cols: Sequence[str], leaf: int = LEAF, grid_dims: int = 3) -> DataFrame:
+    """Exact Euclidean distance to the nearest row of ``others``, per key (which names a row); null if there is none.
+
+    Copies among the others are merged first.
     """
-    axes, dims = list(cols)[:grid_dims], list(cols)
-    points = others.select(*dims).distinct()
-    rows = df.select(*key, *dims)
-    vector = F.struct(*dims)
-
-    def cell(level: Column, name: str = "") -> list[Column]:
-        return [F.floor(F.col(a) / F.pow(F.lit(2.0), level)).alias(f"__c{name}{i}") for i, a in enumerate(axes)]
-
-    def gap(a: str, b: str) -> Column:
-        return F.sqrt(sum((F.pow(F.col(f"{a}.{c}") - F.col(f"{b}.{c}"), 2.0) for c in dims), F.lit(0.0)))
-
-    names = [f"__c{i}" for i in range(len(axes))]
-    coarse = points.select("*", F.explode(F.array(*[F.lit(k) for k in levels])).alias("__k")).groupBy(
-        "__k", *cell(F.col("__k"))).agg(F.min(vector).alias("__rep"))
-    any_point = points.agg(F.min(vector).alias("v")).scalar()
-    seen = rows.select(*key, vector.alias("__x"), *dims, F.explode(F.array(*[F.lit(k) for k in levels])).alias("__k"))
-    seen = seen.select(*key, "__x", "__k", *cell(F.col("__k"))).join(coarse, ["__k", *names], "left").withColumn(
-        "__rep", F.coalesce("__rep", any_point))
-    bound = seen.groupBy(*key, "__x").agg(F.min(gap("__x", "__rep")).alias("__u"))
-    # Even powers of two only, so that the others are copied to few cell sizes.
-    level = (F.ceil(F.log2("__u") / F.lit(2.0)) * 2).cast("int")
-    bound = bound.withColumn("__k", F.when(F.col("__u") > 0, F.greatest(level, F.lit(-60))))
-    used = bound.filter("__k IS NOT NULL").agg(F.collect_set("__k").alias("ks")).scalar()
-    fine = points.select(vector.alias("__y"), *dims, F.explode(used).alias("__k")).select("__y", "__k", *cell(F.col("__k")))
-    probe = bound.filter("__k IS NOT NULL")
-    for i, a in enumerate(axes):
-        side = F.pow(F.lit(2.0), F.col("__k"))
-        probe = probe.withColumn(f"__c{i}", F.explode(F.sequence(
-            F.floor((F.col(f"__x.{a}") - F.col("__u")) / side), F.floor((F.col(f"__x.{a}") + F.col("__u")) / side))))
-    near = probe.join(fine, ["__k", *names]).groupBy(*key).agg(F.min(gap("__x", "__y")).alias("__d"))
-    return bound.join(near, list(key), "left").select(*key, F.least(F.col("__u"), F.coalesce("__d", "__u")).alias("distance"))
+    pairs = nearest_candidates(df, others, key, cols, leaf, grid_dims)
+    if pairs is None:
+        return df.select(*key, F.lit(None).cast("double").alias("distance"))
+    gap = F.sqrt(sum((F.pow(F.col(f"__x.{c}") - F.col(f"__y.{c}"), 2.0) for c in cols), F.lit(0.0)))
+    return pairs.groupBy(*key).agg(F.min(gap).alias("distance"))
 
 
 def proximity_weight(df: DataFrame, others: DataFrame, key: Sequence[str], cols: Sequence[str], scale: float = 1.0, **grid) -> DataFrame:
