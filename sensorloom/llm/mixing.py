@@ -2,8 +2,9 @@
 
 Targets are shares of a total, capped at a multiple of the source's own size. Each source is dealt by a seeded hash into
 shards of bounded size, so a source that holds a third of all rows is no single group. A shard's documents, in seeded order,
-form a line; the line twice over is cut into equal blocks. The method of highest quotients gives each shard its number of
-blocks, and a seeded order chooses them, those of the first pass over the line before those of the second. Where whole
+form a line; the line twice over is cut into equal blocks, of which the last may be short. A source whose target is its cap
+takes all of them. To the others the method of highest quotients gives each shard its number of blocks, and a seeded order
+chooses them, those of the first pass over the line before those of the second. Where whole
 documents are wanted, the parts of documents that blocks take are given to whole copies by systematic sampling.
 """
 
@@ -16,6 +17,8 @@ from sensorloom.llm.common import bucket_of, keep, table, text_of
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS, SHARE, CAP, BLOCK, SHARD_WORDS, SEED = (3, 1, 2), 1.5, 2, 64, 1 << 18, 7
+#: A block is at most this part of the least target below a cap, so that a small target is met by many blocks too.
+PARTS = 64
 UNIT = 1 << 30
 
 
@@ -71,10 +74,16 @@ def quotas(cells: DataFrame, keys: list[str], seats: int, rounds: int = 8, fan:
 
 def taken_words(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, shard_words: int = SHARD_WORDS,
                 seed: int = SEED, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """The rows of ``mixed_words`` with their place: ``source_no, shard, order, start``."""
+    """The rows of ``mixed_words`` with their place: ``source_no, shard, order, start``.
+
+    A block has ``block`` words, or fewer where a target below a cap would hold fewer than ``PARTS`` of them.
+    """
     rows = keep(docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"),
                             F.regexp_count(text_of(text_column), F.lit(WORD)).cast("long").alias("size")), "mix-sizes")
     targets = keep(source_targets(rows, weights, share, cap), "mix-targets")
+    whole = F.col("target") >= cap * F.col("source_size")
+    least = targets.where(~whole & (F.col("target") > 0)).agg(F.min("target")).first()[0]
+    block = block if least is None else max(1, min(block, int(least // PARTS)))
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))
     # A table with one row per source; Spark broadcasts it while it is small and splits a hot source otherwise.
     rows = rows.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -84,9 +93,9 @@ def taken_words(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int
     rows = keep(rows.withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0))), "mix-lines")
     cells = rows.groupBy(*cell, "source_size", "target").agg(F.sum("size").alias("words")).where("words > 0")
     cells = keep(cells.select(*cell, "words", (F.col("target") * F.col("words") / F.col("source_size")).alias("target"),
-                              F.floor(cap * F.col("words") / block).alias("room")), "mix-cells")
-    seats = round((targets.agg(F.sum("target")).first()[0] or 0) / block)
-    cells = quotas(cells, cell, seats)
+                              F.ceil(cap * F.col("words") / block).alias("room"), whole.alias("whole")), "mix-cells")
+    seats = round((targets.where(~whole).agg(F.sum("target")).first()[0] or 0) / block)
+    cells = quotas(cells.where("NOT whole"), cell, seats).unionByName(cells.where("whole").withColumn("quota", F.col("room")))
     blocks = cells.where("room > 0").select(*cell, "words", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.col("room") - 1)).alias("block"))
     seeded = Window.partitionBy(*cell).orderBy(F.floor(F.col("block") * block / F.col("words")), F.xxhash64(F.lit(seed), *cell, "block"), "block")
     chosen = blocks.withColumn("rank", F.row_number().over(seeded)).where("rank <= quota").select(*cell, "block")

@@ -68,6 +68,29 @@ def test_mix(spark):
     assert [r.taken for r in mixed_words(documents(spark, rows[-8:-6])).collect()] == [0, 0]  # no words at all
 
 
+@pytest.mark.parametrize("counts", [
+    {f"s{i:02d}": 31 for i in range(30)} | {"large": 40_000},
+    {"one": 1, "s31": 31, "s33": 33, "s50": 50, "s64": 64, "s65": 65, "big": 20_000, "more": 30_000},
+    {"a": 7, "b": 5, "c": 20},  # a table smaller than a block
+    {"a": 40, "b": 3, "c": 90, "d": 500}])
+def test_small_sources_take_their_targets(spark, counts):
+    rows, n = [], 0
+    for source, words in counts.items():
+        while words:
+            k = min(words, 1 + n % 700)
+            rows.append(row(n, " ".join(["w"] * k), source))
+            words, n = words - k, n + 1
+    want, taken = targets(counts), defaultdict(int)
+    for r in mixed_words(documents(spark, rows)).collect():
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+    for s, size in counts.items():
+        if want[s] == 2 * size:
+            assert taken[s] == 2 * size, s
+        else:
+            assert abs(taken[s] - want[s]) <= max(2, want[s] / 32), s
+
+
 def test_applied_mix_keeps_columns(spark):
     rows = [r for r in mixed_rows() if r[0] != 7]
     df = documents(spark, rows)
