@@ -139,6 +139,7 @@ def apply_pools(df: DataFrame, pools: DataFrame, base: str, score: str, name: st
 
     Distinct scores and pool ends are merged into one order and the neighbours carried over.
     """
+    pools = cut_lineage(pools)  # read several times below
     asks = df.select(base, F.col(score).cast("double").alias("x")).filter("x IS NOT NULL").distinct()
     knots = pools.select(base, F.inline(F.array(F.struct(F.col("lo").alias("x"), F.col("value").alias("v")), F.struct(F.col("hi").alias("x"), F.col("value").alias("v"))))).distinct()
     merged = asks.select(base, "x", F.lit(None).cast("double").alias("v"), F.lit(True).alias("ask")).unionByName(knots.withColumn("ask", F.lit(False)))
