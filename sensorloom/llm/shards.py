@@ -20,22 +20,23 @@ def shuffled_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buc
                     id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``shard, slot, record``: every input row once, as a struct of all its columns.
 
-    Shard sizes differ by at most one row; slots run from 0 without gaps. Equal texts are independent rows. Rows with a null
-    identifier scatter by their text, a null text is kept as null. The order depends on the rows, the seed and the bucket
-    count. An empty table gives no rows.
+    Shard sizes differ by at most one row; slots run from 0 without gaps. Equal texts are independent rows. Rows scatter by
+    identifier and text together, so a repeated or null identifier spreads over the buckets (rows equal in both share one). A
+    null text is kept as null. The order depends on the rows, the seed and the bucket count, not on the joins that Spark picks.
+    An empty table gives no rows.
     """
     size = F.octet_length(text_of(text_column)) + 8
     total = docs.agg(F.sum(size.cast("long")).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     rows, buckets = total["rows"], max(1, -(-(total["bytes"] or 0) // bucket_bytes))
-    ident = F.col(id_column)
-    other = F.when(ident.isNull(), F.xxhash64(text_of(text_column))).otherwise(F.lit(0))
-    bucket = bucket_of(buckets, F.lit(seed), ident, other)
+    ident, text_hash = F.col(id_column), F.xxhash64(text_of(text_column))
+    bucket = bucket_of(buckets, F.lit(seed), ident, text_hash)
     starts = start_offsets(docs.groupBy(bucket.alias("__bucket")).count(), [], "__bucket", "count").select("__bucket", "start")
     # The order before the shuffle must not depend on arrival: sorted by identifier and text hash.
     scattered = docs.select(F.struct("*").alias("record"), bucket.alias("__bucket"), ident.alias("__id"),
-                            F.xxhash64(text_of(text_column)).alias("__text")).repartition(buckets, "__bucket")
+                            text_hash.alias("__text")).repartition(buckets, "__bucket")
     grouped = scattered.sortWithinPartitions("__bucket", "__id", "__text").groupBy("__bucket").agg(F.collect_list("record").alias("records"))
-    mixed = grouped.join(starts, "__bucket").select("start", F.shuffle("records", seed).alias("records"))
+    # The generator runs on from bucket to bucket of a partition, so the shuffle stands in the exchange's own stage, before the join.
+    mixed = grouped.select("__bucket", F.shuffle("records", seed).alias("records")).join(starts, "__bucket").select("start", "records")
     placed = mixed.select("start", F.posexplode("records").alias("at", "record")).select(
         (F.col("start") + F.col("at")).alias("place"), "record")
     cut = placed.select(F.expr(f"cast(place * {shards} div {max(1, rows)} as int)").alias("shard"), "place", "record")

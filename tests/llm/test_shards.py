@@ -1,8 +1,9 @@
+import zlib
 from collections import Counter
 
-from llm_cases import documents, mixed_rows
+from llm_cases import documents, mixed_rows, row
 
-from sensorloom.llm.shards import shuffled_shards, write_shards
+from sensorloom.llm.shards import op5_two_pass_shards, shuffled_shards, write_shards
 
 
 def test_equal_shards_of_whole_records(spark, tmp_path):
@@ -35,3 +36,28 @@ def test_small_tables(spark):
     assert sorted(r.slot for r in shuffled_shards(df).collect()) == [0, 0]
     nulls = df.selectExpr("cast(null as long) doc_id", "cast(null as string) text")
     assert shuffled_shards(nulls, 2).select("record.text").collect() == [(None,), (None,)]
+
+
+def test_order_is_that_of_any_join(spark):
+    df = documents(spark, mixed_rows())
+    orders = []
+    for most in ("-1", "10MB"):
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            orders.append(shuffled_shards(df, 7, bucket_bytes=5_000).select("shard", "slot", "record.doc_id", "record.text").orderBy("shard", "slot").collect())
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert orders[0] == orders[1]
+
+
+def test_query_columns_against_brute_force(spark, tmp_path):
+    rows = [*mixed_rows(), row(None, "a"), row(None, None), row(5, "another text of the fifth")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op5_two_pass_shards(spark, str(tmp_path)).collect()
+    want = Counter((r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+    per = {s: sorted(r.slot for r in got if r.shard == s) for s in range(24)}
+    assert all(slots == list(range(len(slots))) for slots in per.values()) and sum(map(len, per.values())) == len(rows)
+    assert max(map(len, per.values())) - min(map(len, per.values())) <= 1
