@@ -10,6 +10,7 @@ the same members as one of an earlier band are left out. Classes are the connect
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from math import ceil, log
 
 import numpy as np
@@ -22,6 +23,8 @@ from sensorloom.llm.common import bucket_of, keep, table, text_of, words
 NGRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 96
 #: Texts and n-grams of a block.
 BLOCK, BLOCK_GRAMS = 1024, 1 << 20
+#: Words hashed at once, bytes of text signed at once, and the bytes from which a word stands for itself by its digest.
+PIECE_WORDS, BATCH_BYTES, LONG_WORD = 1 << 18, 4 << 20, 1024
 _U = np.uint64
 
 
@@ -44,12 +47,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def ngram_hashes(texts: list[str], n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 64-bit n-gram hashes of each text, sorted per text, and the offsets at which texts begin (one more at the end).
-
-    A text of fewer than ``n`` words has one n-gram, all its words; a text without words has none.
-    """
-    tokens = [words(t) for t in texts]
+def span_hashes(tokens: list[list[bytes]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each n-gram of each word list, and the list it stands in; a list of fewer than ``n`` words is one n-gram."""
     counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
     data = np.frombuffer(b"".join(b" ".join(t) + b" " for t in tokens), np.uint8)
     ends = np.flatnonzero(data == 32)  # the space after each word; a text without words leaves a lone space
@@ -67,13 +66,61 @@ def ngram_hashes(texts: list[str], n: int = NGRAM) -> tuple[np.ndarray, np.ndarr
     at = np.arange(grams.sum()) - np.repeat(np.cumsum(grams) - grams, grams) + np.repeat(first_word, grams)
     last = at + np.repeat(np.minimum(counts, n), grams) - 1
     start, end = word_start[at], word_end[last]
-    hashes = mix((summed[end] - summed[start]) * unpower[start] + (end - start).astype(_U))
+    return mix((summed[end] - summed[start]) * unpower[start] + (end - start).astype(_U)), doc
+
+
+def ngram_hashes(texts: list[str], n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 64-bit n-gram hashes of each text, sorted per text, and the offsets at which texts begin (one more at the end).
+
+    A text of fewer than ``n`` words has one n-gram, all its words; a text without words has none. A long text is hashed in
+    pieces that overlap by ``n`` - 1 words, so what is held at once is bounded by the piece.
+    """
+    made: list[np.ndarray] = [np.zeros(0, _U)]
+    owners: list[np.ndarray] = [np.zeros(0, np.int64)]
+    runs: list[list[bytes]] = []
+    owner: list[int] = []
+    held = 0
+
+    def flush() -> None:
+        nonlocal held
+        if runs:
+            hashes, run = span_hashes(runs, n)
+            made.append(hashes)
+            owners.append(np.array(owner, np.int64)[run])
+        runs.clear()
+        owner.clear()
+        held = 0
+
+    for d, text in enumerate(texts):
+        found = words(text)
+        if len(text) > LONG_WORD // 4 and max(map(len, found), default=0) > LONG_WORD:
+            found = [w if len(w) <= LONG_WORD else b"\x01" + blake2b(w).hexdigest().encode() for w in found]
+        for at in range(0, max(1, len(found) - n + 1), PIECE_WORDS):
+            runs.append(found[at:at + PIECE_WORDS + n - 1])
+            owner.append(d)
+            held += len(runs[-1])
+            if held >= PIECE_WORDS:
+                flush()
+    flush()
+    hashes, doc = np.concatenate(made), np.concatenate(owners)
     order = np.lexsort((hashes, doc))
     doc, hashes = doc[order], hashes[order]
     fresh = np.ones(len(doc), bool)
     fresh[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
     doc, hashes = doc[fresh], hashes[fresh]
-    return hashes, np.searchsorted(doc, np.arange(len(tokens) + 1))
+    return hashes, np.searchsorted(doc, np.arange(len(texts) + 1))
+
+
+def batches_by_bytes(texts: list[str], most: int = 512) -> Iterator[slice]:
+    """Slices of at most ``most`` texts and of bounded bytes (a longer text has one of its own)."""
+    begin, held = 0, 0
+    for i, text in enumerate(texts):
+        if i > begin and (i - begin == most or held + len(text) > BATCH_BYTES):
+            yield slice(begin, i)
+            begin, held = i, 0
+        held += len(text)
+    if begin < len(texts):
+        yield slice(begin, len(texts))
 
 
 def band_hashes(hashes: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -90,11 +137,12 @@ def band_hashes(hashes: np.ndarray, offsets: np.ndarray, bands: int, rows: int)
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, set_key, grams, bands`` per row of ``doc_id, text``; set_key names the n-gram set, null for a text without words."""
+    """``doc_id, text_key, set_key, grams, bands`` per row of ``doc_id, text, text_key``; set_key names the n-gram set, null for a
+    text without words."""
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at:at + 512]
+            for at in batches_by_bytes(batch["text"].tolist()):
+                part = batch.iloc[at]
                 hashes, offsets = ngram_hashes(part["text"].tolist(), n)
                 full = np.flatnonzero(np.diff(offsets) > 0)
                 keys: list[bytes | None] = [None] * len(part)
@@ -107,10 +155,10 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     bits = band_hashes(hashes, begins, bands, rows).view(np.int64)
                     for i, d in enumerate(full):
                         keys[d], made[d] = name[i].tobytes(), bits[i]
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "set_key": keys, "grams": np.diff(offsets), "bands": made})
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "text_key": part["text_key"].array, "set_key": keys, "grams": np.diff(offsets), "bands": made})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(sign, f"doc_id {kind}, set_key binary, grams long, bands array<long>")
+    return docs.mapInPandas(sign, f"doc_id {kind}, text_key long, set_key binary, grams long, bands array<long>")
 
 
 def verify(group: pd.DataFrame, left: np.ndarray, right: np.ndarray, band: int, threshold: float, n: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -178,66 +226,82 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "root")
 
 
-def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK,
-                    id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, class_id, n_links, n_partner_texts, n_copies``.
-
-    Two texts link when the Jaccard similarity of their word n-gram sets is at least ``threshold``. ``class_id`` is the smallest
-    identifier of the connected component (rows that repeat an identifier should repeat its text), ``n_links`` the number of other rows that link to the row, ``n_copies`` that of rows
-    with the same n-gram set, itself included, ``n_partner_texts`` that of different linked sets. Texts without words (null,
-    empty) link to nothing. Rows with a null identifier link to nothing. An empty table gives no rows; other columns are not read.
-    """
+def document_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK,
+                     id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``near_duplicates`` with ``text_key``, a hash that tells the texts of a repeated identifier apart."""
     bands, rows = choose_bands(threshold, recall)
-    docs = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
+    docs = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"), F.xxhash64(text_of(text_column)).alias("text_key"))
     signed = keep(signatures(docs, n, bands, rows), "near-signed")
     named = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    reps = keep(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("grams").alias("grams")), "near-reps")
-    met = reps.select("rep", "grams", F.posexplode("bands").alias("band", "hash"))
+    reps = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("grams").alias("grams"))
+    reps = keep(reps.select("set_key", F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("rep_text"), "copies", "bands", "grams"), "near-reps")
+    met = reps.select("set_key", "grams", F.posexplode("bands").alias("band", "hash"))
     buckets = met.groupBy("band", "hash").agg(
-        F.count(F.lit(1)).alias("m"), F.sum("grams").alias("grams"), F.bit_xor(F.xxhash64("rep")).alias("h1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("h2"))
+        F.count(F.lit(1)).alias("m"), F.sum("grams").alias("grams"), F.bit_xor(F.xxhash64("set_key")).alias("h1"), F.bit_xor(F.xxhash64("set_key", F.lit(1))).alias("h2"))
     # Of buckets with the same members, the one of the earliest band.
     buckets = buckets.where("m > 1").groupBy("m", "grams", "h1", "h2").agg(F.min(F.struct("band", "hash")).alias("first")).select("first.band", "first.hash", "m", "grams")
     buckets = keep(buckets, "near-buckets")
     members = met.drop("grams").join(buckets, ["band", "hash"])
     blocks = F.greatest(F.ceil(F.col("m") / block), F.least("m", F.ceil(F.col("grams") / BLOCK_GRAMS)))
-    members = keep(members.select("rep", "band", "hash", blocks.alias("blocks"), bucket_of(blocks, F.col("rep")).alias("own")), "near-members")
-    wanted = members.select("rep").distinct()
-    texts = docs.join(reps.select("rep", "copies", "bands").join(wanted, "rep"), docs.doc_id == F.col("rep"))
-    texts = texts.select("rep", "text", "copies", "bands").dropDuplicates(["rep"])  # repeated rows
+    members = keep(members.select("set_key", "band", "hash", blocks.alias("blocks"), bucket_of(blocks, F.col("set_key")).alias("own")), "near-members")
+    wanted = reps.join(members.select("set_key").distinct(), "set_key").select("set_key", "rep", "rep_text", "copies", "bands")
+    texts = docs.join(wanted, (docs["doc_id"] == wanted["rep"]) & (docs["text_key"] == wanted["rep_text"]))
+    texts = texts.select("set_key", "text", "copies", "bands").dropDuplicates(["set_key"])  # repeated rows
     meets = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    meets = meets.select("rep", "band", "hash", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    meets = meets.select("set_key", "band", "hash", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
 
     def check(key, group: pd.DataFrame) -> pd.DataFrame:
         band, _, x, y = key
-        group = group.sort_values("rep", kind="stable").reset_index(drop=True)
+        group = group.sort_values("set_key", kind="stable").reset_index(drop=True)
         own = group["own"].to_numpy()
         left = np.flatnonzero(own == x)
         right = np.flatnonzero(own == y)
         partners, weight, edges = verify(group, left, right, int(band), threshold, n)
-        ids = group["rep"].to_numpy(np.int64)
+        ids = group["set_key"].tolist()
         some = np.flatnonzero(partners)
         return pd.DataFrame({
-            "a": np.concatenate([ids[some], ids[[e[0] for e in edges]] if edges else np.zeros(0, np.int64)]).astype(np.int64),
-            "b": pd.array([*[None] * len(some), *[int(ids[e[1]]) for e in edges]], dtype="Int64"),
+            "a": [ids[i] for i in some] + [ids[i] for i, _ in edges],
+            "b": [None] * len(some) + [ids[j] for _, j in edges],
             "partners": np.concatenate([partners[some], np.zeros(len(edges), np.int64)]),
             "links": np.concatenate([weight[some], np.zeros(len(edges), np.int64)])})
 
-    found = meets.join(texts, "rep").groupBy("band", "hash", "x", "y").applyInPandas(check, "a long, b long, partners long, links long")
+    found = meets.join(texts, "set_key").groupBy("band", "hash", "x", "y").applyInPandas(check, "a binary, b binary, partners long, links long")
     found = keep(found, "near-found")
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
-    linked = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("partners").alias("partners"), F.sum("links").alias("links"))
-    classes = reps.select("set_key", "rep", "copies").join(linked, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = keep(classes.select("set_key", F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"),
+    # The smallest identifier of each component, met from a written table so that a hot component's rows can be split.
+    named_roots = keep(roots.join(reps.select(F.col("set_key").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("class_id")), "near-roots")
+    roots = roots.join(named_roots, "root").select(F.col("node").alias("set_key"), "class_id")
+    linked = found.where("b IS NULL").groupBy(F.col("a").alias("set_key")).agg(F.sum("partners").alias("partners"), F.sum("links").alias("links"))
+    classes = reps.select("set_key", "rep", "copies").join(linked, "set_key", "left").join(roots, "set_key", "left")
+    classes = keep(classes.select("set_key", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"),
                                   F.coalesce("partners", F.lit(0)).alias("partners"), "copies"), "near-classes")
     out = signed.drop("bands").join(classes, "set_key", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"),
+    return out.select("doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"),
                       F.coalesce("partners", F.lit(0)).alias("n_partner_texts"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
 
 
-def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
-    """One row of each class of near duplicates, that with the smallest identifier, with all its columns."""
-    others = near_duplicates(docs, **settings).where("doc_id <> class_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(others, docs["doc_id"] == others["__dropped"], "left_anti")
+def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """One row per input row: ``doc_id, class_id, n_links, n_partner_texts, n_copies``.
+
+    Two texts link when the Jaccard similarity of their word n-gram sets is at least ``threshold``. ``class_id`` is the smallest
+    identifier of the connected component (the texts of a repeated identifier are looked at each by
+    itself), ``n_links`` the number of other rows that link to the row, ``n_copies`` that of rows with the same n-gram set, itself
+    included, ``n_partner_texts`` that of different linked sets. Texts without words (null,
+    empty) link to nothing. Rows with a null identifier link to nothing. An empty table gives no rows; other columns are not read.
+    """
+    return document_classes(docs, **settings).drop("text_key")
+
+
+def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
+    """One row of each class of near duplicates, that with the smallest identifier, with all its columns.
+
+    Rows with a null identifier and texts without words stay. Rows equal in identifier and text stay or go together. An empty
+    table stays empty.
+    """
+    classes = document_classes(docs, id_column=id_column, text_column=text_column, **settings)
+    others = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__dropped"), F.col("text_key").alias("__text")).distinct()
+    same = (docs[id_column] == others["__dropped"]) & (F.xxhash64(F.coalesce(docs[text_column], F.lit(""))) == others["__text"])
+    return docs.join(others, same, "left_anti")
 
 
 def op9_ngram_jaccard_join(spark, sf_dir):

@@ -82,3 +82,35 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 140)}
+
+
+def test_identifier_with_two_texts_keeps_both_links(spark):
+    rng = random.Random(4)
+    a, b = ([f"{c}{rng.randrange(900)}" for _ in range(80)] for c in "pq")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [row(1, " ".join(a)), row(1, " ".join(b)), row(2, near(a)), row(3, near(b)), row(4, "alone " * 3), row(4, near(b) + " too")]
+    for parts in (1, 7):
+        got = Counter((r.doc_id, r.class_id, r.n_links) for r in near_duplicates(documents(spark, rows).repartition(parts)).collect())
+        assert got == Counter([(1, 1, 1), (1, 1, 2), (2, 1, 1), (3, 1, 2), (4, 4, 0), (4, 1, 2)])
+        kept = drop_near_duplicates(documents(spark, rows).repartition(parts)).select("doc_id", "text").collect()
+        assert Counter(map(tuple, kept)) == Counter([(1, " ".join(a)), (1, " ".join(b)), (4, "alone " * 3)])
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(f"k{rng.randrange(40)}" for _ in range(k)) for k in (0, 3, 5, 64, 65, 68, 300, 1000)]
+    texts += ["z" * 5000 + " " + texts[4], texts[4] + " " + "z" * 5001, "z" * 3000]
+    whole = near_dup.ngram_hashes(texts)
+    monkeypatch.setattr(near_dup, "PIECE_WORDS", 64)
+    pieces = near_dup.ngram_hashes(texts)
+    assert (whole[0] == pieces[0]).all() and (whole[1] == pieces[1]).all()
+    assert [b - a for a, b in zip(whole[1], whole[1][1:])] == [len(gram_set(t)) for t in texts]
+    monkeypatch.setattr(near_dup, "BATCH_BYTES", 2000)
+    cuts = list(near_dup.batches_by_bytes(texts, 3))
+    assert [i for c in cuts for i in range(len(texts))[c]] == list(range(len(texts))) and len(cuts) > 4
+
+
+def test_text_of_fifty_megabytes(spark):
+    long = " ".join(f"m{i}" for i in range(6_000_000))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates(documents(spark, [row(1, long), row(2, long + " end"), row(3, "m1 m2")])).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
