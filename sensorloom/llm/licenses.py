@@ -1,15 +1,16 @@
 """Scan for license notices by an exact set-similarity join of text blocks with templates.
 
-A block is a window of words, as their set: every run of twice as many consecutive words as the longest template has, line
-breaks or not, so a notice lies in one wherever it stands and however it wraps. Blocks may also be the lines of a text. A block
-matches a template when it holds at least a share ``threshold`` of the template's words. Words are ordered by the number of blocks that hold them, over all documents, rarest first. A match
-then shares one of the template's first words in that order (prefix filter), has enough words (length filter), and after each
-prefix word not found the rest must still suffice (positional filter). Blocks that pass are compared in full.
+A block is a window of words, as their set: every run of twice as many consecutive words as the template has, line breaks or
+not, so a notice lies in one wherever it stands and however it wraps. Blocks may also be the lines of a text. A block matches a
+template when it holds at least a share ``threshold`` of the template's words. Words are ordered by the number of blocks that
+hold them, over all documents, rarest first. A match then shares one of the template's first words in that order (prefix
+filter), has enough words (length filter), and from the rarest of its words on enough ranks and places must remain (positional
+filter). Blocks that pass are compared in full.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,20 +44,38 @@ class Template:
     label: str
     words: tuple[bytes, ...]  # rarest first
     need: int  # shared words of a match
+    width: int  # words of a window
 
     @property
     def prefix(self) -> tuple[bytes, ...]:
         return self.words[: len(self.words) - self.need + 1]
 
 
-def block_counts(docs: DataFrame, vocabulary: set[bytes], text_column: str = "text") -> dict[bytes, int]:
-    """Number of blocks, over all documents, that hold each word of a vocabulary (that of the templates, so a bounded result)."""
+def windows_holding(tokens: list[bytes], vocabulary: set[bytes], width: int) -> dict[bytes, int]:
+    """Number of places from which a window of ``width`` words holds each word of the vocabulary."""
+    last: dict[bytes, int] = {}
+    held: dict[bytes, int] = {}
+    for at, w in enumerate(tokens):
+        if w in vocabulary:
+            held[w] = held.get(w, 0) + min(width, at - last.get(w, -1))
+            last[w] = at
+    return held
+
+
+def block_counts(docs: DataFrame, vocabulary: set[bytes], width: int | None = None, text_column: str = "text") -> dict[bytes, int]:
+    """Number of blocks, over all documents, that hold each word of a vocabulary (that of the templates, so a bounded result).
+
+    Blocks are the windows of ``width`` words, or the lines of a text where it is None.
+    """
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen: Counter[bytes] = Counter()
             for text in batch["text"]:
-                for line in (text or "").split("\n"):
-                    seen.update(vocabulary.intersection(words(line)))
+                if width is None:
+                    for line in (text or "").split("\n"):
+                        seen.update(vocabulary.intersection(words(line)))
+                else:
+                    seen.update(windows_holding(words(text or ""), vocabulary, width))
             if seen:
                 yield pd.DataFrame({"word": [w.decode() for w in seen], "blocks": list(seen.values())})
 
@@ -69,7 +88,7 @@ def build_templates(templates: dict[str, str], counts: dict[bytes, int], thresho
     for notice, label in templates.items():
         own = sorted(set(words(notice)), key=lambda w: (counts.get(w, 0), w))
         if own:
-            out.append(Template(label, tuple(own), max(1, ceil(threshold * len(own) - 1e-9))))
+            out.append(Template(label, tuple(own), max(1, ceil(threshold * len(own) - 1e-9)), 2 * len(words(notice))))
     return out
 
 
@@ -88,20 +107,24 @@ def match_block(block: set[bytes], templates: list[Template], by_prefix: dict[by
             yield t.label, (len(t.words) - missed) / len(t.words)
 
 
-def match_windows(tokens: list[bytes], width: int, templates: list[Template], by_prefix: dict[bytes, list[int]]) -> list[tuple[int, str, float]]:
-    """(first word, label, containment) of each template's matches in windows of ``width`` consecutive words.
+def match_windows(tokens: list[bytes], templates: list[Template], by_prefix: dict[bytes, list[int]]) -> list[tuple[int, str, float]]:
+    """(first word, label, containment) of each template's matches in windows of its width of consecutive words.
 
     From the left, each match takes the fewest words that suffice and the template's missing words right after them, and the next
-    begins behind it. Its containment is that of the window from its first word on. A window that matches holds a prefix word, so
-    only words less than a width from one are looked at.
+    begins behind it. Its containment is that of the window from its first word on. A window that matches holds a prefix word as
+    its rarest; only words less than a width from one that passes the positional filter are looked at.
     """
-    places: dict[int, list[int]] = {}
-    for at, w in enumerate(tokens):
-        for k in by_prefix.get(w, ()):
-            places.setdefault(k, []).append(at)
+    anchored = {k for w in set(tokens).intersection(by_prefix) for k in by_prefix[w]}
     out = []
-    for k, anchors in places.items():
+    for k in anchored:
         t = templates[k]
+        width, rank = t.width, {w: i for i, w in enumerate(t.words)}
+        held = [(at, rank[w]) for at, w in enumerate(tokens) if w in rank]
+        at_most = [at for at, _ in held]
+        # Positional filter: with a prefix word as the rarest of a match, the ranks from it on and the template's words less
+        # than a width from it must suffice.
+        anchors = [at for at, i in held if i <= len(t.words) - t.need and min(
+            len(t.words) - i, bisect_left(at_most, at + width) - bisect_right(at_most, at - width)) >= t.need]
         own, first = set(t.words), 0
         while first < len(anchors):
             last = first
@@ -137,9 +160,11 @@ def phrase_places(tokens: list[bytes], phrases: dict[bytes, str]) -> list[tuple[
     line = b" " + b" ".join(tokens) + b" "
     out = []
     for phrase, label in phrases.items():
+        seen, place = 0, 0  # the spaces before ``seen``
         at = line.find(b" " + phrase + b" ")
         while at >= 0:
-            out.append((line.count(b" ", 0, at), label))
+            place, seen = place + line.count(b" ", seen, at), at
+            out.append((place, label))
             at = line.find(b" " + phrase + b" ", at + 1)
     return out
 
@@ -154,12 +179,12 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
     """
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
     vocabulary = {w for notice in templates for w in words(notice)}
-    built = build_templates(templates, block_counts(docs, vocabulary, text_column), threshold)
+    width = 2 * max((len(words(notice)) for notice in templates), default=0)
+    built = build_templates(templates, block_counts(docs, vocabulary, width if windows else None, text_column), threshold)
     by_prefix: dict[bytes, list[int]] = {}
     for k, t in enumerate(built):
         for w in t.prefix:
             by_prefix.setdefault(w, []).append(k)
-    width = 2 * max((len(words(notice)) for notice in templates), default=0)
     keyed = {b" ".join(words(p)): label for p, label in phrases.items()}
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,7 +198,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
                     blocks = []
                 elif windows:
                     ends = list(accumulate(map(len, lines)))
-                    blocks = [(bisect_right(ends, at), label, share) for at, label, share in match_windows(tokens, width, built, by_prefix)]
+                    blocks = [(bisect_right(ends, at), label, share) for at, label, share in match_windows(tokens, built, by_prefix)]
                 else:
                     blocks = [(i, label, share) for i, line in enumerate(lines) for label, share in sorted(match_block(set(line), built, by_prefix))]
                 base = {label for _, label in places}

@@ -3,7 +3,7 @@ import re
 
 from llm_cases import documents, mixed_rows, row
 
-from sensorloom.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, op8_license_scan, scan_licenses
+from sensorloom.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, op8_license_scan, phrase_places, scan_licenses, windows_holding
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -73,12 +73,11 @@ def test_windows_against_brute_force(spark):
                     notice.insert(rng.randrange(len(notice)), rng.choice(pool + ["foo"] * 60))
             parts += notice + ["foo"] * rng.randrange(50)
         rows.append(row(i, "".join(w + rng.choice(["\n", " ", ", "]) for w in parts)))
-    width = 2 * max(len(words(n)) for n in TEMPLATES)
     found = 0
     for r in scan_licenses(documents(spark, rows), phrases={}, windows=True).collect():
         tokens, want, score = words(rows[r.doc_id][1]), set(), 0.0
         for notice, label in TEMPLATES.items():
-            t = set(words(notice))
+            t, width = set(words(notice)), 2 * len(words(notice))
             share = max(len(t & set(tokens[k:k + width])) for k in range(len(tokens))) / len(t)
             if share * len(t) >= THRESHOLD * len(t) - 1e-9:
                 want.add(label)
@@ -86,3 +85,29 @@ def test_windows_against_brute_force(spark):
         assert r.labels == ",".join(sorted(want)) and {b.label for b in r.blocks} == want and r.score <= score + 1e-9
         found += len(want)
     assert found > 100
+
+
+def test_prose_of_a_templates_words(spark, tmp_path):
+    rows = [row(0, "The album was released in May under a new label. The band toured with MIT students, and no license was needed"),
+            row(1, "Under the sea a team from MIT released a license plate, the very one from 1998"),
+            row(2, "Licensed staff met under oath; the Apache tribe, a version of the tale in 2 parts with 0 endings and no license"),
+            row(3, "The tool is released under the MIT License.")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    # The second holds all words of a notice within its ten: the join is of sets, so order cannot tell it from a notice.
+    assert {r.doc_id: r.labels for r in op8_license_scan(spark, str(tmp_path)).collect()} == {0: "", 1: "mit", 2: "", 3: "mit"}
+
+
+def test_windows_holding():
+    rng = random.Random(3)
+    tokens = [rng.choice([b"a", b"b", b"c", b"x"]) for _ in range(200)]
+    for width in (1, 3, 10):
+        # A window may begin before the text: it ends at one of the text's words or up to a width behind.
+        want = {w: sum(w in tokens[max(0, at):at + width] for at in range(0, len(tokens))) for w in (b"a", b"b")}
+        got = windows_holding(tokens, {b"a", b"b"}, width)
+        assert got == want
+
+
+def test_fifty_megabytes_of_phrases():
+    tokens = b"under the mit license foo".split() * 2_000_000
+    places = phrase_places(tokens, {b"under the mit license": "mit"})
+    assert len(places) == 2_000_000 and places[-1] == (len(tokens) - 5, "mit")
