@@ -6,13 +6,15 @@ probabilities, half and half; below the deepest nodes there is only the estimate
 mixture's posterior weights along a context's path give the probability of the next bit, and eight of them that of a byte.
 
 Texts lie in hash chunks. A chunk names its distinct contexts with next byte, and its distinct words, with their counts in its
-training texts; counts are summed over all chunks, trees are weighted per context of two bytes, and every chunk gets back the
-values of what it named. So neither texts nor the model are gathered anywhere, and the model grows with the corpus.
+training texts; counts are summed over all chunks, trees are weighted per context of two bytes (one sort of its grams per depth
+serves all eight decisions), and every chunk gets back the values of what it named. So neither texts nor the model are gathered anywhere, and the model grows with the corpus.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 from math import log, log10
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.llm.common import bucket_of, crc_mod, keep, table, text_of
 
-DEPTH, CHUNK_BYTES, BATCH_BYTES = 4, 12 << 20, 2 << 20
+DEPTH, CHUNK_BYTES, BATCH_BYTES = 6, 12 << 20, 2 << 20
 EDGE = b"\xff"  # before the first byte and after the last; no text has it in UTF-8
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
@@ -55,11 +57,6 @@ def batches(texts: list[bytes]):
             first, size = i + 1, 0
 
 
-def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([p[1] for p in parts]).astype(float), len(keys)).astype(np.int64)
-
-
 class Lookup:
     """Values of sorted keys by a multiplicative hash; keys that lost their slot to another are searched for."""
 
@@ -84,20 +81,22 @@ def name_parts(chunk: pd.DataFrame) -> pd.DataFrame:
     texts, train = [lowered(t) for t in chunk["text"]], ~chunk["held_out"].to_numpy()
     words: Counter[bytes] = Counter()
     others: set[bytes] = set()
-    parts = []
+    # All grams of the chunk in one sort; a gram takes 56 bits, the lowest tells whether it stands in a training text.
+    every = np.empty(sum(map(len, texts)) + len(texts), _U)
+    filled = 0
     for first, end in batches(texts):
         key, starts = grams(texts[first:end])
-        trained = np.repeat(train[first:end], np.diff(np.append(starts, len(key))))
-        others_only = np.unique(key[~trained])
-        parts.append(merged([np.unique(key[trained], return_counts=True), (others_only, np.zeros(len(others_only), np.int64))]))
-        if len(parts) == 8:
-            parts = [merged(parts)]
+        every[filled:filled + len(key)] = key << _U(1) | np.repeat(train[first:end], np.diff(np.append(starts, len(key)))).astype(_U)
+        filled += len(key)
         for text, trains in zip(texts[first:end], train[first:end]):
             if trains:
                 words.update(text.split())
             else:
                 others.update(text.split())
-    keys, n = merged(parts)
+    every.sort()
+    trained, keys = (every & _U(1)).astype(np.int64), every >> _U(1)
+    begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    keys, n = keys[begins], np.add.reduceat(trained, begins)
     known = sorted(words.keys() | others)
     number = np.concatenate([np.arange(len(keys)), np.arange(len(known))])
     return pd.DataFrame({
@@ -115,8 +114,20 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
+#: Log gamma of small counts plus one half and plus one.
+_HALF, _WHOLE = (log_gamma(np.arange(1 << 12) + shift) for shift in (0.5, 1.0))
+
+
+def log_gamma_of(table: np.ndarray, counts: np.ndarray, shift: float) -> np.ndarray:
+    out = table[np.minimum(counts, len(table) - 1)]
+    large = counts >= len(table)
+    out[large] = log_gamma(counts[large] + shift)
+    return out
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - log(np.pi)
+    """Logarithm of the Krichevsky-Trofimov estimate of whole-numbered counts."""
+    return log_gamma_of(_HALF, zeros, 0.5) + log_gamma_of(_HALF, ones, 0.5) - log_gamma_of(_WHOLE, zeros + ones, 1.0) - log(np.pi)
 
 
 def weigh(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,36 +137,63 @@ def weigh(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.nd
     return total, np.exp(own - log(2) - total)
 
 
-def subtree(keys: np.ndarray, n: np.ndarray, top: int) -> list[tuple[np.ndarray, ...]]:
-    """Weighted trees of the grams' eight decisions, from the deepest context down to ``top`` bytes.
+@dataclass(frozen=True)
+class Decision:
+    """One of a byte's eight decisions: the top level's nodes (name, zeros, ones, log weighted probability), and per gram its
+    node's name, its bit and the bit's probability under the mixture of the depths from the top level on."""
 
-    Per decision: node of the top level per gram, its zeros, ones and log weighted probability, and the probability per gram
-    of its bit under the mixture of the depths from ``top`` on.
+    name: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    total: np.ndarray
+    node: np.ndarray
+    bit: np.ndarray
+    p: np.ndarray
+
+
+def subtree(keys: np.ndarray, n: np.ndarray, top: int) -> Iterator[Decision]:
+    """Weighted trees of the sorted grams' eight decisions, from the deepest context down to ``top`` bytes.
+
+    The distinct grams of every depth are sorted once; a decision's nodes are then runs of neighbours that share the context and
+    the byte's higher bits.
     """
-    out = []
-    byte = (keys & _U(255)).astype(np.int64)
+    level_keys, level_n, up = [keys], [n], []
+    for _ in range(top, DEPTH):
+        shorter, at = np.unique(level_keys[-1] >> _U(16) << _U(8) | level_keys[-1] & _U(255), return_inverse=True)
+        level_n.append(np.bincount(at, level_n[-1], len(shorter)).astype(np.int64))
+        level_keys.append(shorter)
+        up.append(at)
+    levels = len(level_keys)
+    bytes_of = [(k & _U(255)).astype(np.int64) for k in level_keys]
     for level in range(8):
-        bit, node = byte >> (7 - level) & 1, (1 << level) | (byte >> (8 - level))
-        deeper, depths = None, []
-        for depth in range(DEPTH, top - 1, -1):
-            context = (keys >> _U(8 * (DEPTH - depth + 1))).astype(np.int64)
-            _, which = np.unique(context * 256 + node, return_inverse=True)
-            size = which.max() + 1
-            ones, both = np.bincount(which, n * bit, size), np.bincount(which, n, size)
-            if deeper is None:
-                total, own = log_kt(both - ones, ones), np.ones(size)
+        which, begins, zeros, ones, own, total, bits = [], [], [], [], [], [], []
+        for d in range(levels):  # from the deepest
+            name = level_keys[d] >> _U(8 - level)
+            fresh = np.append(True, name[1:] != name[:-1])
+            which.append(np.cumsum(fresh) - 1)
+            begins.append(np.flatnonzero(fresh))
+            bits.append(bytes_of[d] >> (7 - level) & 1)
+            both = np.add.reduceat(level_n[d], begins[d])
+            ones.append(np.add.reduceat(level_n[d] * bits[d], begins[d]))
+            zeros.append(both - ones[d])
+            if d == 0:
+                total.append(log_kt(zeros[d], ones[d]))
+                own.append(np.ones(len(both)))
             else:
-                child_of = np.zeros(len(deeper[1]), np.int64)
-                child_of[deeper[0]] = which
-                total, own = weigh(both - ones, ones, np.bincount(child_of, deeper[1], size))
-            seen = np.where(bit == 1, ones[which], (both - ones)[which])
-            depths.append((own[which], (seen + 0.5) / (both[which] + 1.0)))
-            deeper = which, total
-        p = depths[0][1]
-        for own_weight, estimate in depths[1:]:
-            p = own_weight * estimate + (1 - own_weight) * p
-        out.append((node, bit, which, both - ones, ones, total, p))
-    return out
+                below = np.bincount(which[d][up[d - 1][begins[d - 1]]], total[d - 1], len(both))
+                both_values = weigh(zeros[d], ones[d], below)
+                total.append(both_values[0])
+                own.append(both_values[1])
+        p, left = 0.0, 1.0
+        for d in range(levels - 1, -1, -1):  # from the top
+            weight = own[d][which[d]]
+            seen = np.where(bits[d] == 1, ones[d][which[d]], zeros[d][which[d]])
+            estimate = (seen + 0.5) / ((zeros[d] + ones[d])[which[d]] + 1.0)
+            if d < levels - 1:
+                p, left = p[up[d]], left[up[d]]
+            p, left = p + left * weight * estimate, left * (1 - weight)
+        node = [(1 << level) | (b >> (8 - level)) for b in (bytes_of[-1][begins[-1]], bytes_of[0])]
+        yield Decision(node[0], zeros[-1], ones[-1], total[-1], node[1], bits[0], p)
 
 
 TOP = 2
@@ -165,19 +203,15 @@ def top_nodes(group: pd.DataFrame) -> pd.DataFrame:
     """Per last byte and decision: zeros, ones and summed log probability of the group's two-byte contexts."""
     group = group.sort_values("gram", kind="stable")
     keys = group["gram"].to_numpy(np.int64).astype(_U)
-    rows = []
-    for node, _, which, zeros, ones, total, _ in subtree(keys, group["n"].to_numpy(float), TOP):
-        name = np.zeros(len(total), np.int64)
-        name[which] = node
-        rows.append(pd.DataFrame({"last": int(keys[0] >> _U(8 * DEPTH)), "node": name, "zeros": zeros, "ones": ones, "below": total}))
-    return pd.concat(rows)
+    return pd.concat([pd.DataFrame({"last": int(keys[0] >> _U(8 * DEPTH)), "node": d.name, "zeros": d.zeros, "ones": d.ones, "below": d.total})
+                      for d in subtree(keys, group["n"].to_numpy(np.int64), TOP)])
 
 
 class Upper:
     """The two highest levels, no and one context byte: at most 256 x 255 nodes, as arrays by last byte and node."""
 
     def __init__(self, rows: list):
-        zeros, ones, below = np.zeros((256, 256)), np.zeros((256, 256)), np.zeros((256, 256))
+        zeros, ones, below = np.zeros((256, 256), np.int64), np.zeros((256, 256), np.int64), np.zeros((256, 256))
         for last, node, z, o, b in rows:
             zeros[last, node], ones[last, node], below[last, node] = z, o, b
         total, self.own1 = weigh(zeros, ones, below)
@@ -195,24 +229,22 @@ def byte_model(group: pd.DataFrame, upper: Upper) -> pd.DataFrame:
     """log10 of the probability of each gram's byte after its context."""
     group = group.sort_values("gram", kind="stable")
     keys = group["gram"].to_numpy(np.int64).astype(_U)
-    value = np.zeros(len(keys))
-    for node, bit, *_, p in subtree(keys, group["n"].to_numpy(float), TOP):
-        value += np.log10(upper.mix(int(keys[0] >> _U(8 * DEPTH)), node, bit, p))
-    return pd.DataFrame({"gram": keys.astype(np.int64), "value": value})
+    p = np.ones(len(keys))
+    for d in subtree(keys, group["n"].to_numpy(np.int64), TOP):
+        p *= upper.mix(int(keys[0] >> _U(8 * DEPTH)), d.node, d.bit, d.p)
+    return pd.DataFrame({"gram": keys.astype(np.int64), "value": np.log10(p)})
 
 
 def score_chunk(chunk: pd.DataFrame, values: pd.DataFrame, n_tokens: int, n_words: int, n_train: int) -> pd.DataFrame:
-    """Scores of a chunk's texts from the values of its grams and words, which are in the order of ``name_parts``."""
+    """Scores of a chunk's texts from the values of its grams, and of its words by their order in ``name_parts``."""
     texts = [lowered(t) for t in chunk["text"]]
-    parts = []
-    for first, end in batches(texts):
-        parts.append(np.unique(grams(texts[first:end])[0]))
-    keys = np.unique(np.concatenate(parts))
+    kind, name, value = values["kind"].to_numpy(), values["name"].to_numpy(), values["value"].to_numpy(float)
+    keys, of_gram = name[kind == 1].astype(_U), value[kind == 1]
+    order = np.argsort(keys)
+    keys, of_gram = keys[order], of_gram[order]
     known = sorted({w for t in texts for w in t.split()})
-    kind, number, value = values["kind"].to_numpy(), values["number"].to_numpy(), values["value"].to_numpy(float)
-    of_gram, of_word = np.zeros(len(keys)), np.zeros(len(known) + 1)
-    of_gram[number[kind == 1]] = value[kind == 1]
-    of_word[number[kind == 0]] = value[kind == 0]
+    of_word = np.zeros(len(known) + 1)
+    of_word[name[kind == 0]] = value[kind == 0]
     of_word[-1] = n_train  # the end token
     index, gram_value = {w: i for i, w in enumerate(known)}, Lookup(keys, of_gram)
     logs = np.log10(of_word + 0.5) - log10(n_tokens + 0.5 * (n_words + 1))
@@ -241,9 +273,8 @@ def score_texts(docs: DataFrame, held_out, chunk_bytes: int = CHUNK_BYTES, id_co
     rows = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"), held_out.alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long")), F.count(F.when(~F.col("held_out"), 1))).first()
     chunks, n_train = max(1, -(-(size[0] or 0) // chunk_bytes)), size[1]
-    # Null identifiers spread by their text.
-    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))
-    rows = rows.withColumn("chunk", bucket_of(chunks, F.col("doc_id"), salt).cast("int"))
+    # Rows of a repeated or null identifier spread by their text.
+    rows = rows.withColumn("chunk", bucket_of(chunks, F.col("doc_id"), F.xxhash64("text")).cast("int"))
     named = keep(rows.groupBy("chunk").applyInPandas(lambda c: name_parts(c), "chunk int, kind int, number int, gram long, word binary, n long"), "ctw-named")
 
     by_word = Window.partitionBy("word")
@@ -255,13 +286,13 @@ def score_texts(docs: DataFrame, held_out, chunk_bytes: int = CHUNK_BYTES, id_co
 
     counts = keep(named.where("kind = 1").groupBy("gram").agg(F.sum("n").alias("n")), "ctw-counts")
     trees = counts.groupBy(F.shiftrightunsigned("gram", 8 * (DEPTH + 1 - TOP)).alias("context"))
-    nodes = trees.applyInPandas(lambda g: top_nodes(g), "last int, node int, zeros double, ones double, below double")
+    nodes = trees.applyInPandas(lambda g: top_nodes(g), "last int, node int, zeros long, ones long, below double")
     nodes = nodes.groupBy("last", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("below"))
     upper = Upper([tuple(r) for r in nodes.collect()])  # at most 256 x 255 rows
     model = keep(trees.applyInPandas(lambda g: byte_model(g, upper), "gram long, value double"), "ctw-model")
 
-    values = named.where("kind = 1").join(model, "gram").select("chunk", "kind", "number", "value").unionByName(
-        words.select("chunk", F.lit(0).alias("kind"), "number", F.col("count").cast("double").alias("value")))
+    values = named.where("kind = 1").join(model, "gram").select("chunk", "kind", F.col("gram").alias("name"), "value").unionByName(
+        words.select("chunk", F.lit(0).alias("kind"), F.col("number").cast("long").alias("name"), F.col("count").cast("double").alias("value")))
     kind = docs.select(id_column).schema[0].dataType.simpleString()
     scored = rows.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInPandas(
         lambda c, v: score_chunk(c, v, n_tokens, n_words, n_train),

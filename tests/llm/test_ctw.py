@@ -77,8 +77,9 @@ def test_against_plain_recursion(spark):
 
 
 def test_bytes_sum_to_one():
-    keys = np.array([(97 << 32) + (98 << 24) + (99 << 16) + (100 << 8) + b for b in range(256)], np.int64)
-    n = np.zeros(256)
+    context = int.from_bytes(bytes(range(97, 97 + ctw.DEPTH)), "big")
+    keys = np.array([(context << 8) + b for b in range(256)], np.int64)
+    n = np.zeros(256, np.int64)
     n[[10, 97, 200]] = [3, 50, 1]
     group = pd.DataFrame({"gram": keys, "n": n})
     upper = ctw.Upper([tuple(r) for r in ctw.top_nodes(group).astype({"node": int}).itertuples(index=False)])
