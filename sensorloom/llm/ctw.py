@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.llm.common import bucket_of, crc_mod, keep, table, text_of
 
-DEPTH, CHUNK_BYTES, BATCH_BYTES = 6, 12 << 20, 2 << 20
+DEPTH, CHUNK_BYTES, BATCH_BYTES = 5, 12 << 20, 2 << 20
 EDGE = b"\xff"  # before the first byte and after the last; no text has it in UTF-8
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
@@ -77,7 +77,7 @@ class Lookup:
 
 
 def name_parts(chunk: pd.DataFrame) -> pd.DataFrame:
-    """A chunk's distinct grams (kind 1) and words (kind 0), numbered in order, with their counts in its training texts."""
+    """A chunk's distinct grams (kind 1) and words (kind 0, numbered in order) with their counts in its training texts."""
     texts, train = [lowered(t) for t in chunk["text"]], ~chunk["held_out"].to_numpy()
     words: Counter[bytes] = Counter()
     others: set[bytes] = set()
@@ -98,7 +98,7 @@ def name_parts(chunk: pd.DataFrame) -> pd.DataFrame:
     begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     keys, n = keys[begins], np.add.reduceat(trained, begins)
     known = sorted(words.keys() | others)
-    number = np.concatenate([np.arange(len(keys)), np.arange(len(known))])
+    number = np.concatenate([np.zeros(len(keys), np.int64), np.arange(len(known))])
     return pd.DataFrame({
         "chunk": int(chunk["chunk"].iloc[0]), "kind": np.repeat([1, 0], [len(keys), len(known)]), "number": number,
         "gram": np.concatenate([keys.astype(np.int64), np.zeros(len(known), np.int64)]),
