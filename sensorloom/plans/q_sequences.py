@@ -123,8 +123,10 @@ def calendar_windows(spark: SparkSession, sf: str) -> DataFrame:
     return digest(out, ["section", "d"])
 
 
-@query("F4 F6", f"""WITH {SERIES}, {DEDUP}, {FFILL}, {CALWIN}, anchors AS (SELECT * FROM numbered WHERE observed AND (seen - 1) % 7 = 0)
-SELECT a.section, a.d, CAST(p AS INTEGER) AS pos, b.value FROM anchors a CROSS JOIN range(1, 31) t(p) JOIN numbered b ON a.section = b.section AND b.rn = greatest(1, a.rn - 30 + p)""")
+# Anchors and places are materialised first: the join is then on equal (section, rn), whatever plan the engine picks.
+@query("F4 F6", f"""WITH {SERIES}, {DEDUP}, {FFILL}, {CALWIN.replace("numbered AS (", "numbered AS MATERIALIZED (")},
+places AS MATERIALIZED (SELECT section, d AS day, CAST(p AS INTEGER) AS pos, CAST(greatest(1, rn - 30 + p) AS BIGINT) AS rn FROM numbered, range(1, 31) t(p) WHERE observed AND (seen - 1) % 7 = 0)
+SELECT a.section, a.day AS d, a.pos, b.value FROM places a JOIN numbered b ON a.section = b.section AND a.rn = b.rn""")
 def anchored_windows(spark: SparkSession, sf: str) -> DataFrame:
     out = sequences.anchored_windows(calendar(spark, sf, "ffill"), ["section"], "d", ["value"])
     return sequences.explode_steps(out, ["section", "d"])
