@@ -14,6 +14,8 @@ from sensorloom.functions.expressions import hash_key, hash_unit
 from sensorloom.operators.ordered import EVEN, Series, hash_series, mark_lowest, mark_lowest_per_key, positions, salted_join, with_scalar
 
 HASH = "__h"
+#: Copies that one task makes of a row at a time.
+COPIES_AT_ONCE = 4096
 
 
 def count_where(df: DataFrame, cond: Column) -> Column:
@@ -31,6 +33,21 @@ def _hashed(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
     return df.withColumn(HASH, hash_key(seed, *keys))
 
 
+def replicated(df: DataFrame, columns: Sequence[str], copies: Column) -> DataFrame:
+    """``columns`` and ``copy``: each row ``copies`` times, numbered from 1; rows with no copies go.
+
+    A row with many copies becomes one row per chunk of copies first; chunks are exchanged by row hash and number, and a task
+    then makes those of its chunks. Such rows are few, since each stands for a chunk of the result; the others do not move.
+    """
+    counted = df.withColumn("__copies", copies.cast("long")).filter("__copies > 0")
+    few = counted.filter(F.col("__copies") <= COPIES_AT_ONCE).withColumn("__from", F.lit(0).cast("long"))
+    chunk = F.sequence(F.lit(0).cast("long"), F.expr(f"(__copies - 1) div {COPIES_AT_ONCE}"))
+    many = counted.filter(F.col("__copies") > COPIES_AT_ONCE).withColumn("__chunk", F.explode(chunk)).withColumn("__from", F.col("__chunk") * COPIES_AT_ONCE).drop("__chunk")
+    many = many.withColumn("__copies", F.least(F.col("__copies") - F.col("__from"), F.lit(COPIES_AT_ONCE).cast("long")))
+    many = many.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), HASH, "__from")
+    return few.unionByName(many).select(*columns, F.explode(F.expr("sequence(cast(__from + 1 AS int), cast(__from + __copies AS int))")).alias("copy"))
+
+
 def oversample_random(df: DataFrame, label: str, keys: Sequence[str], seed: int = 42, ties: Sequence[str] = ()) -> DataFrame:
     """Every class replicated to exactly the size of the largest one.
 
@@ -40,7 +57,7 @@ def oversample_random(df: DataFrame, label: str, keys: Sequence[str], seed: int
     ranked = with_scalar(ranked, __sizes=class_sizes(df, label))
     largest, own = F.array_max(F.map_values("__sizes")), F.col("__sizes")[F.col(label)]
     copies = F.floor(largest / own) + F.when(F.col("__rn") <= largest % own, 1).otherwise(0)
-    return ranked.select(*df.columns, F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("copy"))
+    return replicated(ranked, df.columns, copies)
 
 
 def undersample_random(df: DataFrame, label: str, keys: Sequence[str], seed: int = 42, ties: Sequence[str] = ()) -> DataFrame:
@@ -61,10 +78,8 @@ def oversample_stratified(df: DataFrame, label: str, strata: Sequence[str], keys
     ranked = positions(_hashed(minority, keys, seed), hash_series(strata, HASH, ties), "__rank")
     by_rank = Series([], ["__rank", HASH, *strata, *ties], EVEN)
     marked = with_scalar(mark_lowest(ranked, plan["target"] % F.nullif(plan["have"], F.lit(0)), by_rank), __plan=plan)
-    copies = (F.floor(F.col("__plan.target") / F.col("__plan.have")) + F.when(F.col("chosen"), 1).otherwise(0)).cast("int")
-    # sequence() counts down when the end lies below the start, so rows without a copy are dropped first.
-    extra = marked.withColumn("__copies", copies).filter("__copies > 0").select(
-        *df.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))
+    copies = F.floor(F.col("__plan.target") / F.col("__plan.have")) + F.when(F.col("chosen"), 1).otherwise(0)
+    extra = replicated(marked, df.columns, copies)
     return majority.withColumn("copy", F.lit(1)).unionByName(extra)
 
 

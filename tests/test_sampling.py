@@ -83,3 +83,17 @@ def test_splits_are_whole(spark):
     assert collections.Counter(r.part for r in splits.split_rows(df, ["d", "id"]).collect()) == {"train": 80, "test": 20}
     folds = splits.expanding_folds_rows(df, ["d", "id"], 5)
     assert collections.Counter(r.fold for r in folds.collect()) == {-1: 20, **{i: 16 for i in range(5)}}
+
+
+@pytest.mark.parametrize("n1", [1, 3])
+def test_copies_of_one_row_spread_over_tasks(spark, monkeypatch, n1):
+    monkeypatch.setattr(resample, "COPIES_AT_ONCE", 100)
+    df = frame(spark, 5003, n1)
+    for out in (resample.oversample_random(df, "y", ["id"]), resample.oversample_stratified(df, "y", ["s"], ["id"])):
+        out = out.filter("y = 1").withColumn("task", F.spark_partition_id())
+        rows = out.collect()
+        assert len(rows) == 5003 == len({(r.id, r.copy) for r in rows})
+        per_row = collections.Counter(r.id for r in rows)
+        assert max(per_row.values()) - min(per_row.values()) <= 1 and all(max(r.copy for r in rows if r.id == i) == n for i, n in per_row.items())
+        per_task = collections.Counter(r.task for r in rows)
+        assert len(per_task) >= 4 and max(per_task.values()) < 5003 / 2
