@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.operators import drift, evaluate, models, sequences
+from sensorloom.operators import drift, evaluate, models, sequences, svm
 from sensorloom.plans import bindings as B
 from sensorloom.plans import q_sequences as S
 from sensorloom.plans.registry import query
@@ -126,12 +126,12 @@ def em_prior_shift(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def model_rows(spark, sf):
-    """Last-step features of the sequences of B.contexts with the contexts' label, early contexts for training."""
+    """All steps of the sequences of B.contexts with the contexts' label, early contexts for training."""
     df = sequences.flatten(S.long(spark, sf), ["key", "base", "r_date", "label"], S.FEATS, S.L)
     return df, df.filter(S.TRAIN), df.filter(f"NOT ({S.TRAIN})")
 
 
-FEATURES = ["t29_qty", "t30_qty", "t30_disc"]
+FEATURES = [f"t{i}_{c}" for i in range(1, S.L + 1) for c in S.FEATS]
 
 
 def _scored(df):
@@ -144,6 +144,20 @@ def linear_svm(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(models.margin_score(models.linear_svm(train, FEATURES, "label"), test))
 
 
+_STEPS = " UNION ALL ".join(f"SELECT 't' || pos || '_{c}' AS feature, {r('avg(l.@)', 6)} AS mean, {r('CASE WHEN stddev_pop(l.@) > 1e-12 THEN stddev_pop(l.@) ELSE 1 END', 6)} AS deviation FROM long l WHERE {S.TRAIN} GROUP BY pos".replace("@", c) for c in S.FEATS)
+
+
+@query("K1", S.SEQ + f", f AS ({_STEPS} UNION ALL SELECT 'intercept', {r('0.0::DOUBLE', 6)}, {r('1.0::DOUBLE', 6)}) SELECT feature, mean, deviation, {r('0.0::DOUBLE', 6)} AS gradient, true AS converged FROM f")
+def svm_optimality(spark: SparkSession, sf: str) -> DataFrame:
+    """The machine of ``linear_svm`` at its solution: its scaling, and a gradient of zero in every coordinate; the problem is strictly
+    convex, so no other weights have one."""
+    _, train, _ = model_rows(spark, sf)
+    model = models.linear_svm(train, FEATURES, "label")
+    out = svm.optimality(model, train, "label")
+    return out.select("feature", rnd("mean", 6).alias("mean"), rnd("deviation", 6).alias("deviation"), rnd("gradient", 6).alias("gradient"),
+                      F.lit(model.converged).alias("converged"))
+
+
 @query("K2 I7")
 def svm_grid(spark: SparkSession, sf: str) -> DataFrame:
     _, train, _ = model_rows(spark, sf)

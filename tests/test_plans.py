@@ -10,7 +10,7 @@ from sensorloom.plans import bindings as B
 from sensorloom.plans import catalog
 
 # Fits run while the plan is built; their inputs are covered by the other queries.
-FITS = {"svm_grid", "density_ratio_weight", "linear_svm", "logistic_baseline", "boosted_trees"}
+FITS = {"svm_grid", "density_ratio_weight", "linear_svm", "svm_optimality", "logistic_baseline", "boosted_trees"}
 
 
 def plan(df):
