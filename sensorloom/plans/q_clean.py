@@ -98,6 +98,21 @@ def integrated_table(spark: SparkSession, sf: str) -> DataFrame:
         F.sum("label").alias("positives"), F.count("key").alias("with_context"))
 
 
+@query("A12 B13 C7 C1", "WITH " + B.READINGS + ", " + B.WINDOWS + """
+SELECT r.base, r.mapped, count(*) AS n, CAST(sum(CASE WHEN ln >= 2 AND ln <= 5 THEN 1 ELSE 0 END) AS BIGINT) AS n_in_section,
+  CAST(sum(coalesce(label, 0)) AS BIGINT) AS positives, count(key) AS with_context
+FROM readings r LEFT JOIN windows w ON r.base = w.base AND r.pos = w.pos AND d BETWEEN win_start - 335 AND win_end GROUP BY r.base, r.mapped""")
+def integrated_by_date(spark: SparkSession, sf: str) -> DataFrame:
+    """Each reading with the contexts of the year after it only, where ``integrated_table`` takes those of any date."""
+    rows = B.readings(spark, sf).drop("mapped").withColumns({"start": F.lit(2), "finish": F.lit(5)})
+    rows = rows.withColumn("in_section", clean.in_section("ln", "start", "finish"))
+    ctx = B.windows(spark, sf).select("base", "pos", "key", "label", F.date_sub("win_start", 335).alias("win_start"), "win_end")
+    joined = context.dated_context_join(rows, ctx, ["base", "pos"], "label", "d", "win_start", "win_end", days=366)
+    return context.lookup_join(joined, B.base_map(spark, sf), "base").groupBy("base", "mapped").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("in_section").cast("long")).alias("n_in_section"),
+        F.sum("label").alias("positives"), F.count("key").alias("with_context"))
+
+
 @query("B1 B25", "WITH " + B.CONTEXTS + " SELECT base AS \"Tc_base\", r_date AS \"Tc_day\", key, label AS \"Tc_label\" FROM contexts")
 def renamed_contexts(spark: SparkSession, sf: str) -> DataFrame:
     df = clean.prefix_rename(B.contexts(spark, sf), "Tc_", keep=["key"])

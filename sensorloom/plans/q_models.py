@@ -57,6 +57,21 @@ def drift_table(spark: SparkSession, sf: str) -> DataFrame:
     return drift.drift_table(e, a, ["qty", "disc", "price"]).select("feature", rnd("ks", 6).alias("ks"), rnd("psi", 6).alias("psi"), "keep")
 
 
+@query("J3", SIDES + f", p AS ({PSI}), k AS ({KS}), t AS (SELECT feature FROM p JOIN k USING (feature) WHERE NOT (k.ks >= 0.4 OR p.psi >= 0.22)), "
+       + "m AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n, avg({c}) AS mean FROM a" for c in ("qty", "disc", "price"))
+       + f") SELECT feature, n, {r('m.mean', 6)} AS mean FROM m WHERE feature IN (SELECT feature FROM t)")
+def drift_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and mean of each later feature that outlives the pruning of drifted ones."""
+    e, a = sides(spark, sf)
+    cols = ["qty", "disc", "price"]
+    pruned = drift.drift_prune(a, drift.drift_table(e, a, cols), cols)
+    left = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n_{c}").alias("n"), rnd(F.col(f"m_{c}"), 6).alias("mean")) for c in pruned.columns])
+    sums = pruned.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"n_{c}") for c in pruned.columns], *[F.avg(c).alias(f"m_{c}") for c in pruned.columns])
+    if not pruned.columns:
+        return spark.createDataFrame([], "feature string, n long, mean double")
+    return sums.select(F.inline(left))
+
+
 def _moments_sql(name: str, rows: str) -> str:
     """Means and the ridged covariance matrix [[p, q], [q, s]] of two columns, with its square root's parts."""
     return f"""{name}0 AS (SELECT avg(qty) AS mx, avg(disc) AS my, @(qty, qty) + 1e-3 AS p, @(qty, disc) AS q, @(disc, disc) + 1e-3 AS s FROM {rows}),

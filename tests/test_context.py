@@ -1,7 +1,9 @@
 """Edges of the assembly: inclusive ends, fallbacks, window ends, intervals, dates."""
 
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sensorloom.functions import expressions as X
@@ -62,6 +64,44 @@ def test_overlapping_intervals_do_not_fan_out(spark):
     assert got == {1: 20.0, 2: 4.0, 3: None, 4: 10.0}
 
 
+def test_long_intervals_cost_months(spark):
+    rng = random.Random(3)
+    rows = [("AB"[i % 2], day(rng.randrange(-400, 400))) for i in range(300)] + [("C", day(0)), (None, day(0)), ("A", None)]
+    spans = []
+    for i in range(60):
+        first = rng.randrange(-7000, 400)
+        spans.append(("AB"[i % 2], day(first), day(first + rng.choice([0, 3, 40, 800, 7300])), float(rng.randrange(1, 50))))
+    spans += [("A", day(-30), day(-10), float("nan")), ("B", None, day(4), 5.0), ("B", day(3), day(-3), 5.0), ("B", day(-3), day(3), None)]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, r struct<base: string, d: date>").select("i", "r.*")
+    iv = spark.createDataFrame(spans, "base string, f date, t date, amount double")
+    got = {r.i: r.amount for r in context.validity_join(df, iv, ["base"], "d", "f", "t", "amount").collect()}
+    assert len(got) == len(rows)
+    for i, (base, d) in enumerate(rows):
+        held = [a for b, f, t, a in spans if b == base and None not in (d, f, t, a) and f <= d <= t]
+        if any(a != a for a in held):
+            assert got[i] != got[i]
+        else:
+            assert got[i] == (pytest.approx(sum(held) / len(held)) if held else None), (base, d)
+
+
+@pytest.mark.parametrize("most", [5, 1000])
+def test_dated_contexts_split_crowded_cells(spark, most):
+    rng = random.Random(1)
+    rows = [(i, "A" if i % 3 else "B", 1 if i % 4 else 2, day(rng.randrange(-50, 50))) for i in range(200)] + [(200, None, 1, day(0)), (201, "A", 1, None)]
+    ctx = [(f"k{i}", "A" if i % 2 else "B", 1 + i % 2, day(f := rng.randrange(-60, 60)), day(f + rng.randrange(0, 40)), i % 2) for i in range(40)]
+    ctx += [("null", "A", 1, None, day(5), 1), ("back", "A", 1, day(9), day(-9), 1), ("edge", "A", 1, day(0), day(0), None)]
+    r = spark.createDataFrame(rows, "i int, base string, pos int, d date")
+    c = spark.createDataFrame(ctx, "key string, base string, pos int, f date, t date, label int")
+    got = sorted((x.i, x.key or "", x.label) for x in context.dated_context_join(r, c, ["base", "pos"], "label", "d", "f", "t", 7, most).collect())
+    want = []
+    for i, base, pos, d in rows:
+        hits = [(i, k, y or 0) for k, b, p, f, t, y in ctx if b == base and p == pos and d is not None and f is not None and f <= d <= t]
+        want += hits or [(i, "", 0)]
+    assert got == sorted(want)
+    empty = context.dated_context_join(r, c.limit(0), ["base", "pos"], "label", "d", "f", "t")
+    assert empty.count() == len(rows) and empty.columns == ["i", "base", "pos", "d", "key", "f", "t", "label"]
+
+
 def test_date_strings(spark):
     text = ["2020-03-04", "2020-3-4", "2020/03/04", "2020/3/4", "03/04/2020", "25/12/2020", "garbage", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "i int, t string")
