@@ -3,8 +3,8 @@
 Labels mark documents; token labels follow from them: a word form or word beginning that stands in far more toxic than clean
 training documents is evidence, and a token with evidence in a toxic document is labelled toxic, every other token is not. The
 field has two states, a weight per evidence form, a bias and transition weights; it is fitted by gradient ascent on the exact
-likelihood of the training segments (sentences, cut at a fixed length). Forward-backward gives each token's marginal. A
-document's largest marginal, the sum of those above a floor and its length enter a logistic score; tokens above one half form
+likelihood of the training segments (sentences, cut at a fixed length). In scoring the chain runs over the whole sentence:
+forward-backward goes piece by piece, with messages carried over the cuts, and gives each token's marginal. A document's largest marginal, the sum of those above a floor and its length enter a logistic score; tokens above one half form
 the spans.
 """
 
@@ -25,8 +25,8 @@ from sensorloom.llm.common import WORD_BYTES, crc_mod, keep, table, text_of
 
 #: The classifier is fitted on a bounded sample: at most so many labelled documents of each class, in hash order.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SEED = 4000, 8000, 11
-#: Evidence: likelihood ratio statistic against the class rate, and at most so many forms.
-MIN_EVIDENCE, MAX_FORMS, PREFIXES = 20.0, 2048, (4, 5, 6)
+#: Evidence: likelihood ratio statistic against the class rate; every form above it counts, so the sample bounds their number.
+MIN_EVIDENCE, PREFIXES = 20.0, (4, 5, 6)
 SEGMENT, ROUNDS, RATE, PENALTY, FLOOR, THRESHOLD = 32, 150, 0.1, 1e-5, 0.1, 0.7
 CACHED_WORDS = 200_000
 
@@ -68,35 +68,96 @@ class Field:
     emit: np.ndarray
     step: np.ndarray
 
-    def passes(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def toxic(self, codes: np.ndarray) -> np.ndarray:
+        """Factor of the toxic state per token (tokens, segments); that of the other state is 1."""
+        return np.exp(np.minimum(self.emit[codes] + np.where(codes > 0, self.emit[0], 0.0), 50.0)).T.copy()
+
+    def passes(self, codes: np.ndarray, lengths: np.ndarray, ahead_of: np.ndarray | None = None, behind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Forward-backward: marginals of the toxic state (segments, tokens) and of the transitions (tokens - 1, a, b, segments).
 
-        Messages are scaled to sum to one at each token, which keeps products of any length in range.
+        Messages are scaled to sum to one at each token, which keeps products of any length in range. ``ahead_of`` and ``behind``
+        (2, segments) are the messages into the first and the last token of pieces of longer chains.
         """
         n, most = codes.shape
-        move = np.exp(self.step)
-        toxic = np.exp(np.minimum(self.emit[codes] + np.where(codes > 0, self.emit[0], 0.0), 50.0)).T.copy()
+        move, toxic = np.exp(self.step), self.toxic(codes)
+        enter = np.ones((2, n)) if ahead_of is None else ahead_of
+        end = np.ones((2, n)) if behind is None else behind
         inside = np.arange(most)[:, None] < lengths
         ahead, scale = np.empty((most, 2, n)), np.empty((most, n))
-        now = np.stack([np.ones(n), toxic[0]])
+        now = np.stack([enter[0], enter[1] * toxic[0]])
         for t in range(most):
             if t:
                 now = np.stack([ahead[t - 1, 0] * move[0, 0] + ahead[t - 1, 1] * move[1, 0], (ahead[t - 1, 0] * move[0, 1] + ahead[t - 1, 1] * move[1, 1]) * toxic[t]])
             scale[t] = now.sum(0)
             ahead[t] = now / scale[t]
-        p, pairs, back = np.empty((most, n)), np.empty((max(0, most - 1), 2, 2, n)), np.ones((2, n))
+        p, pairs, back = np.empty((most, n)), np.empty((max(0, most - 1), 2, 2, n)), end
         for t in range(most - 1, -1, -1):
             if t < most - 1:
                 after = np.stack([back[0], back[1] * toxic[t + 1]]) / scale[t + 1]
                 pairs[t] = ahead[t][:, None] * move[:, :, None] * after[None] * inside[t + 1]
-                back = np.where(inside[t + 1], np.stack([move[0, 0] * after[0] + move[0, 1] * after[1], move[1, 0] * after[0] + move[1, 1] * after[1]]), 1.0)
-            p[t] = np.where(inside[t], ahead[t, 1] * back[1], 0.0)
+                back = np.where(inside[t + 1], np.stack([move[0, 0] * after[0] + move[0, 1] * after[1], move[1, 0] * after[0] + move[1, 1] * after[1]]), end)
+            p[t] = np.where(inside[t], ahead[t, 1] * back[1] / (ahead[t] * back).sum(0), 0.0)
         return p.T, pairs
 
     def marginals(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Probability of the toxic state per token; 0 beyond a segment's end."""
         return self.passes(codes, lengths)[0]
 
+    def across(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Each piece as one matrix (pieces, 2, 2): the product of its tokens' factors and the transitions between them, scaled."""
+        move, toxic = np.exp(self.step), self.toxic(codes)
+        out = np.zeros((len(codes), 2, 2))
+        out[:, 0, 0], out[:, 1, 1] = 1.0, toxic[0]
+        for t in range(1, int(lengths.max())):
+            new = out @ move
+            new[:, :, 1] *= toxic[t][:, None]
+            out = np.where((t < lengths)[:, None, None], new / new.sum((1, 2), keepdims=True), out)
+        return out
+
+    def messages(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Messages into the first and last tokens of the consecutive pieces of one chain, from their matrices."""
+        move, n = np.exp(self.step), len(pieces)
+        first, last = np.ones((n, 2)), np.ones((n, 2))
+        for j in range(1, n):
+            first[j] = first[j - 1] @ pieces[j - 1] @ move
+            first[j] /= first[j].sum()
+        for j in range(n - 2, -1, -1):
+            last[j] = move @ (pieces[j + 1] @ last[j + 1])
+            last[j] /= last[j].sum()
+        return first, last
+
+
+class Plain:
+    """Sentences without evidence: their marginals depend on the length alone.
+
+    Messages along equal factors settle, so those of a long sentence's middle are all alike and only the ones before are held.
+    """
+
+    def __init__(self, field: Field):
+        self.move, self.factor = np.exp(field.step), np.array([1.0, float(field.toxic(np.zeros((1, 1), np.int64))[0, 0])])
+        self.ahead, self.back, self.known = [self.factor / self.factor.sum()], [np.full(2, 0.5)], {}
+        self.settled = False
+
+    def __call__(self, length: int) -> tuple[float, float]:
+        """(largest marginal, sum of those above the floor) of a sentence of so many words."""
+        if length not in self.known:
+            while len(self.ahead) < length and not self.settled:
+                a, b = self.ahead[-1] @ self.move * self.factor, self.move @ (self.back[-1] * self.factor)
+                a, b = a / a.sum(), b / b.sum()
+                self.settled = max(np.abs(a - self.ahead[-1]).max(), np.abs(b - self.back[-1]).max()) < 1e-15
+                self.ahead.append(a)
+                self.back.append(b)
+            k = len(self.ahead)
+            at = np.arange(length) if length <= 2 * k else np.concatenate([np.arange(k + 1), np.arange(length - k, length)])
+            times = np.ones(len(at))
+            times[min(k, len(at) - 1)] += length - len(at)
+            both = np.array(self.ahead)[np.minimum(at, k - 1)] * np.array(self.back)[np.minimum(length - 1 - at, k - 1)]
+            p = both[:, 1] / both.sum(1)
+            if len(self.known) >= CACHED_WORDS:
+                self.known.clear()
+            self.known[length] = float(p.max()), float((p * times)[p >= FLOOR].sum())
+        return self.known[length]
+
 
 def fit_field(codes: np.ndarray, tags: np.ndarray, lengths: np.ndarray, times: np.ndarray, n_codes: int) -> Field:
     """Penalised maximum likelihood of tagged segments that stand ``times`` times each, by Adam on the exact gradient."""
@@ -122,7 +183,7 @@ def fit_field(codes: np.ndarray, tags: np.ndarray, lengths: np.ndarray, times: n
 
 
 def segments(data: bytes) -> Iterator[list[bytes]]:
-    """The text's sentences as word lists, cut at the segment length."""
+    """The text's sentences as word lists for the fit, cut at the segment length."""
     for line in data.split(b"\n"):
         found = line.split()
         for at in range(0, len(found), SEGMENT):
@@ -147,37 +208,47 @@ class Scorer:
     def measure(self, texts) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
         """Per text: (largest marginal, log of one plus the sum above the floor, log of one plus the words), and its spans."""
         code = Coder(self.evidence)
-        # A segment without evidence depends on its length alone.
-        plain_codes = np.zeros((SEGMENT, SEGMENT), np.int64)
-        plain = self.field.marginals(plain_codes, np.arange(1, SEGMENT + 1))
-        plain_most, plain_sum = plain.max(1).tolist(), np.where(plain >= FLOOR, plain, 0).sum(1).tolist()
+        plain = Plain(self.field)
         n = len(texts)
         most, total, size = np.zeros(n), np.zeros(n), np.zeros(n)
         waiting: list[list[int]] = []
         owner: list[int] = []
-        begins: list[tuple[int, int]] = []  # (text, index of the segment's first token in it)
+        begins: list[tuple[int, int]] = []  # (text, index of the piece's first token in it)
+        chains: list[tuple[int, int]] = []  # sentences of several pieces: their first piece and the one after the last
         for d, text in enumerate(texts):
             data = mapped(text)
             codes = list(map(code, data.split()))
             size[d], at = len(codes), 0
             some = any(codes)
             for line in data.split(b"\n"):
-                left = len(line.split())
-                while left:
-                    cut = min(left, SEGMENT)
-                    own = codes[at:at + cut] if some else ()
-                    if any(own):
-                        waiting.append(own)
+                words = len(line.split())
+                if not words:
+                    continue
+                own = codes[at:at + words] if some else ()
+                if any(own):
+                    for cut in range(0, words, SEGMENT):
+                        waiting.append(own[cut:cut + SEGMENT])
                         owner.append(d)
-                        begins.append((d, at))
-                    else:
-                        total[d] += plain_sum[cut - 1]
-                        most[d] = max(most[d], plain_most[cut - 1])
-                    at, left = at + cut, left - cut
+                        begins.append((d, at + cut))
+                    if words > SEGMENT:
+                        chains.append((len(waiting) - (words - 1) // SEGMENT - 1, len(waiting)))
+                else:
+                    high, above = plain(words)
+                    total[d] += above
+                    most[d] = max(most[d], high)
+                at += words
+        first, last = np.ones((len(waiting), 2)), np.ones((len(waiting), 2))
+        if chains:
+            linked = [i for a, b in chains for i in range(a, b)]
+            whole = np.concatenate([self.field.across(*padded([waiting[i] for i in linked[k:k + 4096]])) for k in range(0, len(linked), 4096)])
+            done = 0
+            for a, b in chains:
+                first[a:b], last[a:b] = self.field.messages(whole[done:done + b - a])
+                done += b - a
         spans: list[list[tuple[int, int, float]]] = [[] for _ in range(n)]
         for at in range(0, len(waiting), 4096):
             codes, lengths = padded(waiting[at:at + 4096])
-            p = self.field.marginals(codes, lengths)
+            p = self.field.passes(codes, lengths, first[at:at + 4096].T, last[at:at + 4096].T)[0]
             who = np.array(owner[at:at + 4096])
             np.add.at(total, who, np.where(p >= FLOOR, p, 0).sum(1))
             np.maximum.at(most, who, p.max(1))
@@ -239,7 +310,7 @@ def find_evidence(sample: DataFrame) -> dict[bytes, tuple[int, float]]:
     ratio = 2 * (part(F.col("t"), rate) + part(F.col("c"), 1 - rate))
     odds = F.log((F.col("t") + 0.5) / (n1 + 1)) - F.log((F.col("c") + 0.5) / (n0 + 1))
     rows = counts.where("t >= 3").select("form", ratio.alias("ratio"), odds.alias("odds")).where(
-        (F.col("ratio") >= MIN_EVIDENCE) & (F.col("odds") > 1.5)).orderBy(F.col("ratio").desc(), "form").limit(MAX_FORMS).collect()
+        (F.col("ratio") >= MIN_EVIDENCE) & (F.col("odds") > 1.5)).orderBy(F.col("ratio").desc(), "form").collect()
     return {bytes(r["form"]): (i + 1, r["odds"]) for i, r in enumerate(rows)}
 
 

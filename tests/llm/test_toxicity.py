@@ -4,7 +4,7 @@ import random
 import numpy as np
 from llm_cases import documents, mixed_rows, row
 
-from sensorloom.llm.toxicity import THRESHOLD, Field, drop_toxic, fit, fit_field, score_toxicity
+from sensorloom.llm.toxicity import FLOOR, THRESHOLD, Field, Scorer, drop_toxic, fit, fit_field, score_toxicity
 
 
 def test_marginals_equal_enumeration():
@@ -21,6 +21,29 @@ def test_marginals_equal_enumeration():
         assert np.allclose(got[s], weight / total)
 
 
+def test_whole_sentences():
+    """Sentences of any length, with and without evidence, equal one chain without cuts."""
+    rng = np.random.default_rng(8)
+    words = ["eins", "zwei", "drei", "vier"]
+    for step in (rng.normal(size=(2, 2)), np.array([[2.0, -3.0], [-3.0, 2.5]])):
+        field = Field(np.array([-1.5, 3.0, 1.0]), step)
+        model = Scorer({b"=zwei": (1, 3.0), b"=drei": (2, 1.0)}, field)
+        texts, want = [], []
+        for lengths in ((1,), (32,), (33,), (64, 3, 65), (500,), (7, 200, 31)):
+            for share in ([1, 0, 0, 0], [0.97, 0.02, 0.01, 0], [0.4, 0.3, 0.2, 0.1]):
+                sentences = [rng.choice(4, size=k, p=share) for k in lengths]
+                texts.append(". ".join(" ".join(words[w] for w in s) for s in sentences))
+                p = [field.marginals(np.where(s == 1, 1, np.where(s == 2, 2, 0))[None], np.array([len(s)]))[0] for s in sentences]
+                flat = np.concatenate(p)
+                want.append((flat.max(), np.log1p(flat[flat >= FLOOR].sum()), np.log1p(len(flat)), int((flat > 0.5).sum())))
+        measures, spans = model.measure(texts)
+        assert np.allclose(measures, np.array(want)[:, :3], atol=1e-9)
+        for text, found, (_, _, _, n) in zip(texts, spans, want):
+            assert sum(len(text[a:b].split()) for a, b, _ in found) == n
+        long, _ = model.measure([" ".join(["eins"] * 200_000 + ["zwei"] + ["eins"] * 50_000)])
+        assert np.isfinite(long).all()
+
+
 def test_fit_separates():
     codes, lengths = np.array([[1, 0, 2], [0, 0, 0], [2, 2, 0]]), np.array([3, 3, 2])
     field = fit_field(codes, (codes == 1).astype(int), lengths, np.array([50.0, 500.0, 50.0]), 2)
