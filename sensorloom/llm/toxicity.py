@@ -237,18 +237,18 @@ class Scorer:
                     total[d] += above
                     most[d] = max(most[d], high)
                 at += words
-        first, last = np.ones((len(waiting), 2)), np.ones((len(waiting), 2))
+        enter, leave = np.ones((len(waiting), 2)), np.ones((len(waiting), 2))
         if chains:
             linked = [i for a, b in chains for i in range(a, b)]
             whole = np.concatenate([self.field.across(*padded([waiting[i] for i in linked[k:k + 4096]])) for k in range(0, len(linked), 4096)])
             done = 0
             for a, b in chains:
-                first[a:b], last[a:b] = self.field.messages(whole[done:done + b - a])
+                enter[a:b], leave[a:b] = self.field.messages(whole[done:done + b - a])
                 done += b - a
         spans: list[list[tuple[int, int, float]]] = [[] for _ in range(n)]
         for at in range(0, len(waiting), 4096):
             codes, lengths = padded(waiting[at:at + 4096])
-            p = self.field.passes(codes, lengths, first[at:at + 4096].T, last[at:at + 4096].T)[0]
+            p = self.field.passes(codes, lengths, enter[at:at + 4096].T, leave[at:at + 4096].T)[0]
             who = np.array(owner[at:at + 4096])
             np.add.at(total, who, np.where(p >= FLOOR, p, 0).sum(1))
             np.maximum.at(most, who, p.max(1))

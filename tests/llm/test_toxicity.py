@@ -40,8 +40,11 @@ def test_whole_sentences():
         assert np.allclose(measures, np.array(want)[:, :3], atol=1e-9)
         for text, found, (_, _, _, n) in zip(texts, spans, want):
             assert sum(len(text[a:b].split()) for a, b, _ in found) == n
-        long, _ = model.measure([" ".join(["eins"] * 200_000 + ["zwei"] + ["eins"] * 50_000)])
-        assert np.isfinite(long).all()
+        many, spans = model.measure([" ".join((["zwei"] * 3 + ["eins"] * 7) * 30_000), "zwei zwei zwei. " * 9_000])
+        p = field.marginals(np.tile([1] * 3 + [0] * 7, 30_000)[None], np.array([300_000]))[0]
+        assert np.allclose(many[0], (p.max(), np.log1p(p[p >= FLOOR].sum()), np.log1p(300_000)))
+        assert np.isclose(many[1, 1], np.log1p(9_000 * field.marginals(np.array([[1, 1, 1]]), np.array([3]))[0].clip(FLOOR).sum()))
+        assert len(spans[1]) in (1, 9_000)
 
 
 def test_fit_separates():
