@@ -188,7 +188,11 @@ def quantile_clip(df: DataFrame, limits: DataFrame, features: Sequence[str], ski
     return with_scalar(df, __q=q).select(*[one(c).alias(c) if c in features else F.col(c) for c in df.columns])
 
 
-def flatten(long: DataFrame, keys: Sequence[str], features: Sequence[str], length: int) -> DataFrame:
-    """Columns t{i}_{feature}, one row per key."""
-    return long.groupBy(*keys).agg(*[
+def flatten(rows: DataFrame, keys: Sequence[str], features: Sequence[str], length: int) -> DataFrame:
+    """Columns t{i}_{feature}, one row per key, from the long form or from ``last_n_padded``, whose steps are picked by place
+    without being laid out."""
+    if "steps" in rows.columns:
+        return rows.groupBy(*keys).agg(*[
+            F.max(F.get("steps", F.lit(i - 1))[f]).alias(f"t{i}_{f}") for i in range(1, length + 1) for f in features])
+    return rows.groupBy(*keys).agg(*[
         F.max(F.when(F.col("pos") == i, F.col(f))).alias(f"t{i}_{f}") for i in range(1, length + 1) for f in features])

@@ -9,6 +9,7 @@ from sensorloom.operators import drift, evaluate, models, sequences, svm
 from sensorloom.plans import bindings as B
 from sensorloom.plans import q_sequences as S
 from sensorloom.plans.registry import query
+from sensorloom.session import written
 
 rnd, r = B.rnd, B.r
 CUT = "DATE '1999-01-01'"
@@ -141,8 +142,8 @@ def em_prior_shift(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def model_rows(spark, sf):
-    """All steps of the sequences of B.contexts with the contexts' label, early contexts for training."""
-    df = sequences.flatten(S.long(spark, sf), ["key", "base", "r_date", "label"], S.FEATS, S.L)
+    """All steps of the sequences of B.contexts with the contexts' label, early contexts for training; written once, for its several readers."""
+    df = written(sequences.flatten(S.padded(spark, sf), ["key", "base", "r_date", "label"], S.FEATS, S.L), "model-rows")
     return df, df.filter(S.TRAIN), df.filter(f"NOT ({S.TRAIN})")
 
 
@@ -263,6 +264,7 @@ def information(spark, sf):
     blocks = S.long(spark, sf).groupBy("key", "label").agg(
         *[F.max(F.when(F.col("pos") == S.L, F.col(c))).alias(f"{c}_last") for c in S.FEATS],
         *[rnd(F.coalesce(F.avg(F.when(~F.col("is_pad"), F.col(c))), F.lit(0.0)), 6).alias(f"{c}_mean") for c in S.FEATS])
+    blocks = written(blocks, "blocks")  # read by the cuts and by the counts
     return models.mutual_information(blocks, [f"{c}_{b}" for c in S.FEATS for b in ("last", "mean")], "label")
 
 
