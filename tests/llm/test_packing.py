@@ -4,9 +4,11 @@ from array import array
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import tiktoken
 from llm_cases import documents, mixed_rows
 from tokenizers import Tokenizer
 
+from sensorloom.llm import packing
 from sensorloom.llm.packing import encoder, fill, pack, plan
 
 
@@ -72,3 +74,11 @@ def test_pack(spark):
             short += at < window
         assert short <= 1
     assert pack(documents(spark, rows).limit(0)).count() == 0
+
+
+def test_many_words_are_remembered(monkeypatch):
+    encode = packing.encoder.__wrapped__(public_tokenizers.path(packing.RANKS))
+    text = "a " + " ".join(f"w{i:x}" for i in range(400_000))
+    first, calls, plain = encode(text), [], tiktoken.Encoding.encode
+    monkeypatch.setattr(tiktoken.Encoding, "encode", lambda self, t, **how: calls.append(t) or plain(self, t, **how))
+    assert encode(text) == first and calls == ["a"]
