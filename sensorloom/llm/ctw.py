@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from sensorloom.llm.common import bucket_of, crc_mod, keep, table, text_of
 
-DEPTH, CHUNK_BYTES, BATCH_BYTES = 5, 12 << 20, 2 << 20
+DEPTH, CHUNK_BYTES, BATCH_BYTES = 5, 12 << 20, 1 << 19
+#: Grams looked at, or words given out, at once.
+SLICE = 1 << 18
 EDGE = b"\xff"  # before the first byte and after the last; no text has it in UTF-8
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
@@ -61,7 +63,7 @@ class Lookup:
     """Values of sorted keys by a multiplicative hash; keys that lost their slot to another are searched for."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(16, len(keys).bit_length() + 4)
+        bits = max(16, len(keys).bit_length() + 3)
         self.keys, self.values, self.shift = keys, values, _U(64 - bits)
         self.slots = np.zeros(1 << bits, np.int32)
         self.slots[self.slot(keys)] = np.arange(len(keys))
@@ -76,9 +78,17 @@ class Lookup:
         return self.values[at]
 
 
-def name_parts(chunk: pd.DataFrame) -> pd.DataFrame:
-    """A chunk's distinct grams (kind 1) and words (kind 0, numbered in order) with their counts in its training texts."""
-    texts, train = [lowered(t) for t in chunk["text"]], ~chunk["held_out"].to_numpy()
+def name_parts(batches_of_chunk: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A chunk's distinct grams (kind 1) and words (kind 0, numbered in order) with their counts in its training texts.
+
+    Beyond the texts only one number per byte is held; what is made from them leaves in slices.
+    """
+    texts, flags, chunk = [], [], 0
+    for rows in batches_of_chunk:
+        texts += [lowered(t) for t in rows["text"]]
+        flags.append(~rows["held_out"].to_numpy())
+        chunk = int(rows["chunk"].iloc[0])
+    train = np.concatenate(flags)
     words: Counter[bytes] = Counter()
     others: set[bytes] = set()
     # All grams of the chunk in one sort; a gram takes 56 bits, the lowest tells whether it stands in a training text.
@@ -93,16 +103,22 @@ def name_parts(chunk: pd.DataFrame) -> pd.DataFrame:
                 words.update(text.split())
             else:
                 others.update(text.split())
+    texts.clear()
     every.sort()
-    trained, keys = (every & _U(1)).astype(np.int64), every >> _U(1)
-    begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    keys, n = keys[begins], np.add.reduceat(trained, begins)
+    at = 0
+    while at < len(every):
+        # Up to the end of a gram's run.
+        last = every[min(at + SLICE, len(every)) - 1] | _U(1)
+        part, at = every[at:(end := int(np.searchsorted(every, last, "right")))], end
+        keys = part >> _U(1)
+        begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        n = np.add.reduceat((part & _U(1)).astype(np.int64), begins)
+        yield pd.DataFrame({"chunk": chunk, "kind": 1, "number": 0, "gram": keys[begins].astype(np.int64), "word": None, "n": n})
     known = sorted(words.keys() | others)
-    number = np.concatenate([np.zeros(len(keys), np.int64), np.arange(len(known))])
-    return pd.DataFrame({
-        "chunk": int(chunk["chunk"].iloc[0]), "kind": np.repeat([1, 0], [len(keys), len(known)]), "number": number,
-        "gram": np.concatenate([keys.astype(np.int64), np.zeros(len(known), np.int64)]),
-        "word": [*[None] * len(keys), *known], "n": np.concatenate([n, np.array([words[w] for w in known], np.int64)])})
+    for first in range(0, len(known), SLICE):
+        some = known[first:first + SLICE]
+        yield pd.DataFrame({"chunk": chunk, "kind": 0, "number": np.arange(first, first + len(some)), "gram": 0, "word": some,
+                            "n": np.array([words[w] for w in some], np.int64)})
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -238,13 +254,15 @@ def byte_model(group: pd.DataFrame, upper: Upper) -> pd.DataFrame:
 def score_chunk(chunk: pd.DataFrame, values: pd.DataFrame, n_tokens: int, n_words: int, n_train: int) -> pd.DataFrame:
     """Scores of a chunk's texts from the values of its grams, and of its words by their order in ``name_parts``."""
     texts = [lowered(t) for t in chunk["text"]]
-    kind, name, value = values["kind"].to_numpy(), values["name"].to_numpy(), values["value"].to_numpy(float)
-    keys, of_gram = name[kind == 1].astype(_U), value[kind == 1]
+    of_kind = values["kind"].to_numpy()
+    keys, of_gram = (values[c].to_numpy()[of_kind == 1] for c in ("name", "value"))
+    numbers, counts = (values[c].to_numpy()[of_kind == 0] for c in ("name", "value"))
     order = np.argsort(keys)
-    keys, of_gram = keys[order], of_gram[order]
+    keys, of_gram = keys[order].astype(_U), of_gram[order].astype(float)
+    del order, of_kind
     known = sorted({w for t in texts for w in t.split()})
     of_word = np.zeros(len(known) + 1)
-    of_word[name[kind == 0]] = value[kind == 0]
+    of_word[numbers] = counts
     of_word[-1] = n_train  # the end token
     index, gram_value = {w: i for i, w in enumerate(known)}, Lookup(keys, of_gram)
     logs = np.log10(of_word + 0.5) - log10(n_tokens + 0.5 * (n_words + 1))
@@ -275,7 +293,7 @@ def score_texts(docs: DataFrame, held_out, chunk_bytes: int = CHUNK_BYTES, id_co
     chunks, n_train = max(1, -(-(size[0] or 0) // chunk_bytes)), size[1]
     # Rows of a repeated or null identifier spread by their text.
     rows = rows.withColumn("chunk", bucket_of(chunks, F.col("doc_id"), F.xxhash64("text")).cast("int"))
-    named = keep(rows.groupBy("chunk").applyInPandas(lambda c: name_parts(c), "chunk int, kind int, number int, gram long, word binary, n long"), "ctw-named")
+    named = keep(rows.groupBy("chunk").applyInPandas(name_parts, "chunk int, kind int, number int, gram long, word binary, n long"), "ctw-named")
 
     by_word = Window.partitionBy("word")
     words = named.where("kind = 0").select("chunk", "number", F.sum("n").over(by_word).alias("count"),

@@ -107,3 +107,25 @@ def test_base_and_held_out(spark):
     assert ctw.score_texts(df.limit(0), crc_mod("doc_id", 5) == 1).count() == 0
     none = ctw.score_texts(df.limit(3), F.lit(True)).collect()
     assert all(r.n_known == 0 and r.bits_per_byte == pytest.approx(8) for r in none)
+
+
+def test_parts_leave_in_slices(monkeypatch):
+    monkeypatch.setattr(ctw, "SLICE", 50)
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab c", k=rng.randrange(60))) for _ in range(40)] + [""]
+    held = [i % 3 == 0 for i in range(len(texts))]
+    rows = pd.DataFrame({"chunk": 5, "text": texts, "held_out": held})
+    made = list(ctw.name_parts(iter([rows[:7], rows[7:]])))
+    assert len(made) > 4 and max(map(len, made)) < 70
+    out = pd.concat(made)
+    want, words = Counter(), Counter()
+    for t, h in zip(texts, held):
+        data = ctw.EDGE * ctw.DEPTH + t.encode() + ctw.EDGE
+        for p in range(ctw.DEPTH, len(data)):
+            want[int.from_bytes(data[p - ctw.DEPTH:p][::-1] + data[p:p + 1], "big")] += not h
+        words.update({w: 0 if h else n for w, n in Counter(t.encode().split()).items()})
+    got = out[out["kind"] == 1]
+    assert dict(zip(got["gram"], got["n"])) == dict(want) and len(got) == len(want)
+    named = out[out["kind"] == 0]
+    assert named["word"].tolist() == sorted(words) and named["number"].tolist() == list(range(len(words)))
+    assert dict(zip(named["word"], named["n"])) == dict(words)
