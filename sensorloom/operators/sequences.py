@@ -190,7 +190,9 @@ def quantile_clip(df: DataFrame, limits: DataFrame, features: Sequence[str], ski
 
 def flatten(rows: DataFrame, keys: Sequence[str], features: Sequence[str], length: int) -> DataFrame:
     """Columns t{i}_{feature}, one row per key, from the long form or from ``last_n_padded``, whose steps are picked by place
-    without being laid out."""
+    without being laid out, nor grouped again if it was made for the same keys: it then has one row for each."""
+    if set(rows.columns) == {*keys, "n_real", "steps"}:
+        return rows.select(*keys, *[F.get("steps", F.lit(i - 1))[f].alias(f"t{i}_{f}") for i in range(1, length + 1) for f in features])
     if "steps" in rows.columns:
         return rows.groupBy(*keys).agg(*[
             F.max(F.get("steps", F.lit(i - 1))[f]).alias(f"t{i}_{f}") for i in range(1, length + 1) for f in features])
