@@ -24,7 +24,7 @@ NGRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 96
 #: Texts and n-grams of a block.
 BLOCK, BLOCK_GRAMS = 1024, 1 << 20
 #: Words hashed at once, bytes of text signed at once, and the bytes from which a word stands for itself by its digest.
-PIECE_WORDS, BATCH_BYTES, LONG_WORD = 1 << 18, 4 << 20, 1024
+PIECE_WORDS, BATCH_BYTES, LONG_WORD = 1 << 16, 1 << 20, 1024
 _U = np.uint64
 
 

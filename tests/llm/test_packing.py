@@ -82,3 +82,14 @@ def test_many_words_are_remembered(monkeypatch):
     first, calls, plain = encode(text), [], tiktoken.Encoding.encode
     monkeypatch.setattr(tiktoken.Encoding, "encode", lambda self, t, **how: calls.append(t) or plain(self, t, **how))
     assert encode(text) == first and calls == ["a"]
+
+
+def test_words_seen_once_are_not_kept(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 6)
+    encode = packing.encoder.__wrapped__(public_tokenizers.path(packing.RANKS))
+    cells = dict(zip(encode.__code__.co_freevars, (c.cell_contents for c in encode.__closure__)))
+    once = " ".join(f"rare{i}" for i in range(40))
+    first = encode(f"a often {once}")
+    assert not cells["known"] and len(cells["recent"]) <= 6
+    assert encode("a often") and encode("a often") and "often" in cells["known"]
+    assert encode(f"a often {once}") == first and "often" in cells["known"] and len(cells["known"]) + len(cells["recent"]) <= 6
