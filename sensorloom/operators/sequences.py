@@ -71,12 +71,20 @@ def last_n_padded(df: DataFrame, keys: Sequence[str], date: str, r_date: str | N
     may hold columns that depend on the key, such as its label.
     """
     rows = df if r_date is None else df.filter(F.col(date) <= F.col(r_date))
-    kept = last_rows(rows, keys, [F.desc(c) for c in order], length)
-    real = F.struct((-F.col("rank")).alias("at"), F.lit(False).alias("is_pad"), *[F.col(f).cast("double").alias(f) for f in features])
-    grouped = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(real)).alias("steps"))
+    latest = [F.desc(c) for c in order]
+    kept = last_rows(rows, keys, latest, length)
+    # The rows lie sorted by key, so a frame over the whole key lists them without an aggregate's second sort.
+    whole = Window.partitionBy(*keys).orderBy(*latest).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # Where the padding stands before the rows, a row's rank gives its place.
+    real = F.struct((F.lit(length + 1) - F.col("rank")).alias("pos"), F.lit(False).alias("is_pad"), *[F.col(f).cast("double").alias(f) for f in features])
+    grouped = kept.withColumn("steps", F.collect_list(real).over(whole)).filter("rank = 1").select(*keys, F.reverse("steps").alias("steps"))
+    missing = F.lit(length) - F.size("steps")
+    if pad == "zero" and side == "left":
+        blank = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(True).alias("is_pad"), *[F.lit(0.0).alias(f) for f in features]) for i in range(1, length + 1)])
+        return grouped.select(*keys, F.size("steps").alias("n_real"), F.concat(F.slice(blank, 1, missing), F.col("steps")).alias("steps"))
     near = F.element_at("steps", 1 if side == "left" else -1)
     fill = [F.lit(0.0).alias(f) if pad == "zero" else near[f].alias(f) for f in features]
-    padding = F.array_repeat(F.struct(F.lit(0).alias("at"), F.lit(True).alias("is_pad"), *fill), F.lit(length) - F.size("steps"))
+    padding = F.array_repeat(F.struct(F.lit(0).alias("pos"), F.lit(True).alias("is_pad"), *fill), missing)
     full = F.concat(padding, F.col("steps")) if side == "left" else F.concat(F.col("steps"), padding)
     steps = F.transform(full, lambda s, i: F.struct((i + 1).alias("pos"), s["is_pad"].alias("is_pad"), *[s[f].alias(f) for f in features]))
     return grouped.select(*keys, F.size("steps").alias("n_real"), steps.alias("steps"))
