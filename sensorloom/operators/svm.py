@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.session import cut_lineage
+from sensorloom.session import written
 
 NO_FOLD = -1
 #: A fit ends where the gradient has fallen to this share of the one at zero.
@@ -56,11 +56,6 @@ class SquaredHinge:
     def converged(self) -> bool:
         return self.gradient <= TOLERANCE
 
-    def scaled(self, j: int) -> Column:
-        """A feature as the fit saw it; one that is null or not a number stands at its mean."""
-        x = usable(self.features[j])
-        return F.coalesce((x - F.lit(float(self.scaling.means[j]))) / F.lit(float(self.scaling.deviations[j])), F.lit(0.0))
-
     def terms(self) -> list[dict[str, float]]:
         s = self.scaling
         return [{"w": float(w), "m": float(m), "s": float(d)} for w, m, d in zip(self.weights, s.means, s.deviations)]
@@ -79,7 +74,8 @@ def constant(value, kind: str) -> Column:
 
 
 def raw(features: Sequence[str]) -> Column:
-    return F.array(*[usable(f) for f in features])
+    """The usable features as an array; one small function sees to all, where a case per feature is too much code to compile."""
+    return F.transform(F.array(*[F.col(f).cast("double") for f in features]), lambda x: F.when(~F.isnan(x), x))
 
 
 def dot(x: Column, terms: Column) -> Column:
@@ -87,29 +83,55 @@ def dot(x: Column, terms: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda total, p: total + p)
 
 
-def fold_margins(df: DataFrame, models: Sequence[SquaredHinge], fold: str, keep: Sequence[str]) -> DataFrame:
-    """Each row once per penalty, as ``keep, c, margin``: the margin by the machine that did not see the row's fold."""
-    table = constant([{"c": m.c, "fold": m.fold, "b": m.intercept, "terms": m.terms()} for m in models], f"array<struct<c: double, fold: int, b: double, terms: {TERMS}>>")
-    rows = df.select(*keep, raw(models[0].features).alias("__x"), F.explode(F.filter(table, lambda t: t["fold"] == F.col(fold))).alias("__t"))
-    return rows.select(*keep, F.col("__t.c").alias("c"), (dot(F.col("__x"), F.col("__t.terms")) + F.col("__t.b")).alias("margin"))
+def matrix(column: pa.ListArray, width: int) -> np.ndarray:
+    """Rows of an array column of equal lengths; a null is not a number."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), width)
+
+
+def fold_margins(df: DataFrame, models: Sequence[SquaredHinge], fold: str, keep: Sequence[str], vector: str | None = None) -> DataFrame:
+    """Each row once per penalty, as ``keep, c, margin``: the margin by the machine that did not see the row's fold.
+
+    ``vector`` names an array column with the features, if they are packed. Terms are added one feature after the other, so equal rows have equal margins.
+    """
+    width = len(models[0].features)
+    rows = df.select(*keep, (F.col(vector) if vector else raw(models[0].features)).alias("__x"), F.col(fold).cast("int").alias("__fold"))
+    kept = list(range(len(keep)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, mine = matrix(batch.column(len(kept)), width), batch.column(len(kept) + 1).to_numpy(zero_copy_only=False)
+            for m in models:
+                at = np.flatnonzero(mine == m.fold)
+                z = m.scaling.apply(x[at])
+                margin = np.zeros(len(at))
+                for j in range(width):
+                    margin += z[:, j] * m.weights[j]
+                same = [batch.column(i).take(pa.array(at)) for i in kept]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.full(len(at), m.c)), pa.array(margin + m.intercept)], names=[*keep, "c", "margin"])
 
+    schema = rows.select(*keep).schema.add("c", "double").add("margin", "double")
+    return rows.mapInArrow(score, schema)
 
-def usable(name: str) -> Column:
-    x = F.col(name).cast("double")
-    return F.when(~F.isnan(x), x)
 
+def scalings(rows: DataFrame, width: int, folds: Sequence[int]) -> dict[int, Scaling]:
+    """Scaling without each of the folds, from one pass that counts every fold apart.
 
-def scalings(rows: DataFrame, features: Sequence[str], folds: Sequence[int]) -> dict[int, Scaling]:
-    """Scaling without each of the folds, from one pass that counts every fold apart."""
-    parts = rows.groupBy("fold").agg(
-        F.count(F.when(F.col("y") < 0, 1)).alias("n0"), F.count(F.when(F.col("y") > 0, 1)).alias("n1"),
-        F.array(*[F.count(usable(f)).cast("double") for f in features]).alias("n"),
-        F.array(*[F.coalesce(F.avg(usable(f)), F.lit(0.0)) for f in features]).alias("mean"),
-        F.array(*[F.coalesce(F.var_pop(usable(f)), F.lit(0.0)) for f in features]).alias("var")).orderBy("fold").collect()  # a row per fold
+    Each feature is a group of its own: a few numbers a group, where hundreds of aggregates side by side are too much code to compile.
+    """
+    entries = F.concat("x", F.array(F.when(F.col("y") < 0, 0.0), F.when(F.col("y") > 0, 0.0)))
+    found = rows.select("fold", F.posexplode(entries).alias("j", "v")).groupBy("fold", "j").agg(
+        F.count("v").alias("n"), F.coalesce(F.avg("v"), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop("v"), F.lit(0.0)).alias("var"))
+    parts: dict[int, dict] = {}
+    for r in found.collect():  # a row per fold and feature
+        p = parts.setdefault(r["fold"], {"fold": r["fold"], **{name: np.zeros(width + 2) for name in ("n", "mean", "var")}})
+        for name in ("n", "mean", "var"):
+            p[name][r["j"]] = r[name]
+    parts = [{"fold": p["fold"], **{name: p[name][:width] for name in ("n", "mean", "var")}, "n0": int(p["n"][width]), "n1": int(p["n"][width + 1])}
+             for _, p in sorted(parts.items())]
     out = {}
     for k in folds:
         used = [p for p in parts if p["fold"] != k]
-        n, mean, var = (np.array([p[name] for p in used]).reshape(len(used), len(features)) for name in ("n", "mean", "var"))
+        n, mean, var = (np.array([p[name] for p in used]).reshape(len(used), width) for name in ("n", "mean", "var"))
         total = np.maximum(n.sum(0), 1)
         centre = (n * mean).sum(0) / total
         spread = np.sqrt((n * (var + (mean - centre) ** 2)).sum(0) / total)
@@ -119,17 +141,16 @@ def scalings(rows: DataFrame, features: Sequence[str], folds: Sequence[int]) ->
     return out
 
 
-def derivatives(rows: DataFrame, features: Sequence[str], asked: Sequence[tuple[float, int, Scaling, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+def derivatives(rows: DataFrame, width: int, asked: Sequence[tuple[float, int, Scaling, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
     """Loss, gradient and curvature of the hinge part at every asked point (c, fold left out, scaling, point), in one pass."""
-    d = len(features) + 1
+    d = width + 1
     upper = np.triu_indices(d)
     size = 1 + d + len(upper[0])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, seen = np.zeros((len(asked), size)), False
         for batch in batches:
-            frame = batch.to_pandas()
-            x, y, fold = frame[list(features)].to_numpy(float), frame["y"].to_numpy(float), frame["fold"].to_numpy()
+            x, y, fold = matrix(batch.column("x"), width), batch.column("y").to_numpy(), batch.column("fold").to_numpy()
             scaled: dict[int, tuple] = {}
             for i, (c, k, scaling, point) in enumerate(asked):
                 if k not in scaled:
@@ -159,25 +180,26 @@ def derivatives(rows: DataFrame, features: Sequence[str], asked: Sequence[tuple[
 
 
 def fit(train: DataFrame, features: Sequence[str], label: str, settings: Sequence[tuple[float, int]], fold: str | None = None,
-        rounds: int = 60) -> list[SquaredHinge]:
+        rounds: int = 60, vector: str | None = None) -> list[SquaredHinge]:
     """One machine per setting (penalty c, fold left out; ``NO_FOLD`` for none), all fitted together.
 
     Rows with a null label take no part; a label over 0 is positive. Without rows, or with one class only, the solution is still the minimum of the
-    formula above (zero weights without rows). Extra columns are ignored.
+    formula above (zero weights without rows). Extra columns are ignored. ``vector`` names an array column of a written table with the usable
+    features; without it they are packed and written, for a table of many columns takes longer to read than one of arrays.
     """
     number = F.col(fold).cast("int") if fold else F.lit(0)
-    names = [f"x{j}" for j in range(len(features))]
     rows = train.filter(F.col(label).isNotNull()).select(
-        *[usable(f).alias(n) for f, n in zip(features, names)], F.when(F.col(label) > 0, 1.0).otherwise(-1.0).alias("y"), F.coalesce(number, F.lit(0)).alias("fold"))
-    rows = cut_lineage(rows)  # read once per round
-    scaling = scalings(rows, names, sorted({k for _, k in settings}))
+        (F.col(vector) if vector else raw(features)).alias("x"), F.when(F.col(label) > 0, 1.0).otherwise(-1.0).alias("y"), F.coalesce(number, F.lit(0)).alias("fold"))
+    rows = rows if vector else written(rows, "svm-rows")  # read once per round
+    width = len(features)
+    scaling = scalings(rows, width, sorted({k for _, k in settings}))
     n = len(settings)
-    point = [np.zeros(len(names) + 1) for _ in settings]
+    point = [np.zeros(width + 1) for _ in settings]
     value, slope, step, share = [np.inf] * n, [None] * n, [0.0] * n, [np.inf] * n
     move, start, taken, trial = [None] * n, [0.0] * n, [0] * n, list(point)
     left = list(range(n))
     for k in range(1, rounds + 1):
-        found = derivatives(rows, names, [(settings[i][0], settings[i][1], scaling[settings[i][1]], trial[i]) for i in left])
+        found = derivatives(rows, width, [(settings[i][0], settings[i][1], scaling[settings[i][1]], trial[i]) for i in left])
         going = []
         for i, (loss, gradient, curve) in zip(left, found):
             loss, gradient = loss + trial[i] @ trial[i] / 2, gradient + trial[i]
@@ -206,12 +228,18 @@ def optimality(model: SquaredHinge, train: DataFrame, label: str) -> DataFrame:
     plain aggregates: zero at the solution."""
     y = F.when(F.col(label) > 0, 1.0).otherwise(-1.0)
     weight = F.when(F.col(label) > 0, model.scaling.weights[1]).otherwise(model.scaling.weights[0])
-    rows = train.filter(F.col(label).isNotNull()).withColumn("__m", model.margin())
-    rows = rows.withColumn("__pull", F.lit(2.0 * model.c) * weight * y * F.greatest(F.lit(0.0), F.lit(1.0) - y * F.col("__m")))
-    d = len(model.features)
-    sums = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("__pull") * (model.scaled(j) if j < d else F.lit(1.0))).alias(f"s{j}") for j in range(d + 1)])
+    scaled = F.zip_with(raw(model.features), constant(model.terms(), TERMS), lambda a, t: F.coalesce((a - t["m"]) / t["s"], F.lit(0.0)))
+    weights = [float(w) for w in model.weights]
+    rows = train.filter(F.col(label).isNotNull()).select(y.alias("__y"), weight.alias("__r"), scaled.alias("__z"))
+    margin = F.aggregate(F.zip_with("__z", constant(weights, "array<double>"), lambda z, w: z * w), F.lit(0.0), lambda total, p: total + p) + F.lit(model.intercept)
+    pull = F.lit(2.0 * model.c) * F.col("__r") * F.col("__y") * F.greatest(F.lit(0.0), F.lit(1.0) - F.col("__y") * margin)
+    # A group per coordinate: sums of all side by side are too much code to compile.
+    listed = rows.select(pull.alias("__pull"), F.concat("__z", F.array(F.lit(1.0))).alias("__z")).select("__pull", F.posexplode("__z").alias("j", "z"))
+    sums = listed.groupBy("j").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__pull") * F.col("z")).alias("s"))
     names = [*model.features, "intercept"]
-    means, deviations, weights = [*model.scaling.means, 0.0], [*model.scaling.deviations, 1.0], [*model.weights, model.intercept]
-    return sums.select(F.inline(F.array(*[F.struct(
-        F.lit(names[j]).alias("feature"), F.lit(float(means[j])).alias("mean"), F.lit(float(deviations[j])).alias("deviation"), F.lit(float(weights[j])).alias("weight"),
-        F.abs((F.lit(float(weights[j])) - F.coalesce(F.col(f"s{j}"), F.lit(0.0))) / F.greatest(F.col("n"), F.lit(1))).alias("gradient")) for j in range(d + 1)])))
+    means, deviations = [*model.scaling.means, 0.0], [*model.scaling.deviations, 1.0]
+    known = [{"j": j, "feature": name, "mean": float(m), "deviation": float(d), "weight": w} for j, (name, m, d, w) in enumerate(
+        zip(names, means, deviations, [*weights, float(model.intercept)]))]
+    known = train.sparkSession.range(1).select(F.inline(constant(known, "array<struct<j: int, feature: string, mean: double, deviation: double, weight: double>>")))
+    return known.join(sums, "j", "left").select("feature", "mean", "deviation", "weight", F.abs(
+        (F.col("weight") - F.coalesce("s", F.lit(0.0))) / F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))).alias("gradient"))

@@ -142,8 +142,9 @@ def em_prior_shift(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def model_rows(spark, sf):
-    """All steps of the sequences of B.contexts with the contexts' label, early contexts for training; written once, for its several readers."""
-    df = written(sequences.flatten(S.padded(spark, sf), ["key", "base", "r_date", "label"], S.FEATS, S.L), "model-rows")
+    """All steps of the sequences of B.contexts with the contexts' label, early contexts for training; the sequences are written once, for
+    their several readers, which lay out the columns they need."""
+    df = sequences.flatten(written(S.padded(spark, sf), "sequences"), ["key", "base", "r_date", "label"], S.FEATS, S.L)
     return df, df.filter(S.TRAIN), df.filter(f"NOT ({S.TRAIN})")
 
 
