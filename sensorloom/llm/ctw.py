@@ -6,12 +6,15 @@ probabilities, half and half; below the deepest nodes there is only the estimate
 mixture's posterior weights along a context's path give the probability of the next bit, and eight of them that of a byte.
 
 Texts lie in hash chunks. A chunk names its distinct contexts with next byte, and its distinct words, with their counts in its
-training texts; counts are summed over all chunks, trees are weighted per context of two bytes (one sort of its grams per depth
-serves all eight decisions), and every chunk gets back the values of what it named. So neither texts nor the model are gathered anywhere, and the model grows with the corpus.
+training texts. What it names is dealt into buckets, contexts by their last two bytes and words by a hash, and leaves as one row
+of packed numbers per bucket. Counts are summed per bucket over all chunks, trees are weighted per bucket (one sort of its grams
+per depth serves all eight decisions), and every chunk gets back the values of what it named. So neither texts nor the model are
+gathered anywhere, and the model grows with the corpus.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +22,7 @@ from math import log, log10
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.llm.common import bucket_of, crc_mod, keep, table, text_of
@@ -27,6 +30,9 @@ from sensorloom.llm.common import bucket_of, crc_mod, keep, table, text_of
 DEPTH, CHUNK_BYTES, BATCH_BYTES = 5, 12 << 20, 1 << 19
 #: Grams looked at, or words given out, at once.
 SLICE = 1 << 18
+#: Buckets for every so many chunks: a bucket's packed rows of all chunks stay small however large the corpus is.
+BUCKETS, BUCKET_CHUNKS = 256, 4096
+TOP = 2  # context bytes that grams weighted together share
 EDGE = b"\xff"  # before the first byte and after the last; no text has it in UTF-8
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
@@ -43,10 +49,11 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     starts = np.cumsum(lengths) - lengths
     at = np.arange(lengths.sum()) + np.repeat((np.arange(len(texts)) + 1) * DEPTH, lengths)
-    key = data[at].astype(_U)
+    wide = data.astype(_U)
+    key = wide.copy()
     for back in range(1, DEPTH + 1):
-        key |= data[at - back].astype(_U) << _U(8 * (DEPTH + 1 - back))
-    return key, starts
+        key[back:] |= wide[:-back] << _U(8 * (DEPTH + 1 - back))
+    return key[at], starts
 
 
 def batches(texts: list[bytes]):
@@ -121,6 +128,99 @@ def name_parts(batches_of_chunk: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
                             "n": np.array([words[w] for w in some], np.int64)})
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers of eight bytes, their first bytes first, compressed."""
+    return zlib.compress(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys, as steps from one to the next."""
+    return packed(np.diff(keys, prepend=_U(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, _U), dtype=_U)
+
+
+def packed_words(words: list[bytes]) -> bytes:
+    """Words hold no white space."""
+    return zlib.compress(b" ".join(words), 1)
+
+
+def unpacked_words(data: bytes) -> list[bytes]:
+    return zlib.decompress(data).split(b" ")
+
+
+def bucket_of_grams(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Grams that share their context's last two bytes share a bucket."""
+    mixed = (keys >> _U(8 * (DEPTH + 1 - TOP))) * _U(40503) & _U(0xFFFF)
+    return (mixed * _U(buckets) >> _U(16)).astype(np.int64)
+
+
+def pack_parts(batches_of_chunk: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
+    """What ``name_parts`` names, one row per slice and bucket: sorted grams or words in ``body``, their counts in ``n``."""
+    for part in name_parts(batches_of_chunk):
+        kind, n, words = int(part["kind"].iloc[0]), part["n"].to_numpy(), part["word"].tolist()
+        keys = part["gram"].to_numpy(np.int64).astype(_U)
+        bucket = bucket_of_grams(keys, buckets) if kind else np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+        order = np.argsort(bucket, kind="stable")
+        some, begins = np.unique(bucket[order], return_index=True)
+        runs = np.split(order, begins[1:])
+        yield pd.DataFrame({"chunk": int(part["chunk"].iloc[0]), "kind": kind, "bucket": some,
+                            "body": [packed_keys(keys[at]) if kind else packed_words([words[i] for i in at]) for at in runs],
+                            "n": [packed(n[at]) for at in runs]})
+
+
+def summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their numbers."""
+    every, at = np.concatenate(keys), np.concatenate(n)
+    order = np.argsort(every, kind="stable")
+    every, at = every[order], at[order]
+    begins = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    return every[begins], np.add.reduceat(at, begins)
+
+
+def sum_grams(batches_of_bucket: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A bucket's distinct grams with their counts over all chunks, in slices; summed whenever the unsummed outnumber the sums."""
+    keys, n, waiting, bucket = [], [], 0, 0
+    for rows in batches_of_bucket:
+        bucket = int(rows["bucket"].iloc[0])
+        for body, counts in zip(rows["body"], rows["n"]):
+            keys.append(unpacked_keys(body))
+            n.append(unpacked(counts))
+            waiting += len(keys[-1])
+            if waiting > max(SLICE, len(keys[0])):
+                keys, n = map(list, zip(summed(keys, n)))
+                waiting = 0
+    key, count = summed(keys, n)
+    for first in range(0, len(key), SLICE):
+        some = slice(first, first + SLICE)
+        yield pd.DataFrame({"bucket": [bucket], "body": [packed_keys(key[some])], "n": [packed(count[some])]})
+
+
+def count_words(batches_of_bucket: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every chunk's words of a bucket with their counts over all chunks; once per bucket, all its words' number in the training
+    texts (``tokens``) and how many of them occur there (``seen``). The chunks' rows wait as they are packed."""
+    counts: Counter[bytes] = Counter()
+    waiting = []
+    for rows in batches_of_bucket:
+        for body, n in zip(rows["body"], rows["n"]):
+            for word, more in zip(unpacked_words(body), unpacked(n).tolist()):
+                counts[word] += more
+        waiting.append(rows[["chunk", "body"]])
+    tokens, seen = sum(counts.values()), sum(n > 0 for n in counts.values())
+    for rows in waiting:
+        rows = rows.assign(value=[packed(np.fromiter(map(counts.__getitem__, unpacked_words(body)), np.int64)) for body in rows["body"]],
+                           tokens=0, seen=0)
+        rows.iloc[0, -2:] = tokens, seen
+        tokens = seen = 0
+        yield rows
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function for positive numbers: Stirling's series after a shift."""
     shift = np.log(x)
@@ -155,9 +255,10 @@ def weigh(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.nd
 
 @dataclass(frozen=True)
 class Decision:
-    """One of a byte's eight decisions: the top level's nodes (name, zeros, ones, log weighted probability), and per gram its
-    node's name, its bit and the bit's probability under the mixture of the depths from the top level on."""
+    """One of a byte's eight decisions: the top level's nodes (last byte, name, zeros, ones, log weighted probability), and per gram
+    its node's name, its bit and the bit's probability under the mixture of the depths from the top level on."""
 
+    last: np.ndarray
     name: np.ndarray
     zeros: np.ndarray
     ones: np.ndarray
@@ -209,20 +310,23 @@ def subtree(keys: np.ndarray, n: np.ndarray, top: int) -> Iterator[Decision]:
                 p, left = p[up[d]], left[up[d]]
             p, left = p + left * weight * estimate, left * (1 - weight)
         node = [(1 << level) | (b >> (8 - level)) for b in (bytes_of[-1][begins[-1]], bytes_of[0])]
-        yield Decision(node[0], zeros[-1], ones[-1], total[-1], node[1], bits[0], p)
-
-
-TOP = 2
+        last = (level_keys[-1][begins[-1]] >> _U(8 * top)).astype(np.int64)
+        yield Decision(last, node[0], zeros[-1], ones[-1], total[-1], node[1], bits[0], p)
 
 
 def top_nodes(group: pd.DataFrame) -> pd.DataFrame:
-    """Per last byte and decision: zeros, ones and summed log probability of the group's two-byte contexts."""
+    """Per two-byte context and decision: its last byte, zeros, ones and log probability."""
     group = group.sort_values("gram", kind="stable")
     keys = group["gram"].to_numpy(np.int64).astype(_U)
-    return pd.concat([pd.DataFrame({"last": int(keys[0] >> _U(8 * DEPTH)), "node": d.name, "zeros": d.zeros, "ones": d.ones, "below": d.total})
+    return pd.concat([pd.DataFrame({"last": d.last, "node": d.name, "zeros": d.zeros, "ones": d.ones, "below": d.total})
                       for d in subtree(keys, group["n"].to_numpy(np.int64), TOP)])
 
 
+def unpacked_grams(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"gram": np.concatenate([unpacked_keys(b) for b in rows["body"]]).astype(np.int64),
+                         "n": np.concatenate([unpacked(n) for n in rows["n"]])})
+
+
 class Upper:
     """The two highest levels, no and one context byte: at most 256 x 255 nodes, as arrays by last byte and node."""
 
@@ -235,7 +339,7 @@ class Upper:
         _, self.own0 = weigh(zeros.sum(0), ones.sum(0), total.sum(0))
         self.one0 = (ones.sum(0) + 0.5) / (zeros.sum(0) + ones.sum(0) + 1)
 
-    def mix(self, last: int, node: np.ndarray, bit: np.ndarray, p: np.ndarray) -> np.ndarray:
+    def mix(self, last: np.ndarray, node: np.ndarray, bit: np.ndarray, p: np.ndarray) -> np.ndarray:
         one1, one0 = self.one1[last, node], self.one0[node]
         p = self.own1[last, node] * np.where(bit == 1, one1, 1 - one1) + (1 - self.own1[last, node]) * p
         return self.own0[node] * np.where(bit == 1, one0, 1 - one0) + (1 - self.own0[node]) * p
@@ -245,26 +349,41 @@ def byte_model(group: pd.DataFrame, upper: Upper) -> pd.DataFrame:
     """log10 of the probability of each gram's byte after its context."""
     group = group.sort_values("gram", kind="stable")
     keys = group["gram"].to_numpy(np.int64).astype(_U)
-    p = np.ones(len(keys))
+    p, last = np.ones(len(keys)), (keys >> _U(8 * DEPTH)).astype(np.int64)
     for d in subtree(keys, group["n"].to_numpy(np.int64), TOP):
-        p *= upper.mix(int(keys[0] >> _U(8 * DEPTH)), d.node, d.bit, d.p)
+        p *= upper.mix(last, d.node, d.bit, d.p)
     return pd.DataFrame({"gram": keys.astype(np.int64), "value": np.log10(p)})
 
 
+def value_grams(batches_of_rows: Iterator[pd.DataFrame], upper: Upper) -> Iterator[pd.DataFrame]:
+    """Values of the grams that the chunks named. Rows come sorted by bucket and chunk; a bucket's sums (chunk -1) are its first."""
+    sums, model, bucket = [], None, None
+    for rows in batches_of_rows:
+        out = []
+        for r in rows.itertuples(index=False):
+            if r.bucket != bucket:
+                sums, model, bucket = [], None, r.bucket
+            if r.chunk < 0:
+                sums.append(r)
+                continue
+            if model is None:
+                model = byte_model(unpacked_grams(pd.DataFrame(sums)), upper)
+                keys, values, sums = model["gram"].to_numpy().astype(_U), model["value"].to_numpy(), []
+            out.append((r.chunk, 1, r.body, packed(values[np.searchsorted(keys, unpacked_keys(r.body))])))
+        yield pd.DataFrame(out, columns=["chunk", "kind", "body", "value"])
+
+
 def score_chunk(chunk: pd.DataFrame, values: pd.DataFrame, n_tokens: int, n_words: int, n_train: int) -> pd.DataFrame:
-    """Scores of a chunk's texts from the values of its grams, and of its words by their order in ``name_parts``."""
+    """Scores of a chunk's texts from the values of its grams (kind 1) and the counts of its words (kind 0)."""
     texts = [lowered(t) for t in chunk["text"]]
-    of_kind = values["kind"].to_numpy()
-    keys, of_gram = (values[c].to_numpy()[of_kind == 1] for c in ("name", "value"))
-    numbers, counts = (values[c].to_numpy()[of_kind == 0] for c in ("name", "value"))
+    of_grams, of_words = values[values["kind"] == 1], values[values["kind"] == 0]
+    keys = np.concatenate([unpacked_keys(b) for b in of_grams["body"]])
     order = np.argsort(keys)
-    keys, of_gram = keys[order].astype(_U), of_gram[order].astype(float)
-    del order, of_kind
-    known = sorted({w for t in texts for w in t.split()})
-    of_word = np.zeros(len(known) + 1)
-    of_word[numbers] = counts
-    of_word[-1] = n_train  # the end token
-    index, gram_value = {w: i for i, w in enumerate(known)}, Lookup(keys, of_gram)
+    gram_value = Lookup(keys[order], np.concatenate([unpacked(v, float) for v in of_grams["value"]])[order])
+    del order, keys
+    index = {w: i for i, w in enumerate(w for b in of_words["body"] for w in unpacked_words(b))}
+    # The end token is the last.
+    of_word = np.concatenate([*(unpacked(v) for v in of_words["value"]), [n_train]]).astype(float)
     logs = np.log10(of_word + 0.5) - log10(n_tokens + 0.5 * (n_words + 1))
     out = []
     for first, end in batches(texts):
@@ -272,7 +391,7 @@ def score_chunk(chunk: pd.DataFrame, values: pd.DataFrame, n_tokens: int, n_word
         scores = np.add.reduceat(gram_value(key), starts)
         for text, score in zip(texts[first:end], scores):
             at = np.fromiter(map(index.__getitem__, text.split()), np.int64)
-            at = np.append(at, len(known))
+            at = np.append(at, len(index))
             out.append((len(at), int((of_word[at] > 0).sum()), float(logs[at].sum()), float(score), -float(score) / log10(2) / (len(text) + 1)))
     made = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
     made.insert(0, "held_out", chunk["held_out"].array)
@@ -293,24 +412,28 @@ def score_texts(docs: DataFrame, held_out, chunk_bytes: int = CHUNK_BYTES, id_co
     chunks, n_train = max(1, -(-(size[0] or 0) // chunk_bytes)), size[1]
     # Rows of a repeated or null identifier spread by their text.
     rows = rows.withColumn("chunk", bucket_of(chunks, F.col("doc_id"), F.xxhash64("text")).cast("int"))
-    named = keep(rows.groupBy("chunk").applyInPandas(name_parts, "chunk int, kind int, number int, gram long, word binary, n long"), "ctw-named")
+    buckets = BUCKETS * -(-chunks // BUCKET_CHUNKS)
 
-    by_word = Window.partitionBy("word")
-    words = named.where("kind = 0").select("chunk", "number", F.sum("n").over(by_word).alias("count"),
-                                           (F.row_number().over(by_word.orderBy("chunk")) == 1).alias("first"))
+    def pack(batches_of_chunk: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return pack_parts(batches_of_chunk, buckets)
+
+    named = keep(rows.groupBy("chunk").applyInPandas(pack, "chunk int, kind int, bucket int, body binary, n binary"), "ctw-named")
+
+    words = named.where("kind = 0").groupBy("bucket").applyInPandas(count_words, "chunk int, body binary, value binary, tokens long, seen long")
     words = keep(words, "ctw-words")
-    n_tokens, n_words = words.where("first").agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.when(F.col("count") > 0, 1))).first()
+    n_tokens, n_words = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0))).first()
     n_tokens, n_words = n_tokens + n_train, n_words + (n_train > 0)
 
-    counts = keep(named.where("kind = 1").groupBy("gram").agg(F.sum("n").alias("n")), "ctw-counts")
-    trees = counts.groupBy(F.shiftrightunsigned("gram", 8 * (DEPTH + 1 - TOP)).alias("context"))
-    nodes = trees.applyInPandas(lambda g: top_nodes(g), "last int, node int, zeros long, ones long, below double")
+    of_grams = named.where("kind = 1")
+    sums = keep(of_grams.groupBy("bucket").applyInPandas(sum_grams, "bucket int, body binary, n binary"), "ctw-sums")
+    nodes = sums.groupBy("bucket").applyInPandas(lambda g: top_nodes(unpacked_grams(g)), "last int, node int, zeros long, ones long, below double")
     nodes = nodes.groupBy("last", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("below"))
     upper = Upper([tuple(r) for r in nodes.collect()])  # at most 256 x 255 rows
-    model = keep(trees.applyInPandas(lambda g: byte_model(g, upper), "gram long, value double"), "ctw-model")
-
-    values = named.where("kind = 1").join(model, "gram").select("chunk", "kind", F.col("gram").alias("name"), "value").unionByName(
-        words.select("chunk", F.lit(0).alias("kind"), F.col("number").cast("long").alias("name"), F.col("count").cast("double").alias("value")))
+    asked = of_grams.select("bucket", "chunk", "body", F.lit(None).cast("binary").alias("n"))
+    asked = asked.unionByName(sums.select("bucket", F.lit(-1).alias("chunk"), "body", "n"))
+    asked = asked.repartition("bucket").sortWithinPartitions("bucket", "chunk")
+    values = asked.mapInPandas(lambda r: value_grams(r, upper), "chunk int, kind int, body binary, value binary")
+    values = values.unionByName(words.select("chunk", F.lit(0).alias("kind"), "body", "value"))
     kind = docs.select(id_column).schema[0].dataType.simpleString()
     scored = rows.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInPandas(
         lambda c, v: score_chunk(c, v, n_tokens, n_words, n_train),

@@ -129,3 +129,61 @@ def test_parts_leave_in_slices(monkeypatch):
     named = out[out["kind"] == 0]
     assert named["word"].tolist() == sorted(words) and named["number"].tolist() == list(range(len(words)))
     assert dict(zip(named["word"], named["n"])) == dict(words)
+
+
+def test_a_chunk_names_one_row_per_bucket(spark, monkeypatch):
+    made = {}
+
+    def kept(df, name):
+        made[name] = df.persist()
+        return made[name]
+
+    monkeypatch.setattr(ctw, "keep", kept)
+    monkeypatch.setattr(ctw, "BUCKETS", 3)
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(3))) for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ctw.score_texts(df, F.col("doc_id") % 5 == 1, chunk_bytes=120).collect()
+    named = made["ctw-named"]
+    assert named.select("chunk").distinct().count() > 1
+    assert named.groupBy("chunk", "kind", "bucket").count().where("count > 1").count() == 0
+    want = dict(enumerate(scores([t for _, t in rows], [i % 5 != 1 for i, _ in rows])))
+    assert {r.doc_id: r.score for r in got} == pytest.approx(want)
+
+
+def test_sums_of_a_bucket(monkeypatch):
+    monkeypatch.setattr(ctw, "SLICE", 20)
+    rng = np.random.default_rng(8)
+    rows, want, words = [], Counter(), Counter()
+    for chunk in range(12):
+        keys = np.unique(rng.integers(0, 150, 40).astype(np.uint64)) << np.uint64(40)
+        n = rng.integers(0, 9, len(keys))
+        want.update(dict(zip(keys.tolist(), n.tolist())))
+        some = sorted({b"w%d" % k for k in rng.integers(0, 30, 10)})
+        of_word = rng.integers(0, 3, len(some))
+        words.update(dict(zip(some, of_word.tolist())))
+        rows.append((chunk, 4, ctw.packed_keys(keys), ctw.packed(n), ctw.packed_words(some), ctw.packed(of_word)))
+    frames = [pd.DataFrame(part, columns=["chunk", "bucket", "grams", "n", "words", "of_word"]) for part in (rows[:5], rows[5:])]
+    out = list(ctw.sum_grams(f[["bucket", "n"]].assign(body=f["grams"]) for f in frames))
+    assert len(out) > 1
+    got = ctw.unpacked_grams(pd.concat(out))
+    assert got["gram"].is_monotonic_increasing and dict(zip(got["gram"], got["n"])) == dict(want)
+    out = pd.concat(ctw.count_words(f[["chunk"]].assign(body=f["words"], n=f["of_word"]) for f in frames))
+    assert (out["tokens"].sum(), out["seen"].sum()) == (sum(words.values()), sum(n > 0 for n in words.values()))
+    assert out["chunk"].tolist() == list(range(12))
+    for body, value in zip(out["body"], out["value"]):
+        assert ctw.unpacked(value).tolist() == [words[w] for w in ctw.unpacked_words(body)]
+
+
+def test_contexts_weighted_together():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(97, 101, (900, ctw.DEPTH + 1)) @ (256 ** np.arange(ctw.DEPTH + 1)))
+    group = pd.DataFrame({"gram": keys, "n": rng.integers(0, 5, len(keys))})
+    apart = [g for _, g in group.groupby(group["gram"] // 256 ** (ctw.DEPTH + 1 - ctw.TOP))]
+    assert len(apart) > 4
+    order = ["last", "node", "zeros", "ones", "below"]
+    together = ctw.top_nodes(group).sort_values(order)
+    each = pd.concat(map(ctw.top_nodes, apart)).sort_values(order)
+    assert np.allclose(together[order].to_numpy(float), each[order].to_numpy(float))
+    upper = ctw.Upper([tuple(r) for r in together.groupby(["last", "node"]).sum().reset_index().astype({"node": int})[order].itertuples(index=False)])
+    assert np.allclose(ctw.byte_model(group, upper)["value"], pd.concat([ctw.byte_model(g, upper) for g in apart])["value"])
